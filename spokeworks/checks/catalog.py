@@ -61,16 +61,12 @@ def _warehouse(s: SampleRides) -> Warehouse:
     return Warehouse(scratch_path(s.spark, "warehouse"))
 
 
-def _landing(s: SampleRides) -> str:
-    return s.write_landing(scratch_path(s.spark, "landing"))
+NYC = ("nyc_legacy", "nyc_modern")
+LONDON = ("london_legacy", "london_modern")
 
 
-def _loaded(s: SampleRides) -> Warehouse:
-    """A warehouse filled from CSV files of all sample rides."""
-    warehouse, root = _warehouse(s), _landing(s)
-    for prefix in specs.prefixes():
-        load.load_prefix(s.spark, warehouse, root, prefix)
-    return warehouse
+def _landing(s: SampleRides, *sources: str) -> str:
+    return s.write_landing(scratch_path(s.spark, "landing"), *sources)
 
 
 def _folder_file():
@@ -78,10 +74,14 @@ def _folder_file():
     return F.regexp_extract("key", r"source_file=([^/]+)/", 1)
 
 
-def _routed(s: SampleRides) -> DataFrame:
-    root = _landing(s)
-    listed = [manifest.list_objects(s.spark, root, prefix=p) for p in specs.prefixes()]
-    return load.route(s.spark, listed[0].unionByName(listed[1]))
+def _routed(s: SampleRides, *sources: str) -> DataFrame:
+    root = _landing(s, *sources)
+    prefixes = dict.fromkeys(specs.get(name).prefix for name in sources or NYC + LONDON)
+    routed = None
+    for prefix in prefixes:
+        listed = manifest.list_objects(s.spark, root, prefix=prefix)
+        routed = listed if routed is None else routed.unionByName(listed)
+    return load.route(s.spark, routed)
 
 
 # == scans, sources, sinks =====================================================
@@ -96,13 +96,13 @@ _NAMES = """(
 @query("s1_list_files", f"SELECT DISTINCT source_file FROM {_NAMES} "
                         "WHERE prefix = 'nyc_csv/' AND contains(source_file, '2021')")
 def _(s):
-    listed = manifest.list_objects(s.spark, _landing(s), prefix="nyc_csv/")
+    listed = manifest.list_objects(s.spark, _landing(s, *NYC), prefix="nyc_csv/")
     return manifest.with_year_text(listed, 2021).select(_folder_file().alias("source_file")).distinct()
 
 
-@query("s2_select_file", f"SELECT prefix, source_file FROM {_NAMES} WHERE source_file = 'london-legacy-201911.csv'")
+@query("s2_select_file", f"SELECT prefix, source_file FROM {_NAMES} WHERE source_file = 'london-legacy-2019Q4.csv'")
 def _(s):
-    return manifest.with_file_name(s.names(), "london-legacy-201911.csv").select("prefix", "source_file")
+    return manifest.with_file_name(s.names(), "london-legacy-2019Q4.csv").select("prefix", "source_file")
 
 
 @query("s3_archives_by_year", f"""
@@ -110,11 +110,11 @@ def _(s):
     FROM {_NAMES} WHERE prefix = 'nyc_csv/')
   WHERE CAST(left(source_file, 4) AS INT) BETWEEN 2020 AND 2023""")
 def _(s):
-    month = F.regexp_extract("source_file", r"\d+", 0)
+    year = F.regexp_extract("source_file", r"\d+", 0)
     named = (s.names().filter("prefix = 'nyc_csv/'")
-             .select(F.explode(F.array(F.concat(month, F.lit("-trips.zip")),
-                                       F.concat(month, F.lit("-trips.txt")),
-                                       F.concat(F.lit("old-"), month, F.lit(".zip")))).alias("source_file"))
+             .select(F.explode(F.array(F.concat(year, F.lit("-trips.zip")),
+                                       F.concat(year, F.lit("-trips.txt")),
+                                       F.concat(F.lit("old-"), year, F.lit(".zip")))).alias("source_file"))
              .distinct())
     return manifest.archives_between(named, 2020, 2023)
 
@@ -123,18 +123,18 @@ def _(s):
   SELECT DISTINCT '17 Journey Data Extract ' || regexp_extract(source_file, '[0-9]+') || '.CSV' AS source_file
   FROM {_NAMES} WHERE prefix = 'london_csv/' AND CAST(left(regexp_extract(source_file, '[0-9]+'), 4) AS INT) >= 2021""")
 def _(s):
-    month = F.regexp_extract("source_file", r"\d+", 0)
+    year = F.regexp_extract("source_file", r"\d+", 0)
     named = (s.names().filter("prefix = 'london_csv/'")
-             .select(F.explode(F.array(F.concat(F.lit("17 Journey Data Extract "), month, F.lit(".CSV")),
-                                       F.concat(F.lit("station list "), month, F.lit(".csv")))).alias("source_file"))
+             .select(F.explode(F.array(F.concat(F.lit("17 Journey Data Extract "), year, F.lit(".CSV")),
+                                       F.concat(F.lit("station list "), year, F.lit(".csv")))).alias("source_file"))
              .distinct())
     return manifest.extracts_since(named, 2021)
 
 
 @query("s5_cutoff_replay", f"SELECT prefix, source_file FROM {_NAMES} "
-                           "WHERE prefix = 'nyc_csv/' AND source_file >= 'nyc-modern-202302.csv'")
+                           "WHERE prefix = 'nyc_csv/' AND source_file >= 'nyc-modern-2023Q1.csv'")
 def _(s):
-    return (manifest.from_cutoff(s.names().filter("prefix = 'nyc_csv/'"), "nyc-modern-202302.csv")
+    return (manifest.from_cutoff(s.names().filter("prefix = 'nyc_csv/'"), "nyc-modern-2023Q1.csv")
             .select("prefix", "source_file"))
 
 
@@ -154,7 +154,7 @@ def _(s):
 @query("s7_csv_scan", """SELECT 'london-legacy' AS layout, count(*) AS n, count(start_station_id) AS with_station
   FROM raw_london_legacy""")
 def _(s):
-    routed = _routed(s).filter("source = 'london_legacy'")
+    routed = _routed(s, "london_legacy")
     parts = [load.csv_scan.scan_aligned(s.spark, spec, header, paths)
              for spec, header, paths in load.file_batches(routed, 10_000)]
     every = parts[0]
@@ -182,7 +182,7 @@ def _(s):
     ('end_station_name'), ('end_station_id'), ('start_lat'), ('start_lng'), ('end_lat'), ('end_lng'),
     ('member_casual')) v(m)""")
 def _(s):
-    listed = manifest.list_objects(s.spark, _landing(s), prefix="nyc_csv/")
+    listed = manifest.list_objects(s.spark, _landing(s, "nyc_legacy"), prefix="nyc_csv/")
     with_key = headers.with_headers(listed)
     report = headers.missing_report(with_key)
     return (report.join(with_key.select("path", "key"), "path")
@@ -190,12 +190,14 @@ def _(s):
 
 
 def _raw_roundtrip(source: str, drop: str = ""):
-    columns = ", ".join(n for n in specs.get(source).columns if n not in ("source_file", drop))
+    spec = specs.get(source)
+    columns = ", ".join(n for n in spec.columns if n not in ("source_file", drop))
 
     @query(f"s11_align_{source}", f"SELECT {columns} FROM raw_{source}")
     def _(s):
-        raw = _loaded(s).raw(specs.get(source)).read(s.spark)
-        return shipped(raw).drop("source_file", drop)
+        warehouse = _warehouse(s)
+        load.load_prefix(s.spark, warehouse, _landing(s, source), spec.prefix)
+        return shipped(warehouse.raw(spec).read(s.spark)).drop("source_file", drop)
 
 
 _raw_roundtrip("nyc_legacy")
@@ -209,7 +211,7 @@ _raw_roundtrip("london_modern", drop="total_duration_ms")
     SELECT DISTINCT source_file FROM raw_london_modern), range(9) GROUP BY 1""")
 def _(s):
     required = F.array(*[F.lit(h) for h in specs.LONDON_MODERN.required_headers])
-    return (_routed(s).filter("source = 'london_modern'")
+    return (_routed(s, "london_modern")
             .select(_folder_file().alias("source_file"),
                     F.size(F.array_intersect(required, "header")).cast("bigint").alias("required_present"))
             .distinct())
@@ -219,7 +221,7 @@ def _(s):
   SELECT source_file, count(*) AS n FROM (
     SELECT source_file FROM raw_nyc_legacy UNION ALL SELECT source_file FROM raw_nyc_modern) GROUP BY 1""")
 def _(s):
-    warehouse, root = _warehouse(s), _landing(s)
+    warehouse, root = _warehouse(s), _landing(s, *NYC)
     routed = load.load_prefix(s.spark, warehouse, root, "nyc_csv/")
     lineage = [warehouse.raw(spec).read(s.spark).select("source_file", "landed_id")
                for spec in specs.for_prefix("nyc_csv/")]
@@ -232,7 +234,7 @@ def _(s):
 @query("s13_s14_london_dates", """
   SELECT source_file, min(start_time) AS first_start, max(stop_time) AS last_stop FROM int_london_rides GROUP BY 1""")
 def _(s):
-    warehouse, root = _warehouse(s), _landing(s)
+    warehouse, root = _warehouse(s), _landing(s, *LONDON)
     routed = load.load_prefix(s.spark, warehouse, root, "london_csv/")
     dates = [warehouse.raw(spec).read(s.spark).select("start_date", "end_date", "landed_id")
              for spec in specs.for_prefix("london_csv/")]
@@ -244,7 +246,7 @@ def _(s):
 
 @query("s15_raw_append", "SELECT count(*) AS n, count(DISTINCT bikeid) AS bikes FROM raw_nyc_legacy")
 def _(s):
-    warehouse, root = _warehouse(s), _landing(s)
+    warehouse, root = _warehouse(s), _landing(s, "nyc_legacy")
     for _ in range(2):  # the second load replaces what the first one wrote
         load.load_prefix(s.spark, warehouse, root, "nyc_csv/")
     return (warehouse.raw(specs.NYC_LEGACY).read(s.spark)
@@ -276,7 +278,7 @@ def _(s):
   SELECT 'raw_london_legacy' AS target, count(*) AS rows, 0 AS rejected FROM raw_london_legacy UNION ALL
   SELECT 'raw_london_modern', count(*), 0 FROM raw_london_modern""")
 def _(s):
-    counts = load.load_prefix(s.spark, _warehouse(s), _landing(s), "london_csv/", dry_run=True)
+    counts = load.load_prefix(s.spark, _warehouse(s), _landing(s, *LONDON), "london_csv/", dry_run=True)
     return counts.groupBy("target").agg(F.sum("rows").alias("rows"), F.sum("rejected").alias("rejected"))
 
 
@@ -293,7 +295,7 @@ def _(s):
 @query("s19_load_one_year", """
   SELECT source_file, count(*) AS n FROM raw_nyc_modern WHERE contains(source_file, '2022') GROUP BY 1""")
 def _(s):
-    warehouse, root = _warehouse(s), _landing(s)
+    warehouse, root = _warehouse(s), _landing(s, "nyc_modern")
     routed = load.load_prefix(s.spark, warehouse, root, "nyc_csv/", load.Selection(year=2022))
     per_object = warehouse.raw(specs.NYC_MODERN).read(s.spark).groupBy("landed_id").count()
     return (per_object.join(routed.select("landed_id", _folder_file().alias("source_file")), "landed_id")
@@ -313,13 +315,13 @@ def _(s):
 
 
 @query("s21_raw_table_scan", "SELECT ride_id, rideable_type, started_at FROM raw_nyc_modern "
-                             "WHERE source_file = 'nyc-modern-202203.csv'")
+                             "WHERE source_file = 'nyc-modern-2022Q1.csv'")
 def _(s):
     warehouse = _warehouse(s)
     table = warehouse.raw(specs.NYC_MODERN)
-    table.append(s.raw_nyc_modern().withColumns({
+    table.append(s.raw("nyc_modern").withColumns({
         "ingested_at": F.current_timestamp(), "landed_id": F.lit("sample")}))
-    return (table.read(s.spark).filter("source_file = 'nyc-modern-202203.csv'")
+    return (table.read(s.spark).filter("source_file = 'nyc-modern-2022Q1.csv'")
             .select("ride_id", "rideable_type", "started_at"))
 
 
@@ -341,23 +343,23 @@ def _(s):
 def _(s):
     target = _warehouse(s).rides("int_nyc_rides")
     batch = s.nyc_rides()
-    increments.append_unseen(s.spark, batch.filter("source_file < 'nyc-modern-202301.csv'"), target)
+    increments.append_unseen(s.spark, batch.filter("source_file < 'nyc-modern-2023Q1.csv'"), target)
     increments.append_unseen(s.spark, batch, target)
     return shipped(target.read(s.spark))
 
 
 _REPLACED = f"""
-  SELECT {RIDE_COLUMNS_LONDON} FROM int_london_rides WHERE source_file >= 'london-modern-202301.csv'
+  SELECT {RIDE_COLUMNS_LONDON} FROM int_london_rides WHERE source_file >= 'london-modern-2023Q1.csv'
   UNION ALL
-  SELECT {RIDE_COLUMNS_LONDON} FROM int_london_rides WHERE source_file < 'london-modern-202301.csv'
-    AND ride_id NOT IN (SELECT ride_id FROM int_london_rides WHERE source_file >= 'london-modern-202301.csv')"""
+  SELECT {RIDE_COLUMNS_LONDON} FROM int_london_rides WHERE source_file < 'london-modern-2023Q1.csv'
+    AND ride_id NOT IN (SELECT ride_id FROM int_london_rides WHERE source_file >= 'london-modern-2023Q1.csv')"""
 
 
 @query("s25_incremental_by_key", _REPLACED)
 def _(s):
     target = _warehouse(s).rides("int_london_rides")
     batch = s.london_rides()
-    first = batch.filter("source_file < 'london-modern-202301.csv'")
+    first = batch.filter("source_file < 'london-modern-2023Q1.csv'")
     increments.replace_by_key(s.spark, first, target, ["ride_id"], on_duplicates="keep")
     increments.replace_by_key(s.spark, batch, target, ["ride_id"], on_duplicates="keep")
     return shipped(target.read(s.spark))
@@ -398,7 +400,7 @@ def _(s):
 
 @query("p7_user_type", "SELECT user_type, count(*) AS n FROM stg_nyc_legacy GROUP BY 1")
 def _(s):
-    raw = s.raw_nyc_legacy().select(c.current_user_type("usertype").alias("user_type"))
+    raw = s.raw("nyc_legacy").select(c.current_user_type("usertype").alias("user_type"))
     return raw.groupBy("user_type").agg(F.count("*").alias("n"))
 
 
@@ -505,8 +507,8 @@ def _(s):
 def _(s):
     batch = s.london_rides()
     return shipped(increments.replaced_by_key(
-        batch.filter("source_file < 'london-modern-202301.csv'"),
-        batch.filter("source_file >= 'london-modern-202301.csv'"), ["ride_id"]))
+        batch.filter("source_file < 'london-modern-2023Q1.csv'"),
+        batch.filter("source_file >= 'london-modern-2023Q1.csv'"), ["ride_id"]))
 
 
 _LATEST = ("(SELECT max(year) FROM mart_nyc_station_growth WHERE year BETWEEN 2019 AND 2024)")
@@ -713,10 +715,10 @@ def _(s):
 
 
 @query("x12_name_patterns", f"""
-  SELECT source_file, regexp_extract(source_file, '([0-9]{{4}})([0-9]{{2}})', 1) AS year_text,
+  SELECT source_file, regexp_extract(source_file, '([0-9]{{4}})Q([0-9])', 1) AS year_text,
     regexp_matches(source_file, 'legacy') AS is_legacy FROM {_NAMES}""")
 def _(s):
-    return s.names().select("source_file", F.regexp_extract("source_file", r"(\d{4})(\d{2})", 1).alias("year_text"),
+    return s.names().select("source_file", F.regexp_extract("source_file", r"(\d{4})Q(\d)", 1).alias("year_text"),
                             F.col("source_file").rlike("legacy").alias("is_legacy"))
 
 
@@ -726,7 +728,7 @@ def _(s):
   SELECT 'raw_nyc_legacy' AS table_name, count(*) AS n FROM raw_nyc_legacy UNION ALL
   SELECT 'raw_nyc_modern', count(*) FROM raw_nyc_modern""")
 def _(s):
-    warehouse, root = _warehouse(s), _landing(s)
+    warehouse, root = _warehouse(s), _landing(s, *NYC)
     checkpoint = scratch_path(s.spark, "stream")
     for _ in range(2):  # nothing new for the second run
         stream_landing(s.spark, warehouse, root, "nyc_csv/", checkpoint).awaitTermination()
@@ -741,7 +743,7 @@ def _(s):
         name="harbour_trips", prefix="harbour_csv/", table="raw_harbour_trips", location="harbour", generation="modern",
         fields=(specs.Field("Trip", "trip"), specs.Field("Begun", "begun", "timestamp_ntz")))
     root = scratch_path(s.spark, "landing")
-    (s.raw_nyc_modern().select(F.date_format("started_at", "yyyy-MM-dd HH:mm:ss").alias("Begun"), F.col("ride_id").alias("Trip"))
+    (s.raw("nyc_modern").select(F.date_format("started_at", "yyyy-MM-dd HH:mm:ss").alias("Begun"), F.col("ride_id").alias("Trip"))
      .write.option("header", True).csv(f"{root}/harbour_csv"))
     specs.register(spec)
     try:

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spokeworks.plans import marts, rides, staging
 from spokeworks.session import ship_package
@@ -23,59 +23,111 @@ from spokeworks.sources import specs
 from spokeworks.sources.objects import filesystem_of
 from spokeworks.sources.population import seed_population
 
+#: The columns used; declared, so that building a plan reads no footer.
+LINES = ("l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double,"
+         " l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz")
+
 #: 24 years: ship dates of 1995-2001 become rides of 2019-2025.
 SHIFT_DAYS = 8766
-NYC_MODERN_FROM = dt.date(2021, 2, 1)
-LONDON_MODERN_FROM = dt.date(2022, 9, 1)
-
-
-def _day() -> Column:
-    return F.date_add(F.col("l_shipdate").cast("date"), SHIFT_DAYS)
-
-
-def _seconds(amount: Column) -> Column:
-    zero = F.lit(0)
-    return F.make_dt_interval(zero, zero, zero, amount.cast("decimal(18,6)"))
-
-
-def _start() -> Column:
-    return _day().cast("timestamp_ntz") + F.make_dt_interval(
-        F.lit(0), (F.col("l_partkey") % 24).cast("int"), (F.col("l_suppkey") % 60).cast("int"))
-
-
-def _stop(seconds: Column) -> Column:
-    signed = F.when(F.col("l_partkey") % 50 == 0, -seconds).otherwise(seconds)
-    return F.when(F.col("l_partkey") % 89 != 0, _start() + _seconds(signed))
-
-
-def _text(column: str) -> Column:
-    return F.col(column).cast("string")
-
-
-def _start_station() -> Column:
-    return F.when(F.col("l_partkey") % 97 != 0, _text("l_partkey"))
 
-
-def _station_name(column: str) -> Column:
-    return F.concat(F.lit("Station "), _text(column))
-
-
-def _degrees(base: float, column: str) -> Column:
-    return F.lit(base) + (F.col(column) % 5000).cast("double") / 10000.0
-
-
-def _file(stem: str) -> Column:
-    return F.concat(F.lit(stem), F.date_format(_day(), "yyyyMM"), F.lit(".csv"))
-
-
-def _issued_id() -> Column:
-    return F.concat(_text("l_orderkey"), F.lit("-"), _text("l_linenumber"))
-
-
-def _member_word(member: str, casual: str) -> Column:
-    flag = F.col("l_returnflag")
-    return (F.when(flag == "R", member).when(flag == "A", casual)
-            .when(F.col("l_partkey") % 11 != 0, "Other"))
+_DAY = f"date_add(cast(l_shipdate AS date), {SHIFT_DAYS})"
+_START = (f"cast({_DAY} AS timestamp_ntz) + "
+          "make_dt_interval(0, cast(l_partkey % 24 AS int), cast(l_suppkey % 60 AS int))")
+_STATION = "CASE WHEN l_partkey % 97 <> 0 THEN cast(l_partkey AS string) END"
+_ISSUED = "concat(l_orderkey, '-', l_linenumber)"
+
+
+def _stop(seconds: str) -> str:
+    """Every 50th part rides backwards in time, every 89th never arrives."""
+    elapsed = f"make_dt_interval(0, 0, 0, cast({seconds} AS decimal(18,6)))"
+    signed = f"CASE WHEN l_partkey % 50 = 0 THEN -{elapsed} ELSE {elapsed} END"
+    return f"CASE WHEN l_partkey % 89 <> 0 THEN {_START} + {signed} END"
+
+
+def _degrees(base: str, key: str) -> str:
+    return f"double({base}) + double({key} % 5000) / double(10000)"
+
+
+def _file(stem: str) -> str:
+    """One source file per quarter, such as nyc-modern-2021Q3.csv."""
+    return f"concat('{stem}', year({_DAY}), 'Q', quarter({_DAY}), '.csv')"
+
+
+def _rider(member: str, casual: str) -> str:
+    return (f"CASE l_returnflag WHEN 'R' THEN '{member}' WHEN 'A' THEN '{casual}' "
+            "ELSE CASE WHEN l_partkey % 11 <> 0 THEN 'Other' END END")
+
+
+def _either(even: str, odd: str) -> str:
+    return f"if(l_linenumber % 2 = 0, '{even}', '{odd}')"
+
+
+#: Raw layout -> {column: expression over lineitem}.
+COLUMNS = {
+    "nyc_legacy": {
+        "tripduration": "bigint(l_quantity * 60 + l_linenumber)",
+        "bikeid": "string(l_orderkey)",
+        "starttime": _START,
+        "stoptime": _stop("l_quantity * 60 + l_linenumber"),
+        "start_station_id": _STATION,
+        "start_station_name": "concat('Station ', l_partkey)",
+        "start_station_latitude": _degrees("40.5", "l_partkey"),
+        "start_station_longitude": _degrees("-74.0", "l_partkey"),
+        "end_station_id": "string(l_suppkey)",
+        "end_station_name": "concat('Station ', l_suppkey)",
+        "end_station_latitude": _degrees("40.5", "l_suppkey"),
+        "end_station_longitude": _degrees("-74.0", "l_suppkey"),
+        "usertype": _rider("Subscriber", "Customer"),
+        "birth_year": "CASE WHEN l_suppkey % 13 <> 0 THEN 1940 + l_suppkey % 60 END",
+        "gender": "bigint(l_linenumber % 3)",
+        "source_file": _file("nyc-legacy-"),
+    },
+    "nyc_modern": {
+        "ride_id": _ISSUED,
+        "rideable_type": _either("classic_bike", "electric_bike"),
+        "started_at": _START,
+        "ended_at": _stop("l_quantity * 60 + l_linenumber + l_suppkey % 4 * 0.25"),
+        "start_station_id": _STATION,
+        "start_station_name": "concat('Station ', l_partkey)",
+        "end_station_id": "string(l_suppkey)",
+        "end_station_name": "concat('Station ', l_suppkey)",
+        "start_lat": _degrees("40.5", "l_partkey"),
+        "start_lng": _degrees("-74.0", "l_partkey"),
+        "end_lat": _degrees("40.5", "l_suppkey"),
+        "end_lng": _degrees("-74.0", "l_suppkey"),
+        "member_casual": _rider("member", "casual"),
+        "source_file": _file("nyc-modern-"),
+    },
+    "london_legacy": {
+        "rental_id": _ISSUED,
+        "bike_id": "string(l_suppkey)",
+        "start_date": _START,
+        "end_date": _stop("l_quantity * 60"),
+        "duration": "bigint(l_quantity * 60)",
+        "start_station_id": _STATION,
+        "start_station_name": "concat('Station ', l_partkey)",
+        "end_station_id": "string(l_suppkey)",
+        "end_station_name": "concat('Station ', l_suppkey)",
+        "source_file": _file("london-legacy-"),
+    },
+    "london_modern": {
+        "number": _ISSUED,
+        "bike_number": "string(l_suppkey)",
+        "bike_model": _either("CLASSIC", "PBSC_EBIKE"),
+        "start_date": _START,
+        "end_date": _stop("l_quantity * 60"),
+        "total_duration": "concat(bigint(l_quantity), 'm 0s')",
+        "total_duration_ms": "bigint(l_quantity * 60000)",
+        "start_station_number": _STATION,
+        "start_station": "concat('Station ', l_partkey)",
+        "end_station_number": "string(l_suppkey)",
+        "end_station": "concat('Station ', l_suppkey)",
+        "source_file": _file("london-modern-"),
+    },
+}
+
+#: City -> (line status of its rides, first day of its modern layout).
+CITIES = {"nyc": ("O", dt.date(2021, 2, 1)), "london": ("F", dt.date(2022, 9, 1))}
 
 
 @dataclass(frozen=True)
@@ -85,66 +137,15 @@ class SampleRides:
     spark: SparkSession
     sf_dir: str
 
-    def _lines(self, city: str, modern_from: dt.date, modern: bool) -> DataFrame:
-        lines = self.spark.read.parquet(f"{self.sf_dir.rstrip('/')}/lineitem.parquet")
-        # On the stored column, so that the date range reaches the Parquet scan.
-        switch = F.lit(modern_from - dt.timedelta(days=SHIFT_DAYS)).cast("timestamp_ntz")
-        generation = F.col("l_shipdate") >= switch if modern else F.col("l_shipdate") < switch
-        return lines.filter((F.col("l_linestatus") == {"nyc": "O", "london": "F"}[city]) & generation)
-
-    def raw_nyc_legacy(self) -> DataFrame:
-        seconds = (F.col("l_quantity") * 60 + F.col("l_linenumber")).cast("bigint")
-        return self._lines("nyc", NYC_MODERN_FROM, modern=False).select(
-            seconds.alias("tripduration"), _text("l_orderkey").alias("bikeid"),
-            _start().alias("starttime"), _stop(seconds).alias("stoptime"),
-            _start_station().alias("start_station_id"), _station_name("l_partkey").alias("start_station_name"),
-            _degrees(40.5, "l_partkey").alias("start_station_latitude"),
-            _degrees(-74.0, "l_partkey").alias("start_station_longitude"),
-            _text("l_suppkey").alias("end_station_id"), _station_name("l_suppkey").alias("end_station_name"),
-            _degrees(40.5, "l_suppkey").alias("end_station_latitude"),
-            _degrees(-74.0, "l_suppkey").alias("end_station_longitude"),
-            _member_word("Subscriber", "Customer").alias("usertype"),
-            F.when(F.col("l_suppkey") % 13 != 0, 1940 + F.col("l_suppkey") % 60).alias("birth_year"),
-            (F.col("l_linenumber") % 3).cast("bigint").alias("gender"),
-            _file("nyc-legacy-").alias("source_file"))
-
-    def raw_nyc_modern(self) -> DataFrame:
-        millis = F.col("l_quantity") * 60000 + F.col("l_linenumber") * 1000 + F.col("l_suppkey") % 4 * 250
-        seconds = (millis.cast("decimal(15,0)") / 1000).cast("decimal(18,6)")
-        return self._lines("nyc", NYC_MODERN_FROM, modern=True).select(
-            _issued_id().alias("ride_id"),
-            F.when(F.col("l_linenumber") % 2 == 0, "classic_bike").otherwise("electric_bike").alias("rideable_type"),
-            _start().alias("started_at"), _stop(seconds).alias("ended_at"),
-            _start_station().alias("start_station_id"), _station_name("l_partkey").alias("start_station_name"),
-            _text("l_suppkey").alias("end_station_id"), _station_name("l_suppkey").alias("end_station_name"),
-            _degrees(40.5, "l_partkey").alias("start_lat"), _degrees(-74.0, "l_partkey").alias("start_lng"),
-            _degrees(40.5, "l_suppkey").alias("end_lat"), _degrees(-74.0, "l_suppkey").alias("end_lng"),
-            _member_word("member", "casual").alias("member_casual"),
-            _file("nyc-modern-").alias("source_file"))
-
-    def raw_london_legacy(self) -> DataFrame:
-        seconds = (F.col("l_quantity") * 60).cast("bigint")
-        return self._lines("london", LONDON_MODERN_FROM, modern=False).select(
-            _issued_id().alias("rental_id"), _text("l_suppkey").alias("bike_id"),
-            _start().alias("start_date"), _stop(seconds).alias("end_date"), seconds.alias("duration"),
-            _start_station().alias("start_station_id"), _station_name("l_partkey").alias("start_station_name"),
-            _text("l_suppkey").alias("end_station_id"), _station_name("l_suppkey").alias("end_station_name"),
-            _file("london-legacy-").alias("source_file"))
-
-    def raw_london_modern(self) -> DataFrame:
-        minutes = F.col("l_quantity").cast("bigint")
-        return self._lines("london", LONDON_MODERN_FROM, modern=True).select(
-            _issued_id().alias("number"), _text("l_suppkey").alias("bike_number"),
-            F.when(F.col("l_linenumber") % 2 == 0, "CLASSIC").otherwise("PBSC_EBIKE").alias("bike_model"),
-            _start().alias("start_date"), _stop(minutes * 60).alias("end_date"),
-            F.concat(minutes.cast("string"), F.lit("m 0s")).alias("total_duration"),
-            (minutes * 60000).alias("total_duration_ms"),
-            _start_station().alias("start_station_number"), _station_name("l_partkey").alias("start_station"),
-            _text("l_suppkey").alias("end_station_number"), _station_name("l_suppkey").alias("end_station"),
-            _file("london-modern-").alias("source_file"))
-
     def raw(self, source: str) -> DataFrame:
-        return getattr(self, f"raw_{source}")()
+        spec = specs.get(source)
+        status, modern_from = CITIES[spec.location]
+        # On the stored column, so that the date range reaches the Parquet scan.
+        switch = modern_from - dt.timedelta(days=SHIFT_DAYS)
+        side = ">=" if spec.generation == "modern" else "<"
+        lines = (self.spark.read.schema(LINES).parquet(f"{self.sf_dir.rstrip('/')}/lineitem.parquet")
+                 .filter(f"l_linestatus = '{status}' AND l_shipdate {side} timestamp_ntz'{switch} 00:00:00'"))
+        return lines.selectExpr(*[f"{value} AS `{name}`" for name, value in COLUMNS[source].items()])
 
     def staging(self, source: str) -> DataFrame:
         return staging.MODELS[source](self.raw(source))
@@ -200,29 +201,34 @@ class SampleRides:
         fields = [f for f in spec.fields if f.header not in without]
         return self.raw(source).select(*[
             (F.date_format(f.name, formats[f.layouts[0]]) if f.kind == "timestamp_ntz"
-             else _text(f.name)).alias(f.header) for f in fields
+             else F.col(f.name).cast("string")).alias(f.header) for f in fields
         ], "source_file")
 
-    def write_landing(self, root: str) -> str:
-        """CSV files of all four layouts in the folders the loader expects.
+    def write_landing(self, root: str, *sources: str) -> str:
+        """CSV files in the folders the loader expects, of the given layouts or all four.
 
         Some modern files come with their columns reordered, an extra column, or
-        an optional one missing; a copy of the legacy rides lacks a required one.
+        an optional one missing; a copy of the legacy rides lacks required ones.
         """
         def land(rows: DataFrame, folder: str) -> None:
             rows.write.option("header", True).partitionBy("source_file").csv(f"{root}/{folder}")
 
-        land(self.landing_text("nyc_legacy"), "nyc_csv/legacy")
-        land(self.landing_text("nyc_legacy", without=("usertype", "gender")), "nyc_csv/incomplete")
-        modern = self.landing_text("nyc_modern")
-        land(modern.filter("rideable_type = 'classic_bike'"), "nyc_csv/classic")
-        turned = modern.filter("rideable_type = 'electric_bike'")
-        order = [c for c in reversed(turned.columns) if c != "source_file"]
-        land(turned.select(*order, F.lit("kept out").alias("remark"), "source_file"), "nyc_csv/electric")
-        land(self.landing_text("london_legacy"), "london_csv/legacy")
-        land(self.landing_text("london_modern").filter("`Bike model` = 'CLASSIC'"), "london_csv/classic")
-        land(self.landing_text("london_modern", without=("Total duration (ms)",))
-             .filter("`Bike model` <> 'CLASSIC'"), "london_csv/ebike")
+        wanted = sources or tuple(staging.MODELS)
+        if "nyc_legacy" in wanted:
+            land(self.landing_text("nyc_legacy"), "nyc_csv/legacy")
+            land(self.landing_text("nyc_legacy", without=("usertype", "gender")), "nyc_csv/incomplete")
+        if "nyc_modern" in wanted:
+            modern = self.landing_text("nyc_modern")
+            land(modern.filter("rideable_type = 'classic_bike'"), "nyc_csv/classic")
+            turned = modern.filter("rideable_type = 'electric_bike'")
+            order = [c for c in reversed(turned.columns) if c != "source_file"]
+            land(turned.select(*order, F.lit("kept out").alias("remark"), "source_file"), "nyc_csv/electric")
+        if "london_legacy" in wanted:
+            land(self.landing_text("london_legacy"), "london_csv/legacy")
+        if "london_modern" in wanted:
+            land(self.landing_text("london_modern").filter("`Bike model` = 'CLASSIC'"), "london_csv/classic")
+            land(self.landing_text("london_modern", without=("Total duration (ms)",))
+                 .filter("`Bike model` <> 'CLASSIC'"), "london_csv/ebike")
         return root
 
     def write_archives(self, folder: str) -> str:

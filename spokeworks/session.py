@@ -17,6 +17,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # Partitioned writes keep a few writers open instead of sorting each task.
     "spark.sql.maxConcurrentOutputFileWriters": "32",
+    # Recording a Python stack for every column expression costs seconds on wide plans.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
