@@ -7,7 +7,7 @@ on rows that number in the thousands. Stored marts carry no order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from spokeworks.functions import columns as c
 
@@ -17,11 +17,9 @@ METRICS = ("total_rides", "avg_duration_minutes", "member_rides", "casual_rides"
 #: Metrics that a city may not have; their rows are left out instead of kept as NULL.
 OPTIONAL_METRICS = ("member_rides", "casual_rides")
 
-_DAILY_TAIL = ("total_minutes_biked", "population", "rides_per_1000")
 
-
-def daily_totals(rides: DataFrame, has_members: bool) -> DataFrame:
-    """Per city and day: ride counts and exact seconds."""
+def ride_totals(rides: DataFrame, has_members: bool, **by: Column) -> DataFrame:
+    """Ride counts and exact seconds per city and the given calendar columns."""
     totals = {
         "total_rides": F.count("*"),
         "timed_rides": F.count("duration_seconds"),
@@ -30,31 +28,50 @@ def daily_totals(rides: DataFrame, has_members: bool) -> DataFrame:
     if has_members:
         totals["member_rides"] = c.count_where(F.col("user_type") == "member")
         totals["casual_rides"] = c.count_where(F.col("user_type") == "casual")
-    return (rides.groupBy("location", c.day_of("start_time").alias("date"))
+    return (rides.groupBy("location", *[value.alias(name) for name, value in by.items()])
             .agg(*[value.alias(name) for name, value in totals.items()]))
 
 
+def hour_totals(rides: DataFrame, has_members: bool) -> DataFrame:
+    """The grain the daily, hourly and monthly marts share: city x day x hour."""
+    return ride_totals(rides, has_members, date=c.day_of("start_time"), hour_of_day=c.hour_of("start_time"))
+
+
+def day_totals(rides: DataFrame, has_members: bool) -> DataFrame:
+    return ride_totals(rides, has_members, date=c.day_of("start_time"))
+
+
+def rolled_up(totals: DataFrame, *by: str | Column) -> DataFrame:
+    """Totals summed to a coarser grain."""
+    measures = [n for n in ("total_rides", "timed_rides", "seconds", *OPTIONAL_METRICS) if n in totals.columns]
+    return totals.groupBy(*by).agg(*[F.sum(n).alias(n) for n in measures])
+
+
 def with_population(rows: DataFrame, population: DataFrame) -> DataFrame:
     """Left join on city and year; an unlisted year leaves the population NULL."""
     return rows.join(population.select("location", "year", "population"), ["location", "year"], "left")
 
 
-def daily_metrics(rides: DataFrame, population: DataFrame, has_members: bool) -> DataFrame:
+def daily_rates(totals: DataFrame, population: DataFrame) -> DataFrame:
+    """Daily mart from totals per city and day."""
     seconds = F.col("seconds").cast("double")
-    days = daily_totals(rides, has_members).withColumn("year", c.year_of("date"))
-    members = ["member_rides", "casual_rides"] if has_members else []
-    return with_population(days, population).select(
+    days = with_population(totals.withColumn("year", c.year_of("date")), population)
+    return days.select(
         "location", "date", "year",
         c.day_type("date").alias("day_type"),
         "total_rides",
         (seconds / F.nullif(F.col("timed_rides"), F.lit(0)) / 60).alias("avg_duration_minutes"),
-        *members,
+        *[n for n in OPTIONAL_METRICS if n in totals.columns],
         (seconds / 60).alias("total_minutes_biked"),
         "population",
         c.per_thousand("total_rides", "population").alias("rides_per_1000"),
     )
 
 
+def daily_metrics(rides: DataFrame, population: DataFrame, has_members: bool) -> DataFrame:
+    return daily_rates(day_totals(rides, has_members), population)
+
+
 def hourly_patterns(rides: DataFrame) -> DataFrame:
     return (rides.groupBy("location", c.hour_of("start_time").alias("hour_of_day"))
             .agg(F.count("*").alias("ride_count")))
@@ -65,6 +82,20 @@ def member_analysis(rides: DataFrame) -> DataFrame:
             .agg(c.percent_where(F.col("user_type") == "member").alias("member_percentage")))
 
 
+def daily_from_hours(hours: DataFrame, population: DataFrame) -> DataFrame:
+    return daily_rates(rolled_up(hours, "location", "date"), population)
+
+
+def hourly_from_hours(hours: DataFrame) -> DataFrame:
+    return hours.groupBy("location", "hour_of_day").agg(F.sum("total_rides").alias("ride_count"))
+
+
+def members_from_hours(hours: DataFrame) -> DataFrame:
+    months = rolled_up(hours, "location", c.month_of("date").alias("month"))
+    share = F.col("member_rides").cast("double") * 100.0 / F.col("total_rides").cast("double")
+    return months.select("location", "month", share.alias("member_percentage"))
+
+
 def station_counts(rides: DataFrame) -> DataFrame:
     """Distinct start stations per city and year, exact.
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spokeworks.operators.increments import append_unseen, replace_by_key
 from spokeworks.plans import marts, rides, staging
-from spokeworks.plans.warehouse import Warehouse
+from spokeworks.plans.warehouse import MART_SCHEMAS, RIDE_SCHEMAS, Warehouse
+from spokeworks.session import scratch_path
 from spokeworks.sources import specs
 from spokeworks.sources.population import check_unique
 
@@ -47,20 +48,22 @@ def refresh_rides(spark: SparkSession, warehouse: Warehouse, stored_staging: boo
 
 
 def refresh_marts(spark: SparkSession, warehouse: Warehouse, population: DataFrame) -> None:
+    """Rebuild every mart with two scans of each city's rides.
+
+    One scan brings the rides down to city x day x hour, which the daily, hourly
+    and membership marts are read from; the other finds the distinct stations.
+    """
     check_unique(population)
-    nyc = warehouse.rides("int_nyc_rides").read(spark)
-    london = warehouse.rides("int_london_rides").read(spark)
-    models = {
-        "mart_nyc_daily_metrics": marts.daily_metrics(nyc, population, has_members=True),
-        "mart_london_daily_metrics": marts.daily_metrics(london, population, has_members=False),
-        "mart_nyc_hourly_patterns": marts.hourly_patterns(nyc),
-        "mart_london_hourly_patterns": marts.hourly_patterns(london),
-        "mart_nyc_member_analysis": marts.member_analysis(nyc),
-        "mart_nyc_station_growth": marts.station_growth(nyc, population),
-        "mart_london_station_growth": marts.station_growth(london, population),
-    }
-    for name, df in models.items():
-        warehouse.mart(name).rebuild(df)
+    for city, has_members in (("nyc", True), ("london", False)):
+        ride_table = warehouse.rides(f"int_{city}_rides").read(spark)
+        path = scratch_path(spark, f"{city}-hours")
+        marts.hour_totals(ride_table, has_members).write.parquet(path)
+        hours = spark.read.parquet(path)
+        warehouse.mart(f"mart_{city}_daily_metrics").rebuild(marts.daily_from_hours(hours, population))
+        warehouse.mart(f"mart_{city}_hourly_patterns").rebuild(marts.hourly_from_hours(hours))
+        if has_members:
+            warehouse.mart(f"mart_{city}_member_analysis").rebuild(marts.members_from_hours(hours))
+        warehouse.mart(f"mart_{city}_station_growth").rebuild(marts.station_growth(ride_table, population))
     # Built from the stored daily marts, so the rides are not read again.
     daily = marts.combined_daily(warehouse.mart("mart_nyc_daily_metrics").read(spark),
                                  warehouse.mart("mart_london_daily_metrics").read(spark))
@@ -77,7 +80,6 @@ def refresh(spark: SparkSession, warehouse: Warehouse, population: DataFrame,
 
 def register_views(spark: SparkSession, warehouse: Warehouse) -> None:
     """Temp views under the relation names, for plain SQL over the warehouse."""
-    from spokeworks.plans.warehouse import MART_SCHEMAS, RIDE_SCHEMAS
     for source in staging.MODELS:
         warehouse.raw(specs.get(source)).read(spark).createOrReplaceTempView(f"raw_{source}")
         staged(spark, warehouse, source).createOrReplaceTempView(f"stg_{source}")

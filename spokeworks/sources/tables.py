@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, types as T
 
 
@@ -19,12 +18,9 @@ class ParquetTable:
 
         The schema is given, so partition values keep their declared type.
         """
-        try:
-            return spark.read.schema(self.schema).parquet(self.path)
-        except AnalysisException as missing:
-            if missing.getCondition() != "PATH_NOT_FOUND":
-                raise
+        if not exists(spark, self.path):
             return spark.createDataFrame([], self.schema)
+        return spark.read.schema(self.schema).parquet(self.path)
 
     def _writer(self, df: DataFrame):
         columns = [df[c] for c in T.StructType.fromDDL(self.schema).fieldNames()]
@@ -36,7 +32,8 @@ class ParquetTable:
 
     def rebuild(self, df: DataFrame) -> None:
         """Full refresh."""
-        self._writer(df).mode("overwrite").parquet(self.path)
+        (self._writer(df).mode("overwrite")
+         .option("partitionOverwriteMode", "static").parquet(self.path))
 
     def append(self, df: DataFrame) -> None:
         self._writer(df).mode("append").parquet(self.path)
