@@ -28,11 +28,12 @@ def scan_text(spark: SparkSession, header: Sequence[str], paths: Sequence[str])
     """All columns as text under positional names, plus lineage; nothing is inferred."""
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(header))])
     schema = schema.add(OVERFLOW, "string")
-    uri = F.col("_metadata.file_path")
+    uri, encoded_name = F.col("_metadata.file_path"), F.col("_metadata.file_name")
+    name = F.url_decode(F.replace(encoded_name, F.lit("+"), F.lit("%2B")))
     return (spark.read.schema(schema)
             .option("header", True).option("escape", '"')
             .csv([literal_path(p) for p in paths])
-            .select("*", F.col("_metadata.file_name").alias("source_file"),
+            .select("*", name.alias("source_file"),
                     landed_id(uri).alias("landed_id")))
 
 

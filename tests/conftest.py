@@ -13,7 +13,7 @@ from spokeworks.session import build_session  # noqa: E402
 def spark(tmp_path_factory):
     session = build_session("tests", "local[4]", **{
         "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g", "spark.ui.enabled": "false",
-        "spark.ui.showConsoleProgress": "false",
+        "spark.ui.showConsoleProgress": "false", "spark.sql.maxMetadataStringLength": "5000",
         "spark.checkpoint.dir": str(tmp_path_factory.mktemp("scratch")),
         "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse"))})
     session.sparkContext.setLogLevel("ERROR")
