@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spokeworks.operators.sized_joins import BROADCAST_ROWS, join_sized
-from spokeworks.session import scratch_path
 from spokeworks.sources.tables import ParquetTable, delete, exists
 
 #: Up to this many file names become a partition filter of the scan.
@@ -65,45 +64,47 @@ def replace_by_key(spark: SparkSession, batch: DataFrame, target: ParquetTable,
                    keys: list[str], on_duplicates: str = "error") -> None:
     """Publish the new files of ``batch``, replacing target rows with the same key.
 
-    Only partitions that lose a row are rewritten. The new state is staged next
-    to the target first; a run that dies while publishing is completed by the
-    next one, as publishing can be repeated.
+    The batch is read by key column until it is written, once, into partitions
+    of its own. Of the target only partitions that lose a row are rewritten:
+    what remains of them is staged first, then a marker is set, then all is put
+    in place. Every step after the marker can be repeated, and the next run
+    completes one that died there.
     """
     if on_duplicates not in ("error", "keep"):
         raise ValueError("on_duplicates is 'error' or 'keep'")
     pending = f"{target.path.rstrip('/')}__pending"
-    staged = ParquetTable(f"{pending}/rows", target.schema, target.partition_by)
+    staged = ParquetTable(f"{pending}/survivors", target.schema, target.partition_by)
     _finish_pending(spark, target, staged, pending)
 
     current = target.read(spark)
-    # Written once: it is checked for duplicates, joined twice and published.
-    fresh = ParquetTable(scratch_path(spark, "batch"), target.schema, target.partition_by)
-    fresh.rebuild(unseen_partitions(batch, current))
-    rows = fresh.read(spark)
-    if rows.isEmpty():
-        return
+    rows = unseen_partitions(batch, current)
     if on_duplicates == "error":
         repeated = duplicate_keys(rows, keys).limit(5).collect()
         if repeated:
             raise DuplicateKeys(f"{target.path}: {[tuple(r)[:-1] for r in repeated]}")
+    if not current.isEmpty():
+        _stage_survivors(spark, current, rows.select(*keys).dropna().distinct(), staged, pending, keys)
+    target.replace_partitions(rows)
+    _finish_pending(spark, target, staged, pending)
 
-    place = list(target.partition_by)
-    incoming = rows.select(*keys).dropna().distinct()
+
+def _stage_survivors(spark: SparkSession, current: DataFrame, incoming: DataFrame,
+                     staged: ParquetTable, pending: str, keys: list[str]) -> None:
+    """Write what stays of the partitions that lose rows, and which ones those are."""
+    place = list(staged.partition_by)
     lost = (current.select(*keys, *place).join(incoming, keys, "left_semi")
             .groupBy(*place).agg(F.count("*").alias("lost")))
     losing = f"{pending}/losing"
     (lost.join(current.groupBy(*place).agg(F.count("*").alias("held")), place)
      .write.mode("overwrite").parquet(losing))
     touched = spark.read.parquet(losing).filter("lost < held").select(*place)
-    survivors = (join_sized(current, touched, place, "left_semi")
-                 .join(incoming, keys, "left_anti"))
-    staged.rebuild(survivors.unionByName(rows))
+    staged.rebuild(join_sized(current, touched, place, "left_semi").join(incoming, keys, "left_anti"))
     spark.range(1).write.mode("overwrite").parquet(f"{pending}/complete")
-    _finish_pending(spark, target, staged, pending)
 
 
 def _finish_pending(spark: SparkSession, target: ParquetTable,
                     staged: ParquetTable, pending: str) -> None:
+    """Put staged survivors in place and drop the partitions left without a row."""
     if not exists(spark, f"{pending}/complete/_SUCCESS"):
         return
     target.replace_partitions(staged.read(spark))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 
 from spokeworks.operators.increments import append_unseen, replace_by_key
@@ -54,7 +56,8 @@ def refresh_marts(spark: SparkSession, warehouse: Warehouse, population: DataFra
     and membership marts are read from; the other finds the distinct stations.
     """
     check_unique(population)
-    for city, has_members in (("nyc", True), ("london", False)):
+
+    def city_marts(city: str, has_members: bool) -> None:
         ride_table = warehouse.rides(f"int_{city}_rides").read(spark)
         path = scratch_path(spark, f"{city}-hours")
         marts.hour_totals(ride_table, has_members).write.parquet(path)
@@ -63,7 +66,17 @@ def refresh_marts(spark: SparkSession, warehouse: Warehouse, population: DataFra
         warehouse.mart(f"mart_{city}_hourly_patterns").rebuild(marts.hourly_from_hours(hours))
         if has_members:
             warehouse.mart(f"mart_{city}_member_analysis").rebuild(marts.members_from_hours(hours))
+
+    def city_growth(city: str) -> None:
+        ride_table = warehouse.rides(f"int_{city}_rides").read(spark)
         warehouse.mart(f"mart_{city}_station_growth").rebuild(marts.station_growth(ride_table, population))
+
+    # Independent jobs, submitted together: their small last stages overlap.
+    with ThreadPoolExecutor(4) as jobs:
+        running = [jobs.submit(city_marts, "nyc", True), jobs.submit(city_marts, "london", False),
+                   jobs.submit(city_growth, "nyc"), jobs.submit(city_growth, "london")]
+    for job in running:
+        job.result()
     # Built from the stored daily marts, so the rides are not read again.
     daily = marts.combined_daily(warehouse.mart("mart_nyc_daily_metrics").read(spark),
                                  warehouse.mart("mart_london_daily_metrics").read(spark))

@@ -62,24 +62,25 @@ def test_duplicates_in_a_batch(spark, target, rows):
     assert len(held(spark, target)) == 3
 
 
-def test_interrupted_publication_is_completed(spark, target, rows, monkeypatch):
+@pytest.mark.parametrize("published", ["nothing", "one file", "the batch"])
+def test_interrupted_publication_is_completed(spark, target, rows, monkeypatch, published):
     replace_by_key(spark, rows(("a", 1, "f1"), ("b", 1, "f2"), ("c", 1, "f2")), target, ["ride_id"])
-    publish, calls = increments._finish_pending, []
+    batch = rows(("a", 2, "f3"), ("b", 2, "f4"))
 
-    def dies_after_staging(*args):
-        calls.append(1)
-        if len(calls) == 2:
-            raise RuntimeError("lost the driver")
-        publish(*args)
+    def dies(table, df):
+        if published == "one file":
+            write(table, df.filter("source_file = 'f3'"))
+        if published == "the batch":
+            write(table, df)
+        raise RuntimeError("lost the driver")
 
-    monkeypatch.setattr(increments, "_finish_pending", dies_after_staging)
-    batch = rows(("a", 2, "f3"), ("b", 2, "f3"))
+    write = ParquetTable.replace_partitions
+    monkeypatch.setattr(ParquetTable, "replace_partitions", dies)
     with pytest.raises(RuntimeError):
         replace_by_key(spark, batch, target, ["ride_id"])
-    assert held(spark, target) == [("a", 1, "f1"), ("b", 1, "f2"), ("c", 1, "f2")]
     monkeypatch.undo()
     replace_by_key(spark, batch, target, ["ride_id"])
-    assert held(spark, target) == [("a", 2, "f3"), ("b", 2, "f3"), ("c", 1, "f2")]
+    assert held(spark, target) == [("a", 2, "f3"), ("b", 2, "f4"), ("c", 1, "f2")]
 
 
 def test_hot_file_and_hot_key(spark, target):
