@@ -8,6 +8,7 @@ engines return the same types.
 from __future__ import annotations
 
 import datetime as dt
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -154,12 +155,9 @@ def _(s):
 @query("s7_csv_scan", """SELECT 'london-legacy' AS layout, count(*) AS n, count(start_station_id) AS with_station
   FROM raw_london_legacy""")
 def _(s):
-    routed = _routed(s, "london_legacy")
-    parts = [load.csv_scan.scan_aligned(s.spark, spec, header, paths)
-             for spec, header, paths in load.file_batches(routed, 10_000)]
-    every = parts[0]
-    for more in parts[1:]:
-        every = every.unionByName(more)
+    parts = [load.csv_scan.scan_aligned(s.spark, spec, scans)
+             for spec, scans in load.file_batches(_routed(s, "london_legacy"))]
+    every = functools.reduce(DataFrame.unionByName, parts)
     return every.agg(F.lit("london-legacy").alias("layout"), F.count("*").alias("n"),
                      F.count("start_station_id").alias("with_station"))
 

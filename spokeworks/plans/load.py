@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -44,42 +45,55 @@ def not_loaded(spark: SparkSession, warehouse: Warehouse, routed: DataFrame) ->
     return routed
 
 
-def file_batches(routed: DataFrame, files_per_batch: int) -> Iterator[tuple[specs.SourceSpec, tuple[str, ...], list[str]]]:
-    """(layout, header, paths) groups of bounded size, whatever the number of files.
+def file_batches(routed: DataFrame, files_per_batch: int = 2_000, headers_per_batch: int = 16
+                 ) -> Iterator[tuple[specs.SourceSpec, dict[tuple[str, ...], list[str]]]]:
+    """(layout, {header: paths}) groups of bounded size, whatever the number of files.
 
     Paths stream to the driver in order, a batch at a time; a scan needs them by name.
     """
     ordered = (routed.filter("source is not null").select("source", "header", "path")
                .orderBy("source", "header", "path"))
-    rows = ordered.toLocalIterator()
-    for (source, header), group in itertools.groupby(rows, lambda r: (r.source, tuple(r.header))):
-        while paths := [r.path for r in itertools.islice(group, files_per_batch)]:
-            yield specs.get(source), header, paths
+    for source, rows in itertools.groupby(ordered.toLocalIterator(), lambda r: r.source):
+        scans, held = {}, 0
+        for row in rows:
+            header = tuple(row.header)
+            if held == files_per_batch or (header not in scans and len(scans) == headers_per_batch):
+                yield specs.get(source), scans
+                scans, held = {}, 0
+            scans.setdefault(header, []).append(row.path)
+            held += 1
+        yield specs.get(source), scans
 
 
 def load_routed(spark: SparkSession, warehouse: Warehouse, routed: DataFrame, files_per_batch: int = 2_000) -> None:
-    """Scan, align and publish each batch of files; unreadable values go to the rejects."""
-    for spec, header, paths in file_batches(routed, files_per_batch):
-        aligned = csv_scan.scan_aligned(spark, spec, header, paths)
-        seen = Observation()
-        watched = aligned.observe(seen, F.count_if(F.size("problems") > 0).alias("rejected"))
-        warehouse.raw(spec).replace_partitions(csv_scan.good_rows(watched))
-        if seen.get["rejected"]:
-            warehouse.rejects().replace_partitions(csv_scan.rejected_values(aligned, spec))
+    """Scan, align and publish the files batch by batch; unreadable values go to the rejects.
+
+    Layouts have tables of their own, so their jobs run side by side.
+    """
+    def load_source(source: str) -> None:
+        for spec, scans in file_batches(routed.filter(F.col("source") == source), files_per_batch):
+            aligned = csv_scan.scan_aligned(spark, spec, scans)
+            seen = Observation()
+            watched = aligned.observe(seen, F.count_if(F.size("problems") > 0).alias("rejected"))
+            warehouse.raw(spec).replace_partitions(csv_scan.good_rows(watched))
+            if seen.get["rejected"]:
+                warehouse.rejects().replace_partitions(csv_scan.rejected_values(aligned, spec))
+
+    found = [r.source for r in routed.select("source").dropna().distinct().collect()]
+    with ThreadPoolExecutor(4) as jobs:
+        for job in [jobs.submit(load_source, source) for source in found]:
+            job.result()
 
 
 def count_routed(spark: SparkSession, routed: DataFrame, files_per_batch: int = 2_000) -> DataFrame:
     """Dry run: rows each file would add to which table, nothing written."""
-    counts = None
-    for spec, header, paths in file_batches(routed, files_per_batch):
-        part = (csv_scan.scan_aligned(spark, spec, header, paths)
-                .groupBy("source_file").agg(
-                    F.count_if(F.size("problems") == 0).alias("rows"),
-                    F.count_if(F.size("problems") > 0).alias("rejected"))
-                .withColumn("target", F.lit(spec.table)))
-        counts = part if counts is None else counts.unionByName(part)
-    if counts is None:
-        return spark.createDataFrame([], "source_file string, target string, rows bigint, rejected bigint")
+    counts = spark.createDataFrame([], "source_file string, rows bigint, rejected bigint, target string")
+    for spec, scans in file_batches(routed, files_per_batch):
+        counts = counts.unionByName(
+            csv_scan.scan_aligned(spark, spec, scans).groupBy("source_file").agg(
+                F.count_if(F.size("problems") == 0).alias("rows"),
+                F.count_if(F.size("problems") > 0).alias("rejected"))
+            .withColumn("target", F.lit(spec.table)))
     return (counts.groupBy("source_file", "target")
             .agg(F.sum("rows").alias("rows"), F.sum("rejected").alias("rejected")))
 

@@ -7,7 +7,8 @@ their headers are identical, column order included.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -53,26 +54,32 @@ def align(text_rows: DataFrame, spec: SourceSpec, header: Sequence[str]) -> Data
     """Renamed, typed and ordered columns, lineage, and ``problems`` of each row.
 
     ``problems`` is an array of (column, raw value); an empty array is a good row.
+    Values are parsed in a projection of their own, so that each is parsed once.
     """
     texts = column_texts(spec, header)
-    parsed = [parse_typed(t, f.kind, f.layouts) for t, f in zip(texts, spec.fields)]
+    typed = [f for f in spec.fields if f.kind != "string"]
+    parsed = text_rows.select(
+        *[parse_typed(t, f.kind, f.layouts).alias(f.name) for t, f in zip(texts, spec.fields)],
+        *[t.alias(f"_raw_{f.name}") for t, f in zip(texts, spec.fields) if f in typed],
+        OVERFLOW, "source_file", "landed_id")
     found = [
-        F.when(is_bad(t, p), F.struct(F.lit(f.name).alias("column"), t.alias("raw_value")))
-        for t, p, f in zip(texts, parsed, spec.fields) if f.kind != "string"
+        F.when(is_bad(F.col(f"_raw_{f.name}"), F.col(f.name)),
+               F.struct(F.lit(f.name).alias("column"), F.col(f"_raw_{f.name}").alias("raw_value")))
+        for f in typed
     ]
     found.append(F.when(F.col(OVERFLOW).isNotNull(),
                         F.struct(F.lit(OVERFLOW).alias("column"), F.col(OVERFLOW).alias("raw_value"))))
-    return text_rows.select(
-        *[p.alias(f.name) for p, f in zip(parsed, spec.fields)],
-        F.current_timestamp().alias("ingested_at"),
-        "source_file", "landed_id",
-        F.array_compact(F.array(*found)).alias("problems"),
-    )
+    return parsed.select(
+        *[f.name for f in spec.fields],
+        F.current_timestamp().alias("ingested_at"), "source_file", "landed_id",
+        F.array_compact(F.array(*found)).alias("problems"))
 
 
-def scan_aligned(spark: SparkSession, spec: SourceSpec, header: Sequence[str],
-                 paths: Sequence[str]) -> DataFrame:
-    return align(scan_text(spark, header, paths), spec, header)
+def scan_aligned(spark: SparkSession, spec: SourceSpec,
+                 scans: Mapping[tuple[str, ...], Sequence[str]]) -> DataFrame:
+    """Rows of files of one layout, given as {header: paths}."""
+    parts = [align(scan_text(spark, header, paths), spec, header) for header, paths in scans.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def good_rows(aligned: DataFrame) -> DataFrame:
