@@ -7,7 +7,9 @@ its partition, which can be repeated safely.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from spokeworks.operators.sized_joins import BROADCAST_ROWS, join_sized
 from spokeworks.sources.tables import ParquetTable, delete, exists
@@ -15,6 +17,9 @@ from spokeworks.sources.tables import ParquetTable, delete, exists
 #: Up to this many file names become a partition filter of the scan.
 PRUNE_NAMES = 10_000
 
+#: Tasks that rows without a key are spread over.
+NULL_SPREAD = 512
+
 
 def seen_files(target: DataFrame) -> DataFrame:
     return target.select("source_file").distinct()
@@ -50,10 +55,24 @@ def duplicate_keys(batch: DataFrame, keys: list[str]) -> DataFrame:
     return batch.dropna(subset=keys).groupBy(*keys).count().filter("count > 1")
 
 
+def without_keys(target: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
+    """Target rows whose key is not among the incoming ones.
+
+    A NULL key matches nothing, but hashing would send all of them to one task:
+    they are spread by a second join column. Hot keys other than NULL are left
+    to adaptive skew handling, as an anti join may split its left side.
+    """
+    unkeyed = reduce(Column.__or__, [F.col(k).isNull() for k in keys])
+    spread = F.when(unkeyed, 1 + (F.rand(7) * NULL_SPREAD).cast("int")).otherwise(0)
+    return (target.withColumn("_spread", spread)
+            .join(incoming.withColumn("_spread", F.lit(0)), [*keys, "_spread"], "left_anti")
+            .select(*target.columns))
+
+
 def replaced_by_key(target: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
     """The target after the batch: rows with a key of the batch give way to the batch's rows."""
     incoming = batch.select(*keys).dropna().distinct()
-    return target.join(incoming, keys, "left_anti").unionByName(batch)
+    return without_keys(target, incoming, keys).unionByName(batch)
 
 
 class DuplicateKeys(ValueError):
@@ -98,7 +117,7 @@ def _stage_survivors(spark: SparkSession, current: DataFrame, incoming: DataFram
     (lost.join(current.groupBy(*place).agg(F.count("*").alias("held")), place)
      .write.mode("overwrite").parquet(losing))
     touched = spark.read.parquet(losing).filter("lost < held").select(*place)
-    staged.rebuild(join_sized(current, touched, place, "left_semi").join(incoming, keys, "left_anti"))
+    staged.rebuild(without_keys(join_sized(current, touched, place, "left_semi"), incoming, keys))
     spark.range(1).write.mode("overwrite").parquet(f"{pending}/complete")
 
 

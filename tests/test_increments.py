@@ -94,6 +94,19 @@ def test_hot_file_and_hot_key(spark, target):
     assert target.read(spark).filter("ride_id = 'hot'").count() == 1
 
 
+def test_rows_without_a_key_are_spread(spark):
+    target = spark.range(4000).selectExpr("if(id % 4 = 0, concat('r', id), NULL) AS ride_id", "id AS n")
+    incoming = spark.createDataFrame([("r0",), ("r4",)], "ride_id string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        kept = increments.without_keys(target, incoming, ["ride_id"])
+        assert (kept.count(), kept.filter("ride_id IS NULL").count()) == (3998, 3000)
+        sizes = [len(part) for part in kept.rdd.glom().collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(sizes) == 1 or max(sizes) < 2000
+
+
 def test_join_sized_picks_by_count(spark, plan_of):
     left = spark.range(100).withColumnRenamed("id", "k")
     right = spark.range(10).withColumnRenamed("id", "k")
