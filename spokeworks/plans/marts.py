@@ -33,12 +33,15 @@ def ride_totals(rides: DataFrame, has_members: bool, **by: Column) -> DataFrame:
 
 
 def hour_totals(rides: DataFrame, has_members: bool) -> DataFrame:
-    """The grain the daily, hourly and monthly marts share: city x day x hour."""
-    return ride_totals(rides, has_members, date=c.day_of("start_time"), hour_of_day=c.hour_of("start_time"))
+    """The grain the daily, hourly and monthly marts share: city x day x hour.
+
+    Grouped by DATE: turning it back into midnight is left to the few result rows.
+    """
+    return ride_totals(rides, has_members, date=F.col("start_time").cast("date"), hour_of_day=c.hour_of("start_time"))
 
 
 def day_totals(rides: DataFrame, has_members: bool) -> DataFrame:
-    return ride_totals(rides, has_members, date=c.day_of("start_time"))
+    return ride_totals(rides, has_members, date=F.col("start_time").cast("date"))
 
 
 def rolled_up(totals: DataFrame, *by: str | Column) -> DataFrame:
@@ -57,7 +60,7 @@ def daily_rates(totals: DataFrame, population: DataFrame) -> DataFrame:
     seconds = F.col("seconds").cast("double")
     days = with_population(totals.withColumn("year", c.year_of("date")), population)
     return days.select(
-        "location", "date", "year",
+        "location", c.day_of("date").alias("date"), "year",
         c.day_type("date").alias("day_type"),
         "total_rides",
         (seconds / F.nullif(F.col("timed_rides"), F.lit(0)) / 60).alias("avg_duration_minutes"),
