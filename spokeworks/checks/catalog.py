@@ -686,7 +686,7 @@ def _(s):
 
 @query("x5_x6_stamp_and_concat", "SELECT location || '/' || strftime(stop_time, '%Y%m%d%H%M%S') AS stamp FROM all_rides")
 def _(s):
-    return s.both_rides().select(F.concat("location", F.lit("/"), F.date_format("stop_time", c.KEY_STAMP)).alias("stamp"))
+    return s.both_rides().select(F.concat("location", F.lit("/"), c.second_stamp("stop_time")).alias("stamp"))
 
 
 @query("x7_x13_zero_safe_arithmetic", """
@@ -741,7 +741,7 @@ def _(s):
         name="harbour_trips", prefix="harbour_csv/", table="raw_harbour_trips", location="harbour", generation="modern",
         fields=(specs.Field("Trip", "trip"), specs.Field("Begun", "begun", "timestamp_ntz")))
     root = scratch_path(s.spark, "landing")
-    (s.raw("nyc_modern").select(F.date_format("started_at", "yyyy-MM-dd HH:mm:ss").alias("Begun"), F.col("ride_id").alias("Trip"))
+    (s.raw("nyc_modern").select(F.col("started_at").cast("string").alias("Begun"), F.col("ride_id").alias("Trip"))
      .write.option("header", True).csv(f"{root}/harbour_csv"))
     specs.register(spec)
     try:

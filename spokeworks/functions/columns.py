@@ -12,8 +12,6 @@ from decimal import Decimal
 
 from pyspark.sql import Column, functions as F
 
-KEY_STAMP = "yyyyMMddHHmmss"
-
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -27,13 +25,23 @@ def duration_seconds(start: Column | str, stop: Column | str) -> Column:
     return elapsed.cast("interval second").cast("decimal(18,6)")
 
 
+def second_stamp(ts: Column | str) -> Column:
+    """``yyyyMMddHHmmss`` of a wall-clock time, fractions dropped.
+
+    Put together from its parts: ``date_format`` would take the time through the
+    session zone and move it where that zone skips an hour.
+    """
+    t = _col(ts)
+    day = F.year(t) * F.lit(10_000).cast("bigint") + F.month(t) * 100 + F.day(t)
+    return (day * 1_000_000 + F.hour(t) * 10_000 + F.minute(t) * 100 + F.second(t)).cast("string")
+
+
 def legacy_ride_key(bike: Column | str, station: Column | str,
                     start: Column | str, stop: Column | str) -> Column:
     """Key for rides that carry none of their own; NULL as soon as one part is NULL."""
     return F.concat(
         F.lit("legacy_"), _col(bike), F.lit("_"), _col(station), F.lit("_"),
-        F.date_format(_col(start), KEY_STAMP), F.lit("_"),
-        F.date_format(_col(stop), KEY_STAMP),
+        second_stamp(start), F.lit("_"), second_stamp(stop),
     )
 
 

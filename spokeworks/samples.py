@@ -196,12 +196,14 @@ class SampleRides:
     def landing_text(self, source: str, without: tuple[str, ...] = ()) -> DataFrame:
         """Raw rows as the text a landing file holds, under its headers."""
         spec = specs.get(source)
-        formats = {"day_first_minutes": "dd/MM/yyyy HH:mm", "iso_minutes": "yyyy-MM-dd HH:mm",
-                   "iso": "yyyy-MM-dd HH:mm:ss.SSS"}
-        fields = [f for f in spec.fields if f.header not in without]
-        return self.raw(source).select(*[
-            (F.date_format(f.name, formats[f.layouts[0]]) if f.kind == "timestamp_ntz"
-             else F.col(f.name).cast("string")).alias(f.header) for f in fields
+        written = {  # casts to text, as date_format would apply the session zone
+            "iso": "string(`{0}`)",
+            "iso_minutes": "left(string(`{0}`), 16)",
+            "day_first_minutes": "regexp_replace(string(`{0}`), '^(....)-(..)-(..) (..:..).*$', '$3/$2/$1 $4')",
+        }
+        return self.raw(source).selectExpr(*[
+            (written[f.layouts[0]] if f.kind == "timestamp_ntz" else "string(`{0}`)").format(f.name)
+            + f" AS `{f.header}`" for f in spec.fields if f.header not in without
         ], "source_file")
 
     def write_landing(self, root: str, *sources: str) -> str:

@@ -58,11 +58,11 @@ def test_truncation_ignores_the_session_zone(spark, ts):
     try:
         row = spark.createDataFrame([(moment,)], "a timestamp_ntz").select(
             c.day_of("a").alias("d"), c.month_of("a").alias("m"), c.year_start_of("a").alias("y"),
-            c.hour_of("a").alias("h")).first()
+            c.hour_of("a").alias("h"), c.second_stamp("a").alias("s")).first()
         parsed = one(spark, parse_timestamp(F.col("t"), ("day_first_minutes",)), "t string", "26/03/2023 01:30")
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
-    assert tuple(row) == (ts("2023-03-26"), ts("2023-03-01"), ts("2023-01-01"), 1)
+    assert tuple(row) == (ts("2023-03-26"), ts("2023-03-01"), ts("2023-01-01"), 1, "20230326013000")
     assert parsed == moment
 
 
