@@ -7,13 +7,27 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spokeworks.llm import byte_bpe, shared, simhash, token_counts
+from spokeworks.llm import byte_bpe, quality, shared, simhash, sketches, token_counts, toxicity
+
+
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (shared.table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return quality.quality_rules(docs, labels)
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(shared.table(spark, sf_dir, "documents"))
 
 
+def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.compared(shared.table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (shared.table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return toxicity.scores(docs, toxicity.learn(docs, labels))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return token_counts.token_counts(shared.table(spark, sf_dir, "documents"), path)
@@ -25,6 +39,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_simhash_near_dedup, op9_token_counts, op10_byte_bpe)}
+    f.__name__: f for f in (
+        op1_quality_rules, op3_simhash_near_dedup, op6_document_fingerprints, op8_toxicity, op9_token_counts,
+        op10_byte_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}
