@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spokeworks.llm import byte_bpe, quality, shared, simhash, sketches, token_counts, toxicity
+from spokeworks.llm import (
+    byte_bpe, phrase_dedup, quality, shared, simhash, sketches, suffix_dedup, token_counts, toxicity)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,10 +20,18 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(shared.table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(shared.table(spark, sf_dir, "documents"))
+
+
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.compared(shared.table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_dedup.digests(shared.table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (shared.table(spark, sf_dir, t) for t in ("documents", "labels"))
     return toxicity.scores(docs, toxicity.learn(docs, labels))
@@ -40,7 +49,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_quality_rules, op3_simhash_near_dedup, op6_document_fingerprints, op8_toxicity, op9_token_counts,
-        op10_byte_bpe)}
+        op1_quality_rules, op3_simhash_near_dedup, op5_suffix_array_dedup, op6_document_fingerprints,
+        op7_substring_dedup, op8_toxicity, op9_token_counts, op10_byte_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}
