@@ -269,6 +269,25 @@ def _encoded(path: str, pattern: str):
     return run
 
 
+CHECKED = "doc_id bigint, n_tokens bigint, ids array<int>, intact boolean"
+
+
+def _checked(path: str, pattern: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(path, pattern)
+        for part in textbytes.slices(batches, "text", SLICE):
+            texts = [t or "" for t in part.column("text").to_pylist()]
+            encoded = encoder.encode(texts)
+            offsets = np.concatenate([[0], np.cumsum([len(i) for i in encoded])]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(encoded).astype(np.int32), pa.int32()))
+            intact = [encoder.decode(i.astype(np.int64)) == t.encode() for i, t in zip(encoded, texts)]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.array(np.diff(offsets).astype(np.int64)), ids, pa.array(intact)],
+                schema=shared.arrow_schema(CHECKED))
+
+    return run
+
+
 def _decoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path)
@@ -290,6 +309,11 @@ def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
     return shared.arrow_map(encoded.select("doc_id", "ids"), _decoded(path), "doc_id bigint, text string")
 
 
+def encode_checked(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, intact): ``intact`` says that the ids decode to the text's bytes."""
+    return shared.arrow_map(shared.keyed(docs), _checked(path, pattern), CHECKED)
+
+
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Encodes and decodes every document: count, and digests of the ids and of the decoded bytes."""
     return shared.arrow_map(shared.keyed(docs), _digests(path, pattern), DIGEST)

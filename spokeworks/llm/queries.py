@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from spokeworks.llm import (
-    byte_bpe, phrase_dedup, quality, shared, simhash, sketches, suffix_dedup, token_counts, toxicity)
+    byte_bpe, mixing, personal_data, phrase_dedup, quality, shared, simhash, sketches, suffix_dedup, token_counts,
+    toxicity)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,10 +17,23 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(docs, labels)
 
 
+#: Target weights are the square roots of the sources' bytes; the mixture is as large as the corpus.
+MIX_ALPHA, MIX_EPOCHS, MIX_SEED = 0.5, 1.0, 17
+
+
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = shared.table(spark, sf_dir, "documents")
+    return mixing.mixed(docs, mixing.source_rates(docs, MIX_ALPHA, MIX_EPOCHS), MIX_SEED)
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(shared.table(spark, sf_dir, "documents"))
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.personal_data(shared.table(spark, sf_dir, "documents"))
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(shared.table(spark, sf_dir, "documents"))
 
@@ -49,7 +63,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_quality_rules, op3_simhash_near_dedup, op5_suffix_array_dedup, op6_document_fingerprints,
-        op7_substring_dedup, op8_toxicity, op9_token_counts, op10_byte_bpe)}
+        op1_quality_rules, op2_source_mixing, op3_simhash_near_dedup, op4_personal_data, op5_suffix_array_dedup,
+        op6_document_fingerprints, op7_substring_dedup, op8_toxicity, op9_token_counts, op10_byte_bpe)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_source_mixing": mixing.oracle(MIX_ALPHA, MIX_EPOCHS, MIX_SEED)}

@@ -22,6 +22,7 @@ from dataclasses import dataclass, field
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -216,6 +217,11 @@ def _curve(points: list[tuple[float, int, int]]) -> tuple[float, float]:
     return float(theta[0]), float(theta[1])
 
 
+def score_of(lexicon: Lexicon, folded: str, here: list[tuple[int, float]]) -> float:
+    value = sum(w for _, w in here) / math.log2(4 + folded.count(" "))
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, lexicon.slope * value + lexicon.intercept))))
+
+
 SCORES = "doc_id bigint, score double, n_hits bigint"
 
 
@@ -227,8 +233,7 @@ def _scored(lexicon: Lexicon):
             for text in part.column("text").to_pylist():
                 folded = fold(text)
                 here = matches(found, folded)
-                value = sum(w for _, w in here) / math.log2(4 + folded.count(" "))
-                scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, lexicon.slope * value + lexicon.intercept)))))
+                scores.append(score_of(lexicon, folded, here))
                 hits.append(len(here))
             yield shared.batch(SCORES, [part.column("doc_id"), scores, hits])
 
@@ -240,3 +245,17 @@ def scores(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     scored = shared.arrow_map(shared.keyed(docs), _scored(lexicon), SCORES)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_hits")
+
+
+def accepted(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """The documents, with all their columns, that score below one half."""
+    shared.ship_package(docs.sparkSession)
+
+    @F.pandas_udf("boolean")
+    def toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        found = lexicon.automaton()
+        for texts in batches:
+            folded = map(fold, texts)
+            yield pd.Series([score_of(lexicon, f, matches(found, f)) >= 0.5 for f in folded], dtype=bool)
+
+    return docs.filter(~toxic(F.col("text").cast("string")))
