@@ -26,7 +26,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from spokeworks.llm import shared, textbytes
+from spokeworks.llm import shared, sketches, textbytes
 
 #: Letters of other scripts that look like Latin ones, and digits and signs used for letters.
 HOMOGLYPHS = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "і": "i", "ѕ": "s", "ј": "j",
@@ -38,9 +38,9 @@ _SIGNS = re.compile(r"[@$](?=[^\W\d_])")
 _GAPS = re.compile(r"[\W_]+")
 
 #: Letters of the shortest and longest term, and documents that must hold one.
-SHORTEST, LONGEST, FOUND_IN = 4, 12, 8
-#: Least log odds of a term, and most terms kept.
-LEAST_ODDS, MOST_TERMS = 3.0, 4000
+SHORTEST, LONGEST, FOUND_IN = 4, 12, 3
+#: Least log odds of a term, least product of odds and toxic documents, and most terms kept.
+LEAST_ODDS, LEAST_WEIGHT, MOST_TERMS = 3.0, 20.0, 4000
 #: Bins of the document feature that the curve is fitted on.
 BINS = 400
 
@@ -100,7 +100,20 @@ def learning_rows(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
               .select(F.col("doc_id").cast("bigint").alias("label_id"), F.col("toxic").cast("int").alias("toxic"))
               .filter(~held_out(F.col("label_id"))).groupBy("label_id").agg(F.max("toxic").alias("toxic"))
               .orderBy(F.xxhash64("label_id"), "label_id").limit(most))
-    return shared.keyed(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "toxic")
+    rows = shared.keyed(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "toxic")
+    # Copies and near copies mostly share their smallest shingle; one of them counts, else its words would.
+    return (shared.arrow_map(rows, _with_twin, TWINS).filter("twin IS NOT NULL").dropDuplicates(["twin", "toxic"])
+            .select("doc_id", "text", "toxic"))
+
+
+TWINS = "doc_id bigint, text string, toxic int, twin bigint"
+
+
+def _with_twin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in textbytes.slices(batches, "text"):
+        least = sketches.sketch_all([t or "" for t in part.column("text").to_pylist()], 1)
+        yield shared.batch(TWINS, [part.column("doc_id"), part.column("text"), part.column("toxic"),
+                                   [int(s.view(np.int64)[0]) if len(s) else None for s in least]])
 
 
 STEMS = "stem string, n_toxic bigint, n_clean bigint"
@@ -180,7 +193,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 30_000, exceptions: tu
         return Lexicon(exceptions=tuple(exceptions), intercept=math.log((toxic + 0.5) / (clean + 0.5)))
     odds = F.log((F.col("n_toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("n_clean") + 0.5) / (clean + 1.0))
     ranked = (_summed(rows, _stem_counts, STEMS).filter(F.col("n_toxic") >= FOUND_IN).withColumn("odds", odds)
-              .filter(F.col("odds") >= LEAST_ODDS)
+              .filter((F.col("odds") >= LEAST_ODDS) & (F.col("odds") * F.col("n_toxic") >= LEAST_WEIGHT))
               .orderBy(F.desc(F.col("odds") * F.sqrt("n_toxic")), F.length("stem"), "stem").limit(MOST_TERMS))
     lexicon = Lexicon(terms=_shortest({r["stem"]: (r["odds"], r["n_toxic"]) for r in ranked.collect()}))
     clean_only = (_summed(rows, _neighbour_counts(lexicon), NEIGHBOURS)
