@@ -77,12 +77,12 @@ def _kept(window: int):
     return run
 
 
-def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int = repeats.CROWD) -> DataFrame:
     """(doc_id, text): the words that stay, with one space between."""
-    return repeats.removed(*repeats.located(docs, repeats.word_units, window, gram, matched), _kept(window),
+    return repeats.removed(*repeats.located(docs, repeats.word_units, window, gram, crowd, matched), _kept(window),
                            "doc_id bigint, text string")
 
 
-def digests(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def digests(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int = repeats.CROWD) -> DataFrame:
     """What was removed from every document, and a digest of what stays."""
-    return repeats.removed(*repeats.located(docs, repeats.word_units, window, gram, matched), _digests(window), DIGEST)
+    return repeats.removed(*repeats.located(docs, repeats.word_units, window, gram, crowd, matched), _digests(window), DIGEST)

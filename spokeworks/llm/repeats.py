@@ -83,7 +83,7 @@ def _runs(units: Units, window: int, gram: int):
     return run
 
 
-def _pieces(units: Units, window: int, splitters: np.ndarray, buckets: int):
+def _pieces(units: Units, window: int, splitters: np.ndarray, buckets: int, crowd: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in textbytes.slices(batches, "text"):
             data, offsets = textbytes.buffer_of(part.column("text"))
@@ -96,7 +96,7 @@ def _pieces(units: Units, window: int, splitters: np.ndarray, buckets: int):
                         piece = data[low:high].tobytes()
                     else:  # words with one space between
                         piece = b" ".join(data[starts[low]:ends[high - 1]].tobytes().split())
-                    crowded = pick["contents"] > CROWD
+                    crowded = pick["contents"] > crowd
                     bucket = (hash((doc_id, content, pick["first"])) % buckets if crowded
                               else int(np.searchsorted(splitters, pick["key"], "right")))
                     rows.append((bucket, crowded, pick["key"], doc_id, content, pick["first"], pick["last"], piece))
@@ -198,7 +198,8 @@ def _hashed(units: Units, window: int):
     return run
 
 
-def located(docs: DataFrame, units: Units, window: int, gram: int, match=sorted_locally) -> tuple[DataFrame, DataFrame]:
+def located(docs: DataFrame, units: Units, window: int, gram: int, crowd: int = CROWD,
+            match=sorted_locally) -> tuple[DataFrame, DataFrame]:
     """(texts, intervals): texts are (doc_id, content, text); intervals are (doc_id, content, found), one row
     for each text with a recurring window, ``found`` listing its (first, last + 1) windows, maybe overlapping.
 
@@ -214,14 +215,14 @@ def located(docs: DataFrame, units: Units, window: int, gram: int, match=sorted_
     whole = runs.join(bodies.filter("copies > 1").select("key", "body"), ["key", "body"], "left_semi").select(*_names(FOUND))
     compared = bodies.filter("contents IS NOT NULL")
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = compared.filter(F.col("contents") <= CROWD).agg(
+    cuts = compared.filter(F.col("contents") <= crowd).agg(
         F.percentile_approx("key", [i / buckets for i in range(1, buckets)] or [0.5], 10_000)).first()[0]
     picks = (compared.groupBy("doc_id", "content")
              .agg(F.collect_list(F.struct("key", "contents", "first", "last")).alias("picks"))
              .select(F.col("doc_id").alias("pick_id"), F.col("content").alias("pick_content"), "picks"))
     same = texts["doc_id"].eqNullSafe(picks["pick_id"]) & (texts["content"] == picks["pick_content"])
     pieces = shared.arrow_map(texts.join(picks, same).select("doc_id", "content", "text", "picks"),
-                              _pieces(units, window, np.array(cuts or [], np.int64), buckets), PIECES)
+                              _pieces(units, window, np.array(cuts or [], np.int64), buckets, crowd), PIECES)
     # One exchange that the three readers below share.
     dealt = pieces.repartition(buckets, "bucket").sortWithinPartitions("key")
     local = shared.arrow_map(dealt, _local(units, window, match), FOUND)

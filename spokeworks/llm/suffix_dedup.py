@@ -52,12 +52,12 @@ def _kept(window: int):
     return run
 
 
-def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int = repeats.CROWD) -> DataFrame:
     """(doc_id, kept): the bytes that stay; they may end within a character."""
-    return repeats.removed(*repeats.located(docs, repeats.byte_units, window, gram), _kept(window),
+    return repeats.removed(*repeats.located(docs, repeats.byte_units, window, gram, crowd), _kept(window),
                            "doc_id bigint, kept binary")
 
 
-def digests(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def digests(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int = repeats.CROWD) -> DataFrame:
     """What was removed from every document, and a digest of what stays."""
-    return repeats.removed(*repeats.located(docs, repeats.byte_units, window, gram), _digests(window), DIGEST)
+    return repeats.removed(*repeats.located(docs, repeats.byte_units, window, gram, crowd), _digests(window), DIGEST)
