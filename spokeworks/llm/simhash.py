@@ -77,13 +77,13 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def grouped(prints: DataFrame) -> DataFrame:
-    """(bits, component_id) of every distinct fingerprint."""
+    """(bits, root, component_id) of every distinct fingerprint; ``root`` tells groups apart."""
     distinct = prints.groupBy("bits").agg(F.min("doc_id").alias("least"))
     roots = components(links(distinct))
     rooted = (distinct.join(roots, distinct["bits"] == roots["node"], "left")
               .select("bits", "least", F.coalesce("component", "bits").alias("root")))
     lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(lowest, "root").select("bits", "component_id")
+    return rooted.join(lowest, "root").select("bits", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -96,16 +96,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def survivors(docs: DataFrame) -> DataFrame:
     """One document of each group, the one with the smallest id, with all its columns.
 
-    Where several rows of a group have that id, one whose text hashes lowest stays; rows equal in
-    both id and text are one document. Rows without an id stay only where their whole group has none.
+    Where several rows of a group have that id, one whose text hashes lowest stays; of rows equal in
+    both id and text, one stays. A row without an id stays only where its whole group has none.
     """
     content, mine, hashed = (shared.fresh(docs.columns, n) for n in ("content", "kept_id", "kept_content"))
     prints = shared.written(
         shared.arrow_map(shared.keyed(docs).withColumn("content", F.xxhash64("text")), _with_content, CONTENT),
         "fingerprints")
-    kept = (prints.join(grouped(prints), "bits").filter("doc_id <=> component_id")
-            .groupBy("component_id", "bits").agg(F.min(F.struct("doc_id", "content")).alias("first"))
-            .join(grouped(prints).select("bits"), "bits")
+    first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "content")).alias("first")
+    kept = (prints.join(grouped(prints), "bits").groupBy("root").agg(first)
             .select(F.col("first.doc_id").alias(mine), F.col("first.content").alias(hashed)))
     marked = docs.withColumn(content, F.xxhash64(F.col("text").cast("string")))
     same = marked["doc_id"].cast("bigint").eqNullSafe(kept[mine]) & (marked[content] == kept[hashed])
