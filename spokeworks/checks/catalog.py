@@ -62,6 +62,11 @@ def _warehouse(s: SampleRides) -> Warehouse:
     return Warehouse(scratch_path(s.spark, "warehouse"))
 
 
+def _landed(rides: DataFrame) -> DataFrame:
+    """Rides with the identity their file would have had."""
+    return rides.withColumn("landed_id", manifest.landed_id(F.col("source_file")))
+
+
 NYC = ("nyc_legacy", "nyc_modern")
 LONDON = ("london_legacy", "london_modern")
 
@@ -152,14 +157,19 @@ def _(s):
     return shipped(warehouse.raw(specs.NYC_MODERN).read(s.spark)).drop("source_file")
 
 
-@query("s7_csv_scan", """SELECT 'london-legacy' AS layout, count(*) AS n, count(start_station_id) AS with_station
-  FROM raw_london_legacy""")
+@query("s7_csv_scan", """
+  SELECT 'nyc_legacy' AS layout, count(*) AS n, count(start_station_id) AS with_station FROM raw_nyc_legacy UNION ALL
+  SELECT 'nyc_modern', count(*), count(start_station_id) FROM raw_nyc_modern UNION ALL
+  SELECT 'london_legacy', count(*), count(start_station_id) FROM raw_london_legacy UNION ALL
+  SELECT 'london_modern', count(*), count(start_station_number) FROM raw_london_modern""")
 def _(s):
-    parts = [load.csv_scan.scan_aligned(s.spark, spec, scans)
-             for spec, scans in load.file_batches(_routed(s, "london_legacy"))]
-    every = functools.reduce(DataFrame.unionByName, parts)
-    return every.agg(F.lit("london-legacy").alias("layout"), F.count("*").alias("n"),
-                     F.count("start_station_id").alias("with_station"))
+    def counted(batch):
+        station = "start_station_number" if batch.spec.name == "london_modern" else "start_station_id"
+        return (load.csv_scan.scan_aligned(s.spark, batch.spec, batch.scans)
+                .agg(F.lit(batch.spec.name).alias("layout"), F.count("*").alias("n"), F.count(station).alias("with_station")))
+
+    parts = functools.reduce(DataFrame.unionByName, [counted(b) for b in load.file_batches(_routed(s))])
+    return parts.groupBy("layout").agg(F.sum("n").alias("n"), F.sum("with_station").alias("with_station"))
 
 
 @query("s8_header_dispatch", """
@@ -201,30 +211,31 @@ def _raw_roundtrip(source: str, drop: str = ""):
 _raw_roundtrip("nyc_legacy")
 _raw_roundtrip("nyc_modern")
 _raw_roundtrip("london_legacy")
-_raw_roundtrip("london_modern", drop="total_duration_ms")
+_raw_roundtrip("london_modern")
 
 
 @query("s10_header_contracts", """
-  SELECT source_file, count(*) AS required_present FROM (
-    SELECT DISTINCT source_file FROM raw_london_modern), range(9) GROUP BY 1""")
-def _(s):
-    required = F.array(*[F.lit(h) for h in specs.LONDON_MODERN.required_headers])
-    return (_routed(s, "london_modern")
-            .select(_folder_file().alias("source_file"),
-                    F.size(F.array_intersect(required, "header")).cast("bigint").alias("required_present"))
+  SELECT 'nyc_legacy' AS source, source_file, 15 AS required_present FROM (SELECT DISTINCT source_file FROM raw_nyc_legacy)
+  UNION ALL SELECT 'nyc_modern', source_file, 13 FROM (SELECT DISTINCT source_file FROM raw_nyc_modern)
+  UNION ALL SELECT 'london_legacy', source_file, 9 FROM (SELECT DISTINCT source_file FROM raw_london_legacy)
+  UNION ALL SELECT 'london_modern', source_file, 9 FROM (SELECT DISTINCT source_file FROM raw_london_modern)""")
+def _(s):
+    present = functools.reduce(lambda held, spec: held.when(
+        F.col("source") == spec.name, F.size(F.array_intersect(F.array(*[F.lit(h) for h in spec.required_headers]), "header"))),
+        specs.registered(), F)
+    return (_routed(s).filter("source IS NOT NULL")
+            .select("source", _folder_file().alias("source_file"), present.cast("bigint").alias("required_present"))
             .distinct())
 
 
-@query("s12_lineage", """
-  SELECT source_file, count(*) AS n FROM (
-    SELECT source_file FROM raw_nyc_legacy UNION ALL SELECT source_file FROM raw_nyc_modern) GROUP BY 1""")
+@query("s12_lineage", "SELECT source_file, count(*) AS n FROM all_rides GROUP BY 1")
 def _(s):
-    warehouse, root = _warehouse(s), _landing(s, *NYC)
-    routed = load.load_prefix(s.spark, warehouse, root, "nyc_csv/")
-    lineage = [warehouse.raw(spec).read(s.spark).select("source_file", "landed_id")
-               for spec in specs.for_prefix("nyc_csv/")]
-    objects = routed.select("source_file", "landed_id", _folder_file().alias("folder_file"))
-    per_object = lineage[0].unionByName(lineage[1]).groupBy("source_file", "landed_id").count()
+    warehouse, root = _warehouse(s), _landing(s)
+    routed = [load.load_prefix(s.spark, warehouse, root, prefix) for prefix in specs.prefixes()]
+    lineage = [warehouse.raw(spec).read(s.spark).select("source_file", "landed_id") for spec in specs.registered()]
+    objects = (functools.reduce(DataFrame.unionByName, routed).filter("source IS NOT NULL")
+               .select("source_file", "landed_id", _folder_file().alias("folder_file")))
+    per_object = functools.reduce(DataFrame.unionByName, lineage).groupBy("source_file", "landed_id").count()
     return (per_object.join(objects, ["source_file", "landed_id"])
             .groupBy(F.col("folder_file").alias("source_file")).agg(F.sum("count").alias("n")))
 
@@ -242,13 +253,44 @@ def _(s):
             .groupBy("source_file").agg(F.min("first").alias("first_start"), F.max("last").alias("last_stop")))
 
 
-@query("s15_raw_append", "SELECT count(*) AS n, count(DISTINCT bikeid) AS bikes FROM raw_nyc_legacy")
+@query("s15_raw_append", """
+  SELECT 'raw_nyc_legacy' AS target, count(*) AS n FROM raw_nyc_legacy UNION ALL
+  SELECT 'raw_nyc_modern', count(*) FROM raw_nyc_modern UNION ALL
+  SELECT 'raw_london_legacy', count(*) FROM raw_london_legacy UNION ALL
+  SELECT 'raw_london_modern', count(*) FROM raw_london_modern""")
 def _(s):
-    warehouse, root = _warehouse(s), _landing(s, "nyc_legacy")
+    warehouse, root = _warehouse(s), _landing(s)
     for _ in range(2):  # the second load replaces what the first one wrote
-        load.load_prefix(s.spark, warehouse, root, "nyc_csv/")
-    return (warehouse.raw(specs.NYC_LEGACY).read(s.spark)
-            .agg(F.count("*").alias("n"), F.count_distinct("bikeid").alias("bikes")))
+        load.load_all(s.spark, warehouse, root)
+    counted = [warehouse.raw(spec).read(s.spark).agg(F.lit(spec.table).alias("target"), F.count("*").alias("n"))
+               for spec in specs.registered()]
+    return functools.reduce(DataFrame.unionByName, counted)
+
+
+@query("e3_available_and_loaded", """
+  SELECT source, count(DISTINCT source_file) AS files, sum(rows)::BIGINT AS rows, 0 AS waiting FROM (
+    SELECT 'nyc_legacy' AS source, source_file, 1 AS rows FROM raw_nyc_legacy UNION ALL
+    SELECT 'nyc_modern', source_file, 1 FROM raw_nyc_modern UNION ALL
+    SELECT 'london_legacy', source_file, 1 FROM raw_london_legacy UNION ALL
+    SELECT 'london_modern', source_file, 1 FROM raw_london_modern) GROUP BY 1""")
+def _(s):
+    warehouse, root = _warehouse(s), _landing(s)
+    load.load_all(s.spark, warehouse, root)
+    objects = functools.reduce(DataFrame.unionByName, [
+        load.route(s.spark, manifest.list_objects(s.spark, root, prefix=prefix)) for prefix in specs.prefixes()])
+    waiting = load.not_loaded(s.spark, warehouse, objects).filter("source IS NOT NULL").groupBy("source").count()
+    held = load.entries(s.spark, warehouse).join(
+        objects.select("source", "source_file", "landed_id", _folder_file().alias("folder_file")), ["source_file", "landed_id"])
+    return (held.groupBy("source").agg(F.count_distinct("folder_file").alias("files"), F.sum("rows").alias("rows"))
+            .join(waiting, "source", "left").withColumn("waiting", F.coalesce("count", F.lit(0)).cast("bigint")).drop("count"))
+
+
+@query("e4_routing_table", f"""
+  SELECT prefix, source_file, CASE WHEN starts_with(source_file, 'nyc-legacy') THEN 'nyc_legacy' WHEN starts_with(source_file, 'nyc')
+    THEN 'nyc_modern' WHEN starts_with(source_file, 'london-legacy') THEN 'london_legacy' ELSE 'london_modern' END AS source
+  FROM {_NAMES}""")
+def _(s):
+    return _routed(s).filter("source IS NOT NULL").select("prefix", _folder_file().alias("source_file"), "source").distinct()
 
 
 @query("s16_raw_tables", """
@@ -273,10 +315,14 @@ def _(s):
 
 
 @query("s17_dry_run", """
-  SELECT 'raw_london_legacy' AS target, count(*) AS rows, 0 AS rejected FROM raw_london_legacy UNION ALL
+  SELECT 'raw_nyc_legacy' AS target, count(*) AS rows, 0 AS rejected FROM raw_nyc_legacy UNION ALL
+  SELECT 'raw_nyc_modern', count(*), 0 FROM raw_nyc_modern UNION ALL
+  SELECT 'raw_london_legacy', count(*), 0 FROM raw_london_legacy UNION ALL
   SELECT 'raw_london_modern', count(*), 0 FROM raw_london_modern""")
 def _(s):
-    counts = load.load_prefix(s.spark, _warehouse(s), _landing(s, *LONDON), "london_csv/", dry_run=True)
+    root, warehouse = _landing(s), _warehouse(s)
+    counts = functools.reduce(DataFrame.unionByName, [
+        load.load_prefix(s.spark, warehouse, root, prefix, dry_run=True) for prefix in specs.prefixes()])
     return counts.groupBy("target").agg(F.sum("rows").alias("rows"), F.sum("rejected").alias("rejected"))
 
 
@@ -340,7 +386,7 @@ def _(s):
 @query("s24_incremental_append", f"SELECT {RIDE_COLUMNS_NYC} FROM int_nyc_rides")
 def _(s):
     target = _warehouse(s).rides("int_nyc_rides")
-    batch = s.nyc_rides()
+    batch = _landed(s.nyc_rides())
     increments.append_unseen(s.spark, batch.filter("source_file < 'nyc-modern-2023Q1.csv'"), target)
     increments.append_unseen(s.spark, batch, target)
     return shipped(target.read(s.spark))
@@ -356,7 +402,7 @@ _REPLACED = f"""
 @query("s25_incremental_by_key", _REPLACED)
 def _(s):
     target = _warehouse(s).rides("int_london_rides")
-    batch = s.london_rides()
+    batch = _landed(s.london_rides())
     first = batch.filter("source_file < 'london-modern-2023Q1.csv'")
     increments.replace_by_key(s.spark, first, target, ["ride_id"], on_duplicates="keep")
     increments.replace_by_key(s.spark, batch, target, ["ride_id"], on_duplicates="keep")
@@ -413,7 +459,7 @@ def _(s):
 
 
 @query("p10_absent_metrics", "SELECT location, count(*) AS n, count(member_rides) AS member_days, "
-                             "count(casual_rides) AS casual_days FROM combined_daily GROUP BY 1")
+                             "count(casual_rides) AS casual_days FROM days_of_both GROUP BY 1")
 def _(s):
     return (marts.combined_daily(s.daily("nyc"), s.daily("london")).groupBy("location")
             .agg(F.count("*").alias("n"), F.count("member_rides").alias("member_days"),
@@ -426,7 +472,7 @@ def _(s):
     return s.both_rides().groupBy("location", c.day_type("start_time").alias("day_type")).agg(F.count("*").alias("n"))
 
 
-@query("p12_per_1000", "SELECT location, date, rides_per_1000 FROM combined_daily")
+@query("p12_per_1000", "SELECT location, date, rides_per_1000 FROM days_of_both")
 def _(s):
     return (marts.combined_daily(s.daily("nyc"), s.daily("london"))
             .select("location", "date", c.per_thousand("total_rides", "population").alias("rides_per_1000")))
@@ -477,7 +523,7 @@ def _(s):
 
 # == joins =====================================================================
 
-@query("j1_population", "SELECT location, date, population FROM combined_daily")
+@query("j1_population", "SELECT location, date, population FROM days_of_both")
 def _(s):
     days = s.both_rides().groupBy("location", c.day_of("start_time").alias("date")).agg(F.count("*").alias("rides"))
     return (marts.with_population(days.withColumn("year", c.year_of("date")), s.population())
@@ -496,8 +542,7 @@ def _(s):
                         "(SELECT source_file FROM int_london_rides WHERE start_time < TIMESTAMP '2022-02-02') GROUP BY 1")
 def _(s):
     held = s.london_rides().filter("start_time < timestamp_ntz'2022-02-02 00:00:00'")
-    # A limit of zero rows takes the shuffled form of the join.
-    return (increments.unseen_rows(s.london_rides(), held, broadcast_rows=0)
+    return (increments.unseen_rows(s.london_rides(), held)
             .groupBy("source_file").agg(F.count("*").alias("n")))
 
 
@@ -531,7 +576,7 @@ def _(s):
     return s.both_rides().groupBy("location", c.day_of("start_time").alias("date")).agg(F.count("*").alias("n"))
 
 
-@query("a2_average_minutes", "SELECT location, date, avg_duration_minutes FROM combined_daily")
+@query("a2_average_minutes", "SELECT location, date, avg_duration_minutes FROM days_of_both")
 def _(s):
     return marts.combined_daily(s.daily("nyc"), s.daily("london")).select("location", "date", "avg_duration_minutes")
 
@@ -560,8 +605,8 @@ def _(s):
         c.percent_where(F.col("user_type") == "member").alias("member_percentage"))
 
 
-@query("a6_count_distinct", "SELECT location, year, station_count FROM station_counts_nyc UNION ALL "
-                            "SELECT location, year, station_count FROM station_counts_london")
+@query("a6_count_distinct", "SELECT location, year, station_count FROM mart_nyc_station_growth UNION ALL "
+                            "SELECT location, year, station_count FROM mart_london_station_growth")
 def _(s):
     return marts.station_counts(s.both_rides())
 
@@ -655,7 +700,7 @@ def _(s):
 
 
 @query("u2_union_cities", "SELECT date, location, year, day_type, total_rides, member_rides, casual_rides, population "
-                          "FROM combined_daily")
+                          "FROM days_of_both")
 def _(s):
     return (marts.combined_daily(s.daily("nyc"), s.daily("london"))
             .select("date", "location", "year", "day_type", "total_rides", "member_rides", "casual_rides", "population"))

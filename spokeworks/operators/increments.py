@@ -1,53 +1,52 @@
 """Incremental loads: each source file once, appended or replacing by key.
 
-Targets are partitioned by ``source_file``. Asking which files a target holds
-therefore reads Parquet footers only, and a new file is published by writing
-its partition, which can be repeated safely.
+Targets are partitioned by the columns that identify a file. Asking which files
+a target holds therefore reads Parquet footers only, and a new file is published
+by writing its partition, which can be repeated safely.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from spokeworks.operators.sized_joins import BROADCAST_ROWS, join_sized
+from spokeworks.session import scratch_path
 from spokeworks.sources.tables import ParquetTable, delete, exists
 
-#: Up to this many file names become a partition filter of the scan.
-PRUNE_NAMES = 10_000
+#: What identifies a source file where a caller names nothing else.
+FILE = ("source_file",)
 
-#: Tasks that rows without a key are spread over.
-NULL_SPREAD = 512
 
+def files_of(rows: DataFrame, place: Sequence[str] = FILE) -> DataFrame:
+    return rows.select(*place).distinct()
 
-def seen_files(target: DataFrame) -> DataFrame:
-    return target.select("source_file").distinct()
 
+def unseen_files(batch: DataFrame, target: DataFrame, place: Sequence[str] = FILE) -> DataFrame:
+    """Files of the batch that the target does not hold; a row without a file belongs to none."""
+    return files_of(batch, place).dropna().join(files_of(target, place), list(place), "left_anti")
 
-def unseen_rows(batch: DataFrame, target: DataFrame,
-                broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Rows whose source file the target does not hold yet."""
-    return join_sized(batch, seen_files(target), "source_file", "left_anti", broadcast_rows)
 
+def unseen_rows(batch: DataFrame, target: DataFrame, place: Sequence[str] = FILE) -> DataFrame:
+    """Rows of the files that the target does not hold yet, whatever their number.
 
-def unseen_partitions(batch: DataFrame, target: DataFrame, prune_names: int = PRUNE_NAMES) -> DataFrame:
-    """As ``unseen_rows`` for a batch that is itself partitioned by source file.
-
-    The names of the new files are few in a regular increment: as a literal list
-    they prune the scan to the new partitions. A first load or a long backlog
-    goes through the join instead.
+    Names are compared with names, and rows only meet the names that are new. The
+    comparison below is true of every name: it marks the names as selective, so that
+    a batch partitioned by file is pruned to the new partitions while it runs.
     """
-    new = seen_files(batch).join(seen_files(target), "source_file", "left_anti")
-    names = [row.source_file for row in new.limit(prune_names + 1).collect()]
-    if len(names) <= prune_names:
-        return batch.filter(F.col("source_file").isin(names))
-    return unseen_rows(batch, target)
+    new = unseen_files(batch, target, place).filter(F.length(place[0]) >= 0)
+    return batch.join(new, list(place), "left_semi").select(*batch.columns)
 
 
 def append_unseen(spark: SparkSession, batch: DataFrame, target: ParquetTable) -> None:
     """Append the new files; rows that repeat a ride of another file are kept."""
-    target.replace_partitions(unseen_partitions(batch, target.read(spark)))
+    place, names = list(target.partition_by), scratch_path(spark, "new-files")
+    unseen_files(batch, target.read(spark), place).write.parquet(names)
+    new = spark.read.parquet(names).filter(F.length(place[0]) >= 0)
+    target.replace_partitions(batch.join(new, place, "left_semi"))
+    delete(spark, names)
 
 
 def duplicate_keys(batch: DataFrame, keys: list[str]) -> DataFrame:
@@ -58,15 +57,12 @@ def duplicate_keys(batch: DataFrame, keys: list[str]) -> DataFrame:
 def without_keys(target: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
     """Target rows whose key is not among the incoming ones.
 
-    A NULL key matches nothing, but hashing would send all of them to one task:
-    they are spread by a second join column. Hot keys other than NULL are left
-    to adaptive skew handling, as an anti join may split its left side.
+    A NULL key matches nothing, so those rows pass by without a shuffle or a sort. Hot keys
+    other than NULL are left to adaptive skew handling, as an anti join may split its left side.
     """
     unkeyed = reduce(Column.__or__, [F.col(k).isNull() for k in keys])
-    spread = F.when(unkeyed, 1 + (F.rand(7) * NULL_SPREAD).cast("int")).otherwise(0)
-    return (target.withColumn("_spread", spread)
-            .join(incoming.withColumn("_spread", F.lit(0)), [*keys, "_spread"], "left_anti")
-            .select(*target.columns))
+    return (target.filter(~unkeyed).join(incoming, keys, "left_anti").select(*target.columns)
+            .unionByName(target.filter(unkeyed)))
 
 
 def replaced_by_key(target: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
@@ -96,7 +92,10 @@ def replace_by_key(spark: SparkSession, batch: DataFrame, target: ParquetTable,
     _finish_pending(spark, target, staged, pending)
 
     current = target.read(spark)
-    rows = unseen_partitions(batch, current)
+    names = scratch_path(spark, "new-files")
+    unseen_files(batch, current, target.partition_by).write.parquet(names)
+    new = spark.read.parquet(names).filter(F.length(target.partition_by[0]) >= 0)
+    rows = batch.join(new, list(target.partition_by), "left_semi").select(*batch.columns)
     if on_duplicates == "error":
         repeated = duplicate_keys(rows, keys).limit(5).collect()
         if repeated:
@@ -105,6 +104,7 @@ def replace_by_key(spark: SparkSession, batch: DataFrame, target: ParquetTable,
         _stage_survivors(spark, current, rows.select(*keys).dropna().distinct(), staged, pending, keys)
     target.replace_partitions(rows)
     _finish_pending(spark, target, staged, pending)
+    delete(spark, names)
 
 
 def _stage_survivors(spark: SparkSession, current: DataFrame, incoming: DataFrame,
@@ -117,7 +117,9 @@ def _stage_survivors(spark: SparkSession, current: DataFrame, incoming: DataFram
     (lost.join(current.groupBy(*place).agg(F.count("*").alias("held")), place)
      .write.mode("overwrite").parquet(losing))
     touched = spark.read.parquet(losing).filter("lost < held").select(*place)
-    staged.rebuild(without_keys(join_sized(current, touched, place, "left_semi"), incoming, keys))
+    remaining = without_keys(current.join(touched, place, "left_semi").select(*current.columns), incoming, keys)
+    # Dealt by file before the write: else every task of the join would write into every file.
+    staged.rebuild(remaining.hint("rebalance", *place))
     spark.range(1).write.mode("overwrite").parquet(f"{pending}/complete")
 
 
@@ -128,9 +130,7 @@ def _finish_pending(spark: SparkSession, target: ParquetTable,
         return
     target.replace_partitions(staged.read(spark))
     emptied = spark.read.parquet(f"{pending}/losing").filter("lost = held")
-    for row in emptied.select(*target.partition_by).toLocalIterator():
-        spelled = "/".join(f"{c}={_escaped(spark, row[c])}" for c in target.partition_by)
-        delete(spark, f"{target.path.rstrip('/')}/{spelled}")
+    delete_partitions(spark, target, emptied.select(*target.partition_by).toLocalIterator())
     delete(spark, f"{pending}/complete")
     delete(spark, pending)
 
@@ -140,3 +140,12 @@ def _escaped(spark: SparkSession, value) -> str:
     catalog = spark._jvm.org.apache.spark.sql.catalyst.catalog
     return catalog.ExternalCatalogUtils.escapePathName(str(value))
 
+
+
+def delete_partitions(spark: SparkSession, table: ParquetTable, values) -> None:
+    """Drop the partitions with these values, several at a time."""
+    folders = (f"{table.path.rstrip('/')}/" + "/".join(
+        f"{c}={_escaped(spark, row[c])}" for c in table.partition_by) for row in values)
+    with ThreadPoolExecutor(16) as jobs:
+        for _ in jobs.map(lambda folder: delete(spark, folder), folders):
+            pass

@@ -8,12 +8,16 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
-from spokeworks.operators.sized_joins import join_sized
-from spokeworks.plans.warehouse import Warehouse
+from spokeworks.operators.increments import delete_partitions
+from spokeworks.plans.warehouse import FILE, Warehouse
 from spokeworks.session import scratch_path
 from spokeworks.sources import csv_scan, headers, manifest as landing, specs
+from spokeworks.sources.tables import ParquetTable
+
+#: Bounds of a batch: bytes to scan, and paths the driver holds.
+BATCH_BYTES, BATCH_FILES = 256 << 30, 10_000
 
 
 @dataclass(frozen=True)
@@ -37,47 +41,93 @@ def route(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def entries(spark: SparkSession, warehouse: Warehouse) -> DataFrame:
+    """The latest ledger entry of every object: (source_file, landed_id, bytes, rows, rejected)."""
+    facts = F.struct("at", F.isnotnull("rows").alias("done"), "bytes", "rows", "rejected")
+    return (warehouse.ledger().read(spark).groupBy(*FILE).agg(F.max(facts).alias("last"))
+            .select(*FILE, "last.bytes", "last.rows", "last.rejected"))
+
+
 def not_loaded(spark: SparkSession, warehouse: Warehouse, routed: DataFrame) -> DataFrame:
-    """Drops objects whose partition is in a raw table already."""
-    for spec in specs.registered():
-        have = warehouse.raw(spec).read(spark).select("source_file", "landed_id").distinct()
-        routed = join_sized(routed, have, ["source_file", "landed_id"], "left_anti")
-    return routed
+    """Drops objects whose load the ledger knows as done, with rows or without."""
+    return routed.join(entries(spark, warehouse).filter("rows IS NOT NULL"), list(FILE), "left_anti")
+
+
+@dataclass(frozen=True)
+class Batch:
+    """Files of one layout that are read together."""
+
+    spec: specs.SourceSpec
+    scans: dict[tuple[str, ...], list[str]]
+    objects: list[tuple]
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        """(path, source_file, landed_id, bytes) of the files."""
+        return spark.createDataFrame(self.objects, "path string, source_file string, landed_id string, bytes bigint")
 
 
-def file_batches(routed: DataFrame, files_per_batch: int = 2_000, headers_per_batch: int = 16
-                 ) -> Iterator[tuple[specs.SourceSpec, dict[tuple[str, ...], list[str]]]]:
-    """(layout, {header: paths}) groups of bounded size, whatever the number of files.
+def file_batches(routed: DataFrame, batch_bytes: int = BATCH_BYTES, batch_files: int = BATCH_FILES,
+                 headers_per_batch: int = 16) -> Iterator[Batch]:
+    """Groups of files of bounded bytes, paths and headers, whatever the number of files.
 
     Paths stream to the driver in order, a batch at a time; a scan needs them by name.
     """
-    ordered = (routed.filter("source is not null").select("source", "header", "path")
+    ordered = (routed.filter("source is not null").select("source", "header", "path", "source_file", "landed_id", "bytes")
                .orderBy("source", "header", "path"))
     for source, rows in itertools.groupby(ordered.toLocalIterator(), lambda r: r.source):
-        scans, held = {}, 0
+        scans, objects, held = {}, [], 0
         for row in rows:
             header = tuple(row.header)
-            if held == files_per_batch or (header not in scans and len(scans) == headers_per_batch):
-                yield specs.get(source), scans
-                scans, held = {}, 0
+            full = held + row.bytes > batch_bytes or len(objects) == batch_files
+            if objects and (full or (header not in scans and len(scans) == headers_per_batch)):
+                yield Batch(specs.get(source), scans, objects)
+                scans, objects, held = {}, [], 0
             scans.setdefault(header, []).append(row.path)
-            held += 1
-        yield specs.get(source), scans
+            objects.append((row.path, row.source_file, row.landed_id, row.bytes))
+            held += row.bytes
+        yield Batch(specs.get(source), scans, objects)
 
 
-def load_routed(spark: SparkSession, warehouse: Warehouse, routed: DataFrame, files_per_batch: int = 2_000) -> None:
+def _enter(warehouse: Warehouse, source: str, files: DataFrame, rows: Column, rejected: Column) -> None:
+    warehouse.ledger_of(source).append(files.withColumns({"rows": rows, "rejected": rejected, "at": F.current_timestamp()}))
+
+
+def load_batch(spark: SparkSession, warehouse: Warehouse, batch: Batch) -> None:
+    """Publish the files of a batch and enter them in the ledger.
+
+    Objects the ledger knows are cleared first, so that a new version without a good row, or
+    without a bad one, leaves nothing of the old behind. A run that dies in between left them
+    entered as begun, and so they are loaded again.
+    """
+    files, table, nothing = batch.frame(spark), warehouse.raw(batch.spec), F.lit(None).cast("bigint")
+    known = files.join(entries(spark, warehouse), list(FILE), "left_semi").select(*FILE).collect()
+    _enter(warehouse, batch.spec.name, files, nothing, nothing)
+    for old in (table, warehouse.rejects()):
+        delete_partitions(spark, old, known)
+    aligned = csv_scan.scan_aligned(spark, batch.spec, batch.scans)
+    seen = Observation()
+    watched = aligned.observe(seen, F.count_if(F.size("problems") > 0).alias("rejected"))
+    table.replace_partitions(csv_scan.good_rows(watched))
+    if seen.get["rejected"]:
+        warehouse.rejects().replace_partitions(csv_scan.rejected_values(aligned, batch.spec))
+
+    def held(stored: ParquetTable, name: str) -> DataFrame:
+        return (stored.read(spark).join(F.broadcast(files.select(*FILE)), list(FILE), "left_semi")
+                .groupBy(*FILE).agg(F.count("*").alias(name)))
+
+    done = (files.join(held(table, "good"), list(FILE), "left")
+            .join(held(warehouse.rejects(), "bad"), list(FILE), "left"))
+    _enter(warehouse, batch.spec.name, done, F.coalesce("good", F.lit(0).cast("bigint")), F.coalesce("bad", F.lit(0).cast("bigint")))
+
+
+def load_routed(spark: SparkSession, warehouse: Warehouse, routed: DataFrame, **bounds: int) -> None:
     """Scan, align and publish the files batch by batch; unreadable values go to the rejects.
 
     Layouts have tables of their own, so their jobs run side by side.
     """
     def load_source(source: str) -> None:
-        for spec, scans in file_batches(routed.filter(F.col("source") == source), files_per_batch):
-            aligned = csv_scan.scan_aligned(spark, spec, scans)
-            seen = Observation()
-            watched = aligned.observe(seen, F.count_if(F.size("problems") > 0).alias("rejected"))
-            warehouse.raw(spec).replace_partitions(csv_scan.good_rows(watched))
-            if seen.get["rejected"]:
-                warehouse.rejects().replace_partitions(csv_scan.rejected_values(aligned, spec))
+        for batch in file_batches(routed.filter(F.col("source") == source), **bounds):
+            load_batch(spark, warehouse, batch)
 
     found = [r.source for r in routed.select("source").dropna().distinct().collect()]
     with ThreadPoolExecutor(4) as jobs:
@@ -85,22 +135,28 @@ def load_routed(spark: SparkSession, warehouse: Warehouse, routed: DataFrame, fi
             job.result()
 
 
-def count_routed(spark: SparkSession, routed: DataFrame, files_per_batch: int = 2_000) -> DataFrame:
-    """Dry run: rows each file would add to which table, nothing written."""
-    counts = spark.createDataFrame([], "source_file string, rows bigint, rejected bigint, target string")
-    for spec, scans in file_batches(routed, files_per_batch):
-        counts = counts.unionByName(
-            csv_scan.scan_aligned(spark, spec, scans).groupBy("source_file").agg(
-                F.count_if(F.size("problems") == 0).alias("rows"),
-                F.count_if(F.size("problems") > 0).alias("rejected"))
-            .withColumn("target", F.lit(spec.table)))
-    return (counts.groupBy("source_file", "target")
+COUNTS = "source_file string, rows bigint, rejected bigint, target string"
+
+
+def count_routed(spark: SparkSession, routed: DataFrame, **bounds: int) -> DataFrame:
+    """Dry run: rows each file would add to which table, nothing written to the warehouse.
+
+    Each batch is counted by a job of its own, so no plan grows with the number of files.
+    """
+    path = scratch_path(spark, "dry-run")
+    spark.createDataFrame([], COUNTS).write.parquet(path)
+    for batch in file_batches(routed, **bounds):
+        (csv_scan.scan_aligned(spark, batch.spec, batch.scans).groupBy("source_file").agg(
+            F.count_if(F.size("problems") == 0).alias("rows"),
+            F.count_if(F.size("problems") > 0).alias("rejected"))
+         .withColumn("target", F.lit(batch.spec.table)).write.mode("append").parquet(path))
+    return (spark.read.schema(COUNTS).parquet(path).groupBy("source_file", "target")
             .agg(F.sum("rows").alias("rows"), F.sum("rejected").alias("rejected")))
 
 
 def load_prefix(spark: SparkSession, warehouse: Warehouse, root: str, prefix: str,
                 selection: Selection = Selection(), dry_run: bool = False,
-                only_new: bool = False, files_per_batch: int = 2_000) -> DataFrame:
+                only_new: bool = False, **bounds: int) -> DataFrame:
     """Load one source folder; returns the dry-run counts or the routing of each file.
 
     In the routing, ``source`` is NULL for files no layout fits.
@@ -110,8 +166,8 @@ def load_prefix(spark: SparkSession, warehouse: Warehouse, root: str, prefix: st
     if only_new:
         routed = not_loaded(spark, warehouse, routed)
     if dry_run:
-        return count_routed(spark, routed, files_per_batch)
-    load_routed(spark, warehouse, routed, files_per_batch)
+        return count_routed(spark, routed, **bounds)
+    load_routed(spark, warehouse, routed, **bounds)
     return routed
 
 

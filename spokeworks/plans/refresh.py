@@ -12,6 +12,7 @@ from spokeworks.plans.warehouse import MART_SCHEMAS, RIDE_SCHEMAS, Warehouse
 from spokeworks.session import scratch_path
 from spokeworks.sources import specs
 from spokeworks.sources.population import check_unique
+from spokeworks.sources.tables import delete
 
 RIDE_KEY = ["ride_id"]
 
@@ -66,6 +67,7 @@ def refresh_marts(spark: SparkSession, warehouse: Warehouse, population: DataFra
         warehouse.mart(f"mart_{city}_hourly_patterns").rebuild(marts.hourly_from_hours(hours))
         if has_members:
             warehouse.mart(f"mart_{city}_member_analysis").rebuild(marts.members_from_hours(hours))
+        delete(spark, path)
 
     def city_growth(city: str) -> None:
         ride_table = warehouse.rides(f"int_{city}_rides").read(spark)

@@ -7,12 +7,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from spokeworks.functions.columns import current_user_type, duration_seconds, legacy_ride_key
 
 
-def _audit(location: str, generation: str) -> list[Column]:
+def _audit(raw: DataFrame, location: str, generation: str) -> list[Column]:
+    """Lineage; the identity of the landed object goes along where the raw rows have one."""
     return [
         F.lit(location).alias("location"),
         F.lit(generation).alias("schema_version"),
         F.current_timestamp().alias("dbt_updated_at"),
         F.col("source_file"),
+        *[F.col(c) for c in raw.columns if c == "landed_id"],
     ]
 
 
@@ -32,7 +34,7 @@ def stg_nyc_legacy(raw: DataFrame) -> DataFrame:
         current_user_type("usertype").alias("user_type"),
         F.col("birth_year").cast("int").alias("birth_year"),
         F.col("gender").cast("int").alias("gender"),
-        *_audit("nyc", "legacy"),
+        *_audit(raw, "nyc", "legacy"),
     )
 
 
@@ -48,7 +50,7 @@ def stg_nyc_modern(raw: DataFrame) -> DataFrame:
         F.col("end_lng").alias("end_longitude"),
         F.col("member_casual").alias("user_type"),
         duration_seconds("started_at", "ended_at").alias("duration_seconds"),
-        *_audit("nyc", "modern"),
+        *_audit(raw, "nyc", "modern"),
     )
 
 
@@ -60,7 +62,7 @@ def stg_london_legacy(raw: DataFrame) -> DataFrame:
         F.col("end_date").alias("stop_time"),
         "start_station_name", "start_station_id", "end_station_name", "end_station_id",
         duration_seconds("start_date", "end_date").alias("duration_seconds"),
-        *_audit("london", "legacy"),
+        *_audit(raw, "london", "legacy"),
     )
 
 
@@ -76,7 +78,7 @@ def stg_london_modern(raw: DataFrame) -> DataFrame:
         F.col("end_station").alias("end_station_name"),
         F.col("end_station_number").alias("end_station_id"),
         duration_seconds("start_date", "end_date").alias("duration_seconds"),
-        *_audit("london", "modern"),
+        *_audit(raw, "london", "modern"),
     )
 
 

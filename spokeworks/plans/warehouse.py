@@ -11,7 +11,14 @@ from spokeworks.sources.tables import ParquetTable
 
 REJECTS_SCHEMA = "source string, column string, raw_value string, source_file string, landed_id string"
 
-_AUDIT = "location string, schema_version string, dbt_updated_at timestamp, source_file string"
+_AUDIT = "location string, schema_version string, dbt_updated_at timestamp, source_file string, landed_id string"
+
+#: One entry when a load of an object begins (rows NULL) and one when it is done; the latest counts.
+LEDGER_SCHEMA = ("path string, source_file string, landed_id string, bytes bigint,"
+                 " rows bigint, rejected bigint, at timestamp")
+
+#: A source file: two landed objects may share a name.
+FILE = ("source_file", "landed_id")
 
 #: Output columns of the staging models; the lineage column is the partition column.
 STAGING_SCHEMAS = {
@@ -75,16 +82,23 @@ class Warehouse:
 
     def raw(self, spec: specs.SourceSpec) -> ParquetTable:
         """One partition per landed object, so loading it again replaces it."""
-        return self._table("raw", spec.table, spec.raw_schema(), "source_file", "landed_id")
+        return self._table("raw", spec.table, spec.raw_schema(), *FILE)
 
     def rejects(self) -> ParquetTable:
-        return self._table("raw", "rejected_values", REJECTS_SCHEMA, "source_file", "landed_id")
+        return self._table("raw", "rejected_values", REJECTS_SCHEMA, *FILE)
+
+    def ledger(self) -> ParquetTable:
+        return self._table("raw", "load_ledger", f"{LEDGER_SCHEMA}, source string", "source")
+
+    def ledger_of(self, source: str) -> ParquetTable:
+        """One layout's part of the ledger: layouts are loaded side by side, and appends must not meet."""
+        return ParquetTable(f"{self.ledger().path}/source={source}", LEDGER_SCHEMA)
 
     def staging(self, name: str) -> ParquetTable:
-        return self._table("staging", name, STAGING_SCHEMAS[name], "source_file")
+        return self._table("staging", name, STAGING_SCHEMAS[name], *FILE)
 
     def rides(self, name: str) -> ParquetTable:
-        return self._table("intermediate", name, RIDE_SCHEMAS[name], "source_file")
+        return self._table("intermediate", name, RIDE_SCHEMAS[name], *FILE)
 
     def mart(self, name: str) -> ParquetTable:
         return self._table("marts", name, MART_SCHEMAS[name])

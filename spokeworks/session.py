@@ -33,14 +33,11 @@ def build_session(app_name: str = "spokeworks", master: str | None = None, **con
 
 
 def scratch_path(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder.
+    """A fresh folder for intermediate tables, under the cluster's shared checkpoint folder.
 
-    Only where the session names none (a local test) is a temporary folder made.
+    A session that names none (a local test) uses its warehouse folder, which executors share too.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="spokeworks-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

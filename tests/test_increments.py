@@ -2,7 +2,6 @@ import pytest
 
 from spokeworks.operators import increments
 from spokeworks.operators.increments import DuplicateKeys, append_unseen, replace_by_key
-from spokeworks.operators.sized_joins import join_sized
 from spokeworks.sources.tables import ParquetTable, exists
 
 SCHEMA = "ride_id string, n int, source_file string"
@@ -29,13 +28,24 @@ def test_append_takes_each_file_once(spark, target, rows):
     assert held(spark, target) == [("a", 1, "f1"), ("a", 2, "f 2/x%"), ("b", 1, "f1")]
 
 
-@pytest.mark.parametrize("limit", [0, 10])
-def test_unseen_rows_in_both_join_forms(rows, limit):
-    batch = rows(("a", 1, "f1"), ("b", 1, "f2"), ("c", 1, "f2"))
-    found = increments.unseen_rows(batch, rows(("x", 0, "f1")), broadcast_rows=limit)
-    assert sorted(r.ride_id for r in found.collect()) == ["b", "c"]
-    names_only = increments.unseen_partitions(batch, rows(("x", 0, "f1")), prune_names=limit)
-    assert sorted(r.ride_id for r in names_only.collect()) == ["b", "c"]
+@pytest.mark.parametrize("broadcast", ["-1", "10m"])
+def test_unseen_rows_are_the_same_for_any_number_of_files(spark, rows, broadcast):
+    batch = rows(("a", 1, "f1"), ("b", 1, "f2"), ("c", 1, None))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        found = increments.unseen_rows(batch, rows(("x", 0, "f1"), ("y", 0, None)))
+        assert [r.ride_id for r in found.collect()] == ["b"]  # a row without a file belongs to none
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_same_name_of_another_object_is_another_file(spark, tmp_path):
+    table = ParquetTable(str(tmp_path / "rides"), "ride_id string, source_file string, landed_id string", ("source_file", "landed_id"))
+    first = spark.createDataFrame([("3", "w.csv", "x")], table.schema)
+    both = first.union(spark.createDataFrame([("77", "w.csv", "y")], table.schema))
+    append_unseen(spark, first, table)
+    append_unseen(spark, both, table)
+    assert sorted(r.ride_id for r in table.read(spark).collect()) == ["3", "77"]
 
 
 def test_replace_by_key(spark, target, rows):
@@ -94,25 +104,21 @@ def test_hot_file_and_hot_key(spark, target):
     assert target.read(spark).filter("ride_id = 'hot'").count() == 1
 
 
-def test_rows_without_a_key_are_spread(spark):
+def test_rows_without_a_key_pass_no_exchange(spark, plan_of):
     target = spark.range(4000).selectExpr("if(id % 4 = 0, concat('r', id), NULL) AS ride_id", "id AS n")
     incoming = spark.createDataFrame([("r0",), ("r4",)], "ride_id string")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
     try:
         kept = increments.without_keys(target, incoming, ["ride_id"])
         assert (kept.count(), kept.filter("ride_id IS NULL").count()) == (3998, 3000)
-        sizes = [len(part) for part in kept.rdd.glom().collect()]
+        unkeyed = kept._jdf.queryExecution().executedPlan().toString().split("LeftAnti")[1]
+        branches = kept._jdf.queryExecution().executedPlan().children().apply(1).toString()
+        assert "Exchange" in unkeyed and "Exchange" not in branches and "Sort" not in branches
     finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert len(sizes) == 1 or max(sizes) < 2000
-
-
-def test_join_sized_picks_by_count(spark, plan_of):
-    left = spark.range(100).withColumnRenamed("id", "k")
-    right = spark.range(10).withColumnRenamed("id", "k")
-    small, large = join_sized(left, right, "k", "inner", 10), join_sized(left, right, "k", "inner", 9)
-    assert "BroadcastHashJoin" in plan_of(small) and "BroadcastHashJoin" not in plan_of(large)
-    assert small.count() == large.count() == 10
+        for key in settings:
+            spark.conf.unset(key)
 
 
 def test_empty_batch_changes_nothing(spark, target, rows):

@@ -127,7 +127,7 @@ def test_reload_replaces_and_same_names_live_side_by_side(spark, root, warehouse
     files.put(root, "nyc_csv/jan/trips +1 50%.csv", files.NYC_MODERN, files.nyc_modern("a", "2021-01-01 10:00:00", "2021-01-01 10:05:00"))
     files.put(root, "nyc_csv/feb/trips +1 50%.csv", files.NYC_MODERN, files.nyc_modern("b", "2021-02-01 10:00:00", "2021-02-01 10:05:00"))
     for _ in range(2):
-        load.load_prefix(spark, warehouse, str(root), "nyc_csv/", files_per_batch=1)
+        load.load_prefix(spark, warehouse, str(root), "nyc_csv/", batch_files=1)
     assert sorted(r.ride_id for r in raw(spark, warehouse, "nyc_modern").collect()) == ["a", "b"]
     files.put(root, "nyc_csv/jan/trips +1 50%.csv", files.NYC_MODERN, files.nyc_modern("c", "2021-01-01 10:00:00", "2021-01-01 10:05:00"))
     assert load.load_prefix(spark, warehouse, str(root), "nyc_csv/", only_new=True).count() == 0
@@ -136,6 +136,42 @@ def test_reload_replaces_and_same_names_live_side_by_side(spark, root, warehouse
     assert sorted(r.ride_id for r in raw(spark, warehouse, "nyc_modern").collect()) == ["b", "c"]
 
 
+def test_reload_leaves_nothing_of_the_old_version(spark, root, warehouse):
+    good = files.london_legacy("1", "18/12/2019 09:00", "18/12/2019 09:30")
+    bad = files.london_legacy("1", "2019-12-18 09:00", "18/12/2019 09:30")
+
+    def state(*rows):
+        files.put(root, "london_csv/w.csv", files.LONDON_LEGACY, *rows)
+        load.load_prefix(spark, warehouse, str(root), "london_csv/")
+        entry = load.entries(spark, warehouse).first()
+        return raw(spark, warehouse, "london_legacy").count(), warehouse.rejects().read(spark).count(), entry.rows, entry.rejected
+
+    assert state(good) == (1, 0, 1, 0)
+    assert state(bad) == (0, 1, 0, 1)
+    assert load.load_prefix(spark, warehouse, str(root), "london_csv/", only_new=True).count() == 0
+    assert state(good, good.replace("1,77", "2,77")) == (2, 0, 2, 0)
+
+
+def test_a_load_that_died_is_done_again(spark, root, warehouse, monkeypatch):
+    files.put(root, "nyc_csv/a.csv", files.NYC_MODERN, files.nyc_modern("a", "2021-01-01 10:00:00", "2021-01-01 10:05:00"))
+    load.load_prefix(spark, warehouse, str(root), "nyc_csv/")
+    monkeypatch.setattr(load.csv_scan, "scan_aligned", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        load.load_prefix(spark, warehouse, str(root), "nyc_csv/")
+    monkeypatch.undo()
+    load.load_prefix(spark, warehouse, str(root), "nyc_csv/", only_new=True)
+    assert [r.ride_id for r in raw(spark, warehouse, "nyc_modern").collect()] == ["a"]
+
+
+def test_batches_are_bounded(spark, root):
+    for i in range(5):
+        files.put(root, f"nyc_csv/{i}.csv", files.NYC_MODERN, files.nyc_modern("a", "2021-01-01 10:00:00", "2021-01-01 10:05:00"))
+    routed = load.route(spark, manifest.list_objects(spark, str(root), prefix="nyc_csv/"))
+    size = routed.first().bytes
+    sizes = lambda **b: [len(batch.objects) for batch in load.file_batches(routed, **b)]
+    assert (sizes(), sizes(batch_bytes=2 * size), sizes(batch_bytes=1), sizes(batch_files=3)) == ([5], [2, 2, 1], [1] * 5, [3, 2])
+
+
 def test_selections_limit_a_load(spark, root, warehouse):
     for month in ("202101", "202102", "202202"):
         files.put(root, f"nyc_csv/{month}.csv", files.NYC_MODERN, files.nyc_modern(month, "2021-01-01 10:00:00", "2021-01-01 10:05:00"))
