@@ -14,8 +14,10 @@ import zipfile
 import zlib
 from collections.abc import Callable, Iterator
 from contextlib import ExitStack
+from urllib.parse import urlparse
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spokeworks.session import scratch_path, ship_package
@@ -37,6 +39,8 @@ def _walk(handle, trail: list[str]) -> Iterator[tuple[list[str], str]]:
                 if info.is_dir():
                     continue
                 inner, kind = trail + [info.filename], _kind(info.filename)
+                if not _stays_below(inner):
+                    kind = "other"
                 yield inner, kind
                 if kind == "zip":
                     with archive.open(info) as nested:
@@ -76,14 +80,30 @@ def _check_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.assign(intact=states)
 
 
+def _below(steps: list[str]) -> str:
+    """The steps as one relative path; a name that leaves its folder is not a member to land."""
+    parts = [part for step in steps for part in step.replace("\\", "/").split("/") if part not in ("", ".")]
+    if ".." in parts:
+        raise ValueError(f"{'/'.join(steps)} leaves its folder")
+    return "/".join(parts)
+
+
+def _place_of(archive: str) -> str:
+    """Name of an archive with a short identity of its path: archives of one name stay apart."""
+    return f"{xxhash.xxh32_hexdigest(urlparse(archive).path)}-{archive.rsplit('/', 1)[-1]}"
+
+
+def _stays_below(trail: list[str]) -> bool:
+    return ".." not in "/".join(trail).replace("\\", "/").split("/")
+
+
 def _copier(destination: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def copy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         filesystem, base = filesystem_of(destination)
         for batch in batches:
             landed = []
             for archive, trail in zip(batch["archive"], batch["trail"]):
-                steps = [archive.rsplit("/", 1)[-1], *trail]
-                target = "/".join([base, *(s.strip("/") for s in steps)])
+                target = f"{base}/{_below([_place_of(archive), *trail])}"
                 filesystem.create_dir(target.rsplit("/", 1)[0], recursive=True)
                 # A retried task writes the same bytes again and moves them into place.
                 part = f"{target}.{uuid.uuid4().hex}.part"

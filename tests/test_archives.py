@@ -41,3 +41,16 @@ def test_archives_are_expanded_member_by_member(spark, tmp_path):
     load.load_prefix(spark, warehouse, str(root), "nyc_csv/")
     loaded = warehouse.raw(specs.NYC_MODERN).read(spark)
     assert sorted(r.ride_id for r in loaded.collect()) == ["a", "a2", "b", "c"]
+
+
+def test_archives_of_one_name_stay_apart_and_members_stay_below(spark, tmp_path):
+    inbox, root = tmp_path / "in", tmp_path / "out" / "landing"
+    table = files.NYC_MODERN + "\n" + files.nyc_modern("{}", "2021-01-01 10:00:00", "2021-01-01 10:05:00") + "\n"
+    for folder in ("a", "b"):
+        (inbox / folder).mkdir(parents=True)
+        (inbox / folder / "2021-x.zip").write_bytes(packed(**{"t.csv": table.format(folder), "..__..__out.csv": table.format("out")}))
+    report = expand_archives(spark, manifest.list_objects(spark, str(inbox), suffix=".zip"), str(root)).collect()
+    assert sorted(r.status for r in report) == ["landed", "landed", "skipped", "skipped"]
+    assert len({r.landed for r in report if r.landed}) == 2
+    landed = list((tmp_path / "out").rglob("*.csv"))
+    assert len(landed) == 2 and all(root in f.parents for f in landed)
