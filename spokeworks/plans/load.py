@@ -14,7 +14,7 @@ from spokeworks.operators.increments import delete_partitions
 from spokeworks.plans.warehouse import FILE, Warehouse
 from spokeworks.session import scratch_path
 from spokeworks.sources import csv_scan, headers, manifest as landing, specs
-from spokeworks.sources.tables import ParquetTable
+from spokeworks.sources.tables import ParquetTable, delete
 
 #: Bounds of a batch: bytes to scan, and paths the driver holds.
 BATCH_BYTES, BATCH_FILES = 256 << 30, 10_000
@@ -61,6 +61,11 @@ class Batch:
     scans: dict[tuple[str, ...], list[str]]
     objects: list[tuple]
 
+    def only(self, paths: set[str]) -> dict[tuple[str, ...], list[str]]:
+        """The scans of these paths alone."""
+        chosen = {header: [p for p in of if p in paths] for header, of in self.scans.items()}
+        return {header: of for header, of in chosen.items() if of}
+
     def frame(self, spark: SparkSession) -> DataFrame:
         """(path, source_file, landed_id, bytes) of the files."""
         return spark.createDataFrame(self.objects, "path string, source_file string, landed_id string, bytes bigint")
@@ -92,6 +97,14 @@ def _enter(warehouse: Warehouse, source: str, files: DataFrame, rows: Column, re
     warehouse.ledger_of(source).append(files.withColumns({"rows": rows, "rejected": rejected, "at": F.current_timestamp()}))
 
 
+def _publish(spark: SparkSession, warehouse: Warehouse, spec: specs.SourceSpec, aligned: DataFrame) -> None:
+    seen = Observation()
+    watched = aligned.observe(seen, F.count_if(F.size("problems") > 0).alias("rejected"))
+    warehouse.raw(spec).replace_partitions(csv_scan.good_rows(watched))
+    if seen.get["rejected"]:
+        warehouse.rejects().replace_partitions(csv_scan.rejected_values(aligned, spec))
+
+
 def load_batch(spark: SparkSession, warehouse: Warehouse, batch: Batch) -> None:
     """Publish the files of a batch and enter them in the ledger.
 
@@ -104,12 +117,14 @@ def load_batch(spark: SparkSession, warehouse: Warehouse, batch: Batch) -> None:
     _enter(warehouse, batch.spec.name, files, nothing, nothing)
     for old in (table, warehouse.rejects()):
         delete_partitions(spark, old, known)
-    aligned = csv_scan.scan_aligned(spark, batch.spec, batch.scans)
-    seen = Observation()
-    watched = aligned.observe(seen, F.count_if(F.size("problems") > 0).alias("rejected"))
-    table.replace_partitions(csv_scan.good_rows(watched))
-    if seen.get["rejected"]:
-        warehouse.rejects().replace_partitions(csv_scan.rejected_values(aligned, batch.spec))
+    _publish(spark, warehouse, batch.spec, csv_scan.scan_aligned(spark, batch.spec, batch.scans))
+    cut = csv_scan.cut_files(warehouse.rejects().read(spark).join(F.broadcast(files.select(*FILE)), list(FILE), "left_semi"))
+    torn = files.join(cut, list(FILE)).select("path", *FILE).collect()
+    if torn:  # read again whole, one task a file
+        for old in (table, warehouse.rejects()):
+            delete_partitions(spark, old, torn)
+        _publish(spark, warehouse, batch.spec,
+                 csv_scan.scan_aligned(spark, batch.spec, batch.only({r.path for r in torn}), multi_line=True))
 
     def held(stored: ParquetTable, name: str) -> DataFrame:
         return (stored.read(spark).join(F.broadcast(files.select(*FILE)), list(FILE), "left_semi")
@@ -145,11 +160,23 @@ def count_routed(spark: SparkSession, routed: DataFrame, **bounds: int) -> DataF
     """
     path = scratch_path(spark, "dry-run")
     spark.createDataFrame([], COUNTS).write.parquet(path)
+
+    def count(spec: specs.SourceSpec, aligned: DataFrame) -> DataFrame:
+        cut = F.count_if(F.exists("problems", lambda p: p["column"] == csv_scan.LINE)) > 0
+        return (aligned.groupBy(*FILE).agg(F.count_if(F.size("problems") == 0).alias("rows"),
+                                           F.count_if(F.size("problems") > 0).alias("rejected"), cut.alias("cut"))
+                .withColumn("target", F.lit(spec.table)))
+
     for batch in file_batches(routed, **bounds):
-        (csv_scan.scan_aligned(spark, batch.spec, batch.scans).groupBy("source_file").agg(
-            F.count_if(F.size("problems") == 0).alias("rows"),
-            F.count_if(F.size("problems") > 0).alias("rejected"))
-         .withColumn("target", F.lit(batch.spec.table)).write.mode("append").parquet(path))
+        first = scratch_path(spark, "dry-run-batch")
+        count(batch.spec, csv_scan.scan_aligned(spark, batch.spec, batch.scans)).write.parquet(first)
+        counted = spark.read.parquet(first)
+        torn = batch.frame(spark).join(counted.filter("cut"), list(FILE)).select("path").collect()
+        if torn:
+            again = csv_scan.scan_aligned(spark, batch.spec, batch.only({r.path for r in torn}), multi_line=True)
+            counted = counted.filter("NOT cut").unionByName(count(batch.spec, again))
+        counted.select("source_file", "rows", "rejected", "target").write.mode("append").parquet(path)
+        delete(spark, first)
     return (spark.read.schema(COUNTS).parquet(path).groupBy("source_file", "target")
             .agg(F.sum("rows").alias("rows"), F.sum("rejected").alias("rejected")))
 

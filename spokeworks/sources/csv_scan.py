@@ -16,8 +16,10 @@ from spokeworks.functions.parsing import blank_to_null, is_bad, parse_typed
 from spokeworks.sources.manifest import landed_id
 from spokeworks.sources.specs import SourceSpec
 
-#: Catches the fields of a line longer than its header.
+#: The first field of a line beyond its header.
 OVERFLOW = "_overflow"
+#: The text of a line that has not as many fields as its header; a problem where a quote in it stays open.
+LINE = "_line"
 
 
 def literal_path(path: str) -> str:
@@ -25,17 +27,28 @@ def literal_path(path: str) -> str:
     return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
 
-def scan_text(spark: SparkSession, header: Sequence[str], paths: Sequence[str]) -> DataFrame:
-    """All columns as text under positional names, plus lineage; nothing is inferred."""
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(header))])
-    schema = schema.add(OVERFLOW, "string")
+def scan_text(spark: SparkSession, header: Sequence[str], paths: Sequence[str], multi_line: bool = False) -> DataFrame:
+    """All columns as text under positional names, plus lineage; nothing is inferred.
+
+    A line break within quotes cuts a row in two unless ``multi_line``, which can't split files.
+    """
+    names = [f"c{i}" for i in range(len(header))]
+    longer = ", ".join(f"{n} string" for n in [*names, OVERFLOW])
     uri, encoded_name = F.col("_metadata.file_path"), F.col("_metadata.file_name")
     name = F.url_decode(F.replace(encoded_name, F.lit("+"), F.lit("%2B")))
-    return (spark.read.schema(schema)
-            .option("header", True).option("escape", '"')
+    beyond = F.when(F.col(LINE).isNotNull(), F.from_csv(LINE, longer, {"escape": '"'})[OVERFLOW])
+    return (spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in [*names, LINE]]))
+            .option("header", True).option("escape", '"').option("multiLine", multi_line)
+            # With pruned columns the reader no longer sees how many fields a line has.
+            .option("columnNameOfCorruptRecord", LINE).option("columnPruning", False)
             .csv([literal_path(p) for p in paths])
-            .select("*", name.alias("source_file"),
-                    landed_id(uri).alias("landed_id")))
+            .select(*names, beyond.alias(OVERFLOW), open_line(F.col(LINE)).alias(LINE),
+                    name.alias("source_file"), landed_id(uri).alias("landed_id")))
+
+
+def open_line(line: Column) -> Column:
+    """The line if it has an odd number of quotes, as each part of a row cut within quotes has."""
+    return F.when((F.length(line) - F.length(F.replace(line, F.lit('"')))) % 2 == 1, line)
 
 
 def column_texts(spec: SourceSpec, header: Sequence[str]) -> list[Column]:
@@ -61,14 +74,14 @@ def align(text_rows: DataFrame, spec: SourceSpec, header: Sequence[str]) -> Data
     parsed = text_rows.select(
         *[parse_typed(t, f.kind, f.layouts).alias(f.name) for t, f in zip(texts, spec.fields)],
         *[t.alias(f"_raw_{f.name}") for t, f in zip(texts, spec.fields) if f in typed],
-        OVERFLOW, "source_file", "landed_id")
+        OVERFLOW, LINE, "source_file", "landed_id")
     found = [
         F.when(is_bad(F.col(f"_raw_{f.name}"), F.col(f.name)),
                F.struct(F.lit(f.name).alias("column"), F.col(f"_raw_{f.name}").alias("raw_value")))
         for f in typed
     ]
-    found.append(F.when(F.col(OVERFLOW).isNotNull(),
-                        F.struct(F.lit(OVERFLOW).alias("column"), F.col(OVERFLOW).alias("raw_value"))))
+    found += [F.when(F.col(n).isNotNull(), F.struct(F.lit(n).alias("column"), F.col(n).alias("raw_value")))
+              for n in (OVERFLOW, LINE)]
     return parsed.select(
         *[f.name for f in spec.fields],
         F.current_timestamp().alias("ingested_at"), "source_file", "landed_id",
@@ -76,9 +89,9 @@ def align(text_rows: DataFrame, spec: SourceSpec, header: Sequence[str]) -> Data
 
 
 def scan_aligned(spark: SparkSession, spec: SourceSpec,
-                 scans: Mapping[tuple[str, ...], Sequence[str]]) -> DataFrame:
+                 scans: Mapping[tuple[str, ...], Sequence[str]], multi_line: bool = False) -> DataFrame:
     """Rows of files of one layout, given as {header: paths}."""
-    parts = [align(scan_text(spark, header, paths), spec, header) for header, paths in scans.items()]
+    parts = [align(scan_text(spark, header, paths, multi_line), spec, header) for header, paths in scans.items()]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -86,6 +99,11 @@ def good_rows(aligned: DataFrame) -> DataFrame:
     return aligned.filter(F.size("problems") == 0).drop("problems")
 
 
+def cut_files(rejects: DataFrame) -> DataFrame:
+    """(source_file, landed_id) of files with a row that a quoted line break has cut."""
+    return rejects.filter(F.col("column") == LINE).select("source_file", "landed_id").distinct()
+
+
 def rejected_values(aligned: DataFrame, spec: SourceSpec) -> DataFrame:
     """One row per value that could not be read."""
     return (aligned.filter(F.size("problems") > 0)

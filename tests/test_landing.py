@@ -152,6 +152,18 @@ def test_reload_leaves_nothing_of_the_old_version(spark, root, warehouse):
     assert state(good, good.replace("1,77", "2,77")) == (2, 0, 2, 0)
 
 
+def test_quoted_line_breaks_are_read(spark, root, warehouse):
+    whole = files.london_legacy("1", "18/12/2019 09:00", "18/12/2019 09:30").replace("Belgrove Street", "Belgrove\nStreet")
+    files.put(root, "london_csv/broken.csv", files.LONDON_LEGACY, whole, files.london_legacy("2", "18/12/2019 09:00", "18/12/2019 09:30"))
+    files.put(root, "london_csv/plain.csv", files.LONDON_LEGACY, files.london_legacy("3", "18/12/2019 09:00", "18/12/2019 09:30"), "4,77")
+    counts = load.load_prefix(spark, warehouse, str(root), "london_csv/", dry_run=True).collect()
+    assert sorted((r.source_file, r.rows, r.rejected) for r in counts) == [("broken.csv", 2, 0), ("plain.csv", 2, 0)]
+    load.load_prefix(spark, warehouse, str(root), "london_csv/")
+    rows = {r.rental_id: r.start_station_name for r in raw(spark, warehouse, "london_legacy").collect()}
+    assert rows == {"1": "Belgrove\nStreet , King's Cross", "2": "Belgrove Street , King's Cross", "3": "Belgrove Street , King's Cross", "4": None}
+    assert warehouse.rejects().read(spark).count() == 0
+
+
 def test_a_load_that_died_is_done_again(spark, root, warehouse, monkeypatch):
     files.put(root, "nyc_csv/a.csv", files.NYC_MODERN, files.nyc_modern("a", "2021-01-01 10:00:00", "2021-01-01 10:05:00"))
     load.load_prefix(spark, warehouse, str(root), "nyc_csv/")
