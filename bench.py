@@ -13,11 +13,14 @@ import os
 import pathlib
 import statistics
 import sys
+import tempfile
 import time
 
+from pyspark.sql import functions as F
+
 from spokeworks.checks.catalog import PERIOD
 from spokeworks.operators import increments
-from spokeworks.plans import load, marts, refresh, reports, rides
+from spokeworks.plans import explore, load, marts, refresh, reports, rides
 from spokeworks.plans.warehouse import Warehouse
 from spokeworks.samples import SampleRides
 from spokeworks.session import build_session, scratch_path
@@ -48,6 +51,13 @@ def builds(spark, warehouse: Warehouse, sample: SampleRides) -> dict[str, float]
     def staged(name):
         return refresh.staged(spark, warehouse, name)
 
+    def once_more():
+        """Part of the rides again under new objects, each key once: every one of them replaces a ride."""
+        again = (rides.int_london_rides(staged("london_modern"), staged("london_legacy"))
+                 .dropDuplicates(["ride_id"]).filter("hash(ride_id) % 5 = 0")
+                 .withColumn("landed_id", F.concat("landed_id", F.lit("b"))))
+        increments.replace_by_key(spark, again, warehouse.rides("int_london_rides"), ["ride_id"], on_duplicates="error")
+
     population = seed_population(spark)
     return {
         "s18_load_all": timed(lambda: load.load_all(spark, warehouse, landed)),
@@ -57,6 +67,7 @@ def builds(spark, warehouse: Warehouse, sample: SampleRides) -> dict[str, float]
         "k6_build_london_rides": timed(lambda: increments.replace_by_key(
             spark, rides.int_london_rides(staged("london_modern"), staged("london_legacy")),
             warehouse.rides("int_london_rides"), ["ride_id"], on_duplicates="keep")),
+        "s25_keyed_increment": timed(once_more),
         "k7_k14_build_marts": timed(lambda: refresh.refresh_marts(spark, warehouse, population)),
     }
 
@@ -83,6 +94,9 @@ def queries(spark, warehouse: Warehouse) -> dict:
         "k13_mart_london_station_growth": (drained, lambda: marts.station_growth(ride("london"), population)),
         "k14_mart_daily_metrics_long": (drained, lambda: marts.metrics_long(marts.combined_daily(
             mart("mart_nyc_daily_metrics"), mart("mart_london_daily_metrics")))),
+        "e6_station_metrics": (drained, lambda: explore.station_metrics(ride("nyc"))),
+        "e7_routes": (drained, lambda: explore.routes(ride("nyc"))),
+        "e9_weekday_segments": (drained, lambda: explore.weekday_segments(ride("nyc"))),
         "d3_common_date_bounds": (fetched, lambda: reports.common_date_bounds(long(), "nyc", "london")),
         "d8_per_capita_by_city": (fetched, lambda: reports.per_capita_by_city(long(), mart("mart_nyc_station_growth"), PERIOD)),
         "d9_average_duration_by_city": (fetched, lambda: reports.average_duration_by_city(long(), PERIOD)),
@@ -104,7 +118,8 @@ def queries(spark, warehouse: Warehouse) -> dict:
 def main() -> None:
     spark = build_session("bench", f"local[{CPUS}]", **{
         "spark.sql.shuffle.partitions": CPUS, "spark.driver.memory": "8g",
-        "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
+        "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="spokeworks-bench-")})
     spark.sparkContext.setLogLevel("ERROR")
 
     smallest = pathlib.Path(SF_DIR).parent / "sf0.001"
