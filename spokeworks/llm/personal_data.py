@@ -74,7 +74,8 @@ def seeds(texts: DataFrame) -> DataFrame:
 def spelled(spans: str) -> str:
     """SQL for spans as kind:start:end, by start and then kind."""
     names = ", ".join(f"'{k}'" for k in KINDS)
-    return (f"array_join(transform(array_sort({spans}), x -> concat(element_at(array({names}), x.kind + 1), ':', x.start, ':', x.end)), ',')")
+    return (f"array_join(transform(array_sort({spans}), "
+            f"x -> concat(element_at(array({names}), x.kind + 1), ':', x.start, ':', x.end)), ',')")
 
 
 def candidates() -> Column:
@@ -82,8 +83,8 @@ def candidates() -> Column:
     left = "regexp_replace(lower(regexp_extract(x.before, '(\\\\S{1,40})\\\\s+$', 1)), '[0-9]', '9')"
     shape = "regexp_replace(regexp_replace(x.m, '[0-9]+', '9'), '[A-Za-z]+', 'a')"
     found = _placed(_WORD, "text RLIKE '[0-9@]'")
-    return F.expr(f"transform(filter({found}, x -> length(x.m) BETWEEN 5 AND 64), x -> named_struct('start', x.start, 'end', x.end, "
-                  f"'word', x.m, 'pattern', concat({left}, ' ', {shape})))")
+    return F.expr(f"transform(filter({found}, x -> length(x.m) BETWEEN 5 AND 64), "
+                  f"x -> named_struct('start', x.start, 'end', x.end, 'word', x.m, 'pattern', concat({left}, ' ', {shape})))")
 
 
 def marked(docs: DataFrame) -> DataFrame:
@@ -156,11 +157,13 @@ def masked(docs: DataFrame) -> DataFrame:
     Spans that overlap are replaced as one, under the kind of the first. Other columns stay as they are.
     """
     names = ", ".join(f"'[{k.upper()}]'" for k in KINDS)
-    text, content, mine, hashed, spans = (shared.fresh(docs.columns, n) for n in ("plain", "content_key", "span_id", "span_content", "spans"))
-    every = (extracted(docs).withColumn("spans", F.expr(f"array_sort(concat({', '.join(KINDS)}, added))")).filter("size(spans) > 0")
-             .groupBy("doc_id", "content").agg(F.first("spans").alias("spans"))
+    text, content, mine, hashed, spans = (
+        shared.fresh(docs.columns, n) for n in ("plain", "content_key", "span_id", "span_content", "spans"))
+    every = (extracted(docs).withColumn("spans", F.expr(f"array_sort(concat({', '.join(KINDS)}, added))"))
+             .filter("size(spans) > 0").groupBy("doc_id", "content").agg(F.first("spans").alias("spans"))
              .select(F.col("doc_id").alias(mine), F.col("content").alias(hashed), F.col("spans").alias(spans)))
-    rows = docs.withColumn(text, F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn(content, F.xxhash64(text))
+    plain = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.withColumn(text, plain).withColumn(content, F.xxhash64(text))
     same = rows["doc_id"].cast("bigint").eqNullSafe(every[mine]) & (rows[content] == every[hashed])
     cut = F.expr(
         f"aggregate({spans}, named_struct('at', 0, 'out', cast(array() AS array<string>)), (s, x) -> CASE "

@@ -71,8 +71,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def cell_counts(docs: DataFrame, labels: DataFrame, trusted_most: int) -> DataFrame:
     """(cell, trusted, raw): n-grams of the trusted documents and of all documents in each cell."""
-    trusted = (labels.filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("good_id"))
-               .distinct().orderBy(F.xxhash64("good_id"), "good_id").limit(trusted_most))
+    trusted = (labels.filter("quality = 1 AND doc_id IS NOT NULL")
+               .select(F.col("doc_id").cast("bigint").alias("good_id")).distinct()
+               .orderBy(F.xxhash64("good_id"), "good_id").limit(trusted_most))
     marked = shared.keyed(docs).join(F.broadcast(trusted), F.col("doc_id") == F.col("good_id"), "left")
     marked = marked.select("text", F.col("good_id").isNotNull().alias("trusted"))
     return (shared.arrow_map(marked, _counted, COUNTS).groupBy("cell")

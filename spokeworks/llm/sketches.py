@@ -134,16 +134,19 @@ def in_order(docs: DataFrame) -> DataFrame:
     bucket = F.expr("0" if not cuts else
                     f"size(filter(array({','.join(f'{c}L' for c in cuts)}), c -> c < doc_id))")
     placed = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), -1).otherwise(bucket).cast("int"))
-    lowest = sorted((r["bucket"], r["least"]) for r in placed.groupBy("bucket").agg(F.min("doc_id").alias("least")).collect())
+    lowest = sorted((r["bucket"], r["least"])
+                    for r in placed.groupBy("bucket").agg(F.min("doc_id").alias("least")).collect())
     if not lowest:
         return placed.select("bucket", F.lit(False).alias("guest"), "doc_id", "text")
     firsts = [f"WHEN doc_id <=> {'NULL' if least is None else f'{least}L'} THEN {lowest[i - 1][0]}"
               for i, (_, least) in enumerate(lowest)]
     before = F.expr(f"CASE {' '.join(firsts)} END")
-    own, guest = F.struct("bucket", F.lit(False).alias("guest")), F.struct(before.alias("bucket"), F.lit(True).alias("guest"))
+    own = F.struct("bucket", F.lit(False).alias("guest"))
+    guest = F.struct(before.alias("bucket"), F.lit(True).alias("guest"))
     return (placed.withColumn("seat", F.explode(F.when(before.isNull(), F.array(own)).otherwise(F.array(own, guest))))
             .select("seat.bucket", "seat.guest", "doc_id", "text")
-            .repartition(count, "bucket").sortWithinPartitions("bucket", "guest", F.col("doc_id").asc_nulls_first(), "text"))
+            .repartition(count, "bucket")
+            .sortWithinPartitions("bucket", "guest", F.col("doc_id").asc_nulls_first(), "text"))
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -100,7 +100,8 @@ def learning_rows(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
               .select(F.col("doc_id").cast("bigint").alias("label_id"), F.col("toxic").cast("int").alias("toxic"))
               .filter(~held_out(F.col("label_id"))).groupBy("label_id").agg(F.max("toxic").alias("toxic"))
               .orderBy(F.xxhash64("label_id"), "label_id").limit(most))
-    rows = shared.keyed(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "toxic")
+    rows = (shared.keyed(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
+            .select("doc_id", "text", "toxic"))
     # Copies and near copies mostly share their smallest shingle; one of them counts, else its words would.
     return (shared.arrow_map(rows, _with_twin, TWINS).filter("twin IS NOT NULL").dropDuplicates(["twin", "toxic"])
             .select("doc_id", "text", "toxic"))
