@@ -86,3 +86,20 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd:
 def digests(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int = repeats.CROWD) -> DataFrame:
     """What was removed from every document, and a digest of what stays."""
     return repeats.removed(*repeats.located(docs, repeats.word_units, window, gram, crowd, matched), _digests(window), DIGEST)
+
+
+#: The digests in DuckDB, window by window.
+ORACLE = r"""
+WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+placed AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM split),
+windows AS (
+  SELECT doc_id, first, md5(array_to_string(words[first:first + 34], ' ')) AS content
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS first FROM split WHERE len(words) >= 35)),
+again AS (SELECT doc_id, first FROM windows QUALIFY count(*) OVER (PARTITION BY content) > 1),
+gone AS (SELECT DISTINCT doc_id, first + k AS place FROM again, range(0, 35) r(k)),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS rest FROM placed ANTI JOIN gone USING (doc_id, place)
+  GROUP BY doc_id),
+lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256
+FROM split LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)"""

@@ -66,4 +66,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_quality_rules, op2_source_mixing, op3_simhash_near_dedup, op4_personal_data, op5_suffix_array_dedup,
         op6_document_fingerprints, op7_substring_dedup, op8_toxicity, op9_token_counts, op10_byte_bpe)}
 
-ORACLE_SQL: dict[str, str] = {"op2_source_mixing": mixing.oracle(MIX_ALPHA, MIX_EPOCHS, MIX_SEED)}
+ORACLE_SQL: dict[str, str] = {
+    "op2_source_mixing": mixing.oracle(MIX_ALPHA, MIX_EPOCHS, MIX_SEED),
+    "op5_suffix_array_dedup": suffix_dedup.ORACLE,
+    "op7_substring_dedup": phrase_dedup.ORACLE,
+}

@@ -61,3 +61,27 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd:
 def digests(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int = repeats.CROWD) -> DataFrame:
     """What was removed from every document, and a digest of what stays."""
     return repeats.removed(*repeats.located(docs, repeats.byte_units, window, gram, crowd), _digests(window), DIGEST)
+
+
+#: The digests in DuckDB, window by window.
+ORACLE = """
+WITH split AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS bytes, octet_length(encode(coalesce(text, ''))) AS size FROM documents),
+windows AS (
+  SELECT doc_id, first, md5(bytes[first:first + 399]) AS content
+  FROM (SELECT doc_id, bytes, unnest(range(1, size - 398)) AS first FROM split WHERE size >= 400)),
+again AS (SELECT doc_id, first FROM windows QUALIFY count(*) OVER (PARTITION BY content) > 1),
+steps AS (
+  SELECT doc_id, first, (first - lag(first, 1, -400) OVER (PARTITION BY doc_id ORDER BY first) > 400)::INT AS opens FROM again),
+runs AS (SELECT doc_id, first, sum(opens) OVER (PARTITION BY doc_id ORDER BY first) AS run FROM steps),
+spans AS (SELECT doc_id, min(first) AS low, max(first) + 399 AS high FROM runs GROUP BY doc_id, run),
+edges AS (
+  SELECT doc_id, lag(high, 1, 0) OVER (PARTITION BY doc_id ORDER BY low) + 1 AS begins, low - 1 AS ends FROM spans
+  UNION ALL SELECT doc_id, coalesce(max(high), 0) + 1, any_value(size) FROM split LEFT JOIN spans USING (doc_id) GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, string_agg(hex(bytes[begins:ends]), '' ORDER BY begins) AS rest
+  FROM edges JOIN split USING (doc_id) WHERE ends >= begins GROUP BY doc_id),
+lost AS (SELECT doc_id, sum(high - low + 1) AS n, count(*) AS parts FROM spans GROUP BY doc_id)
+SELECT doc_id, size::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(parts, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(rest, ''))) AS kept_sha256
+FROM split LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)"""
