@@ -7,7 +7,7 @@ by writing its partition, which can be repeated safely.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
@@ -40,15 +40,24 @@ def unseen_rows(batch: DataFrame, target: DataFrame, place: Sequence[str] = FILE
     return batch.join(new, list(place), "left_semi").select(*batch.columns)
 
 
-def append_unseen(spark: SparkSession, batch: DataFrame, target: ParquetTable) -> None:
-    """Append the new files; rows that repeat a ride of another file are kept."""
+def append_unseen(spark: SparkSession, batch: DataFrame, target: ParquetTable,
+                  made: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> None:
+    """Append what is ``made`` of the rows of new files; rows that repeat a ride of another file are kept."""
     place, names = list(target.partition_by), scratch_path(spark, "new-files")
     unseen_files(batch, target.read(spark), place).write.parquet(names)
     new = spark.read.parquet(names).filter(F.length(place[0]) >= 0)
-    target.replace_partitions(batch.join(new, place, "left_semi"))
+    target.replace_partitions(made(batch.join(new, place, "left_semi").select(*batch.columns)))
     delete(spark, names)
 
 
+def keep_in_step(spark: SparkSession, rides: DataFrame, table: ParquetTable,
+                 made: Callable[[DataFrame], DataFrame]) -> None:
+    """A table kept per file: files that are gone go, new ones are made from their rows alone."""
+    gone = unseen_files(table.read(spark), rides, table.partition_by)
+    delete_partitions(spark, table, gone.toLocalIterator())
+    append_unseen(spark, rides, table, made)
+
+
 def duplicate_keys(batch: DataFrame, keys: list[str]) -> DataFrame:
     """Non-NULL keys that occur more than once (a unique index lets NULLs repeat)."""
     return batch.dropna(subset=keys).groupBy(*keys).count().filter("count > 1")
@@ -76,20 +85,21 @@ class DuplicateKeys(ValueError):
 
 
 def replace_by_key(spark: SparkSession, batch: DataFrame, target: ParquetTable,
-                   keys: list[str], on_duplicates: str = "error") -> None:
+                   keys: list[str], on_duplicates: str = "error", derived: Sequence[ParquetTable] = ()) -> None:
     """Publish the new files of ``batch``, replacing target rows with the same key.
 
     The batch is read by key column until it is written, once, into partitions
     of its own. Of the target only partitions that lose a row are rewritten:
     what remains of them is staged first, then a marker is set, then all is put
     in place. Every step after the marker can be repeated, and the next run
-    completes one that died there.
+    completes one that died there. Of ``derived`` tables, kept per file, the
+    partitions of files that lose a row are dropped, to be made again.
     """
     if on_duplicates not in ("error", "keep"):
         raise ValueError("on_duplicates is 'error' or 'keep'")
     pending = f"{target.path.rstrip('/')}__pending"
     staged = ParquetTable(f"{pending}/survivors", target.schema, target.partition_by)
-    _finish_pending(spark, target, staged, pending)
+    _finish_pending(spark, target, staged, pending, derived)
 
     current = target.read(spark)
     names = scratch_path(spark, "new-files")
@@ -103,7 +113,7 @@ def replace_by_key(spark: SparkSession, batch: DataFrame, target: ParquetTable,
     if not current.isEmpty():
         _stage_survivors(spark, current, rows.select(*keys).dropna().distinct(), staged, pending, keys)
     target.replace_partitions(rows)
-    _finish_pending(spark, target, staged, pending)
+    _finish_pending(spark, target, staged, pending, derived)
     delete(spark, names)
 
 
@@ -123,11 +133,14 @@ def _stage_survivors(spark: SparkSession, current: DataFrame, incoming: DataFram
     spark.range(1).write.mode("overwrite").parquet(f"{pending}/complete")
 
 
-def _finish_pending(spark: SparkSession, target: ParquetTable,
-                    staged: ParquetTable, pending: str) -> None:
+def _finish_pending(spark: SparkSession, target: ParquetTable, staged: ParquetTable, pending: str,
+                    derived: Sequence[ParquetTable]) -> None:
     """Put staged survivors in place and drop the partitions left without a row."""
     if not exists(spark, f"{pending}/complete/_SUCCESS"):
         return
+    for table in derived:
+        losing = spark.read.parquet(f"{pending}/losing").select(*target.partition_by)
+        delete_partitions(spark, table, losing.toLocalIterator())
     target.replace_partitions(staged.read(spark))
     emptied = spark.read.parquet(f"{pending}/losing").filter("lost = held")
     delete_partitions(spark, target, emptied.select(*target.partition_by).toLocalIterator())

@@ -7,6 +7,8 @@ on rows that number in the thousands. Stored marts carry no order.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from spokeworks.functions import columns as c
@@ -18,8 +20,8 @@ METRICS = ("total_rides", "avg_duration_minutes", "member_rides", "casual_rides"
 OPTIONAL_METRICS = ("member_rides", "casual_rides")
 
 
-def ride_totals(rides: DataFrame, has_members: bool, **by: Column) -> DataFrame:
-    """Ride counts and exact seconds per city and the given calendar columns."""
+def ride_totals(rides: DataFrame, has_members: bool, place: Sequence[str] = (), **by: Column) -> DataFrame:
+    """Ride counts and exact seconds per city and the given calendar columns, and per file where asked."""
     totals = {
         "total_rides": F.count("*"),
         "timed_rides": F.count("duration_seconds"),
@@ -28,16 +30,17 @@ def ride_totals(rides: DataFrame, has_members: bool, **by: Column) -> DataFrame:
     if has_members:
         totals["member_rides"] = c.count_where(F.col("user_type") == "member")
         totals["casual_rides"] = c.count_where(F.col("user_type") == "casual")
-    return (rides.groupBy("location", *[value.alias(name) for name, value in by.items()])
+    return (rides.groupBy("location", *[value.alias(name) for name, value in by.items()], *place)
             .agg(*[value.alias(name) for name, value in totals.items()]))
 
 
-def hour_totals(rides: DataFrame, has_members: bool) -> DataFrame:
+def hour_totals(rides: DataFrame, has_members: bool, place: Sequence[str] = ()) -> DataFrame:
     """The grain the daily, hourly and monthly marts share: city x day x hour.
 
     Grouped by DATE: turning it back into midnight is left to the few result rows.
     """
-    return ride_totals(rides, has_members, date=F.col("start_time").cast("date"), hour_of_day=c.hour_of("start_time"))
+    return ride_totals(rides, has_members, place, date=F.col("start_time").cast("date"),
+                       hour_of_day=c.hour_of("start_time"))
 
 
 def day_totals(rides: DataFrame, has_members: bool) -> DataFrame:
@@ -99,15 +102,24 @@ def members_from_hours(hours: DataFrame) -> DataFrame:
     return months.select("location", "month", share.alias("member_percentage"))
 
 
+def used_stations(rides: DataFrame, place: Sequence[str] = ()) -> DataFrame:
+    """(location, year, start_station_id) in use, and per file where asked."""
+    return rides.select("location", c.year_of("start_time").alias("year"), "start_station_id", *place).distinct()
+
+
 def station_counts(rides: DataFrame) -> DataFrame:
     """Distinct start stations per city and year, exact.
 
     The distinct is spelled out: rides collapse to (city, year, station) before
     anything moves, so only those triples are shuffled.
     """
-    stations = (rides.select("location", c.year_of("start_time").alias("year"), "start_station_id")
-                .distinct())
-    return stations.groupBy("location", "year").agg(F.count("start_station_id").alias("station_count"))
+    return counted_stations(used_stations(rides))
+
+
+def counted_stations(used: DataFrame) -> DataFrame:
+    """Station counts from triples that may repeat, as they do over files."""
+    return (used.select("location", "year", "start_station_id").distinct()
+            .groupBy("location", "year").agg(F.count("start_station_id").alias("station_count")))
 
 
 def previous_year(counts: DataFrame) -> DataFrame:
@@ -117,7 +129,11 @@ def previous_year(counts: DataFrame) -> DataFrame:
 
 
 def station_growth(rides: DataFrame, population: DataFrame) -> DataFrame:
-    grown = previous_year(with_population(station_counts(rides), population))
+    return growth_from_counts(station_counts(rides), population)
+
+
+def growth_from_counts(counts: DataFrame, population: DataFrame) -> DataFrame:
+    grown = previous_year(with_population(counts, population))
     return grown.select(
         "location", "year", "station_count", "population",
         c.per_thousand("station_count", "population").alias("stations_per_1000"),

@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, types as T
 
-from spokeworks.operators.increments import append_unseen, replace_by_key
+from spokeworks.operators.increments import append_unseen, keep_in_step, replace_by_key
 from spokeworks.plans import marts, rides, staging
-from spokeworks.plans.warehouse import MART_SCHEMAS, RIDE_SCHEMAS, Warehouse
-from spokeworks.session import scratch_path
+from spokeworks.plans.warehouse import FILE, MART_SCHEMAS, RIDE_SCHEMAS, Warehouse
 from spokeworks.sources import specs
 from spokeworks.sources.population import check_unique
-from spokeworks.sources.tables import delete
 
 RIDE_KEY = ["ride_id"]
 
@@ -47,31 +45,33 @@ def refresh_rides(spark: SparkSession, warehouse: Warehouse, stored_staging: boo
     append_unseen(spark, rides.int_nyc_rides(model("nyc_modern"), model("nyc_legacy")),
                   warehouse.rides("int_nyc_rides"))
     replace_by_key(spark, rides.int_london_rides(model("london_modern"), model("london_legacy")),
-                   warehouse.rides("int_london_rides"), RIDE_KEY, on_duplicates)
+                   warehouse.rides("int_london_rides"), RIDE_KEY, on_duplicates, warehouse.derived("london"))
 
 
 def refresh_marts(spark: SparkSession, warehouse: Warehouse, population: DataFrame) -> None:
-    """Rebuild every mart with two scans of each city's rides.
+    """Rebuild every mart from tables kept per file of the rides; only new or rewritten files are read.
 
-    One scan brings the rides down to city x day x hour, which the daily, hourly
-    and membership marts are read from; the other finds the distinct stations.
+    Rides come down to city x day x hour, which the daily, hourly and membership marts are
+    read from, and to the stations in use; both add up over files.
     """
     check_unique(population)
 
     def city_marts(city: str, has_members: bool) -> None:
-        ride_table = warehouse.rides(f"int_{city}_rides").read(spark)
-        path = scratch_path(spark, f"{city}-hours")
-        marts.hour_totals(ride_table, has_members).write.parquet(path)
-        hours = spark.read.parquet(path)
+        table = warehouse.hour_totals(city, has_members)
+        keep_in_step(spark, warehouse.rides(f"int_{city}_rides").read(spark), table,
+                     lambda new: marts.hour_totals(new, has_members, FILE).to(T.StructType.fromDDL(table.schema)))
+        hours = table.read(spark)
         warehouse.mart(f"mart_{city}_daily_metrics").rebuild(marts.daily_from_hours(hours, population))
         warehouse.mart(f"mart_{city}_hourly_patterns").rebuild(marts.hourly_from_hours(hours))
         if has_members:
             warehouse.mart(f"mart_{city}_member_analysis").rebuild(marts.members_from_hours(hours))
-        delete(spark, path)
 
     def city_growth(city: str) -> None:
-        ride_table = warehouse.rides(f"int_{city}_rides").read(spark)
-        warehouse.mart(f"mart_{city}_station_growth").rebuild(marts.station_growth(ride_table, population))
+        table = warehouse.used_stations(city)
+        keep_in_step(spark, warehouse.rides(f"int_{city}_rides").read(spark), table,
+                     lambda new: marts.used_stations(new, FILE).to(T.StructType.fromDDL(table.schema)))
+        counts = marts.counted_stations(table.read(spark))
+        warehouse.mart(f"mart_{city}_station_growth").rebuild(marts.growth_from_counts(counts, population))
 
     # Independent jobs, submitted together: their small last stages overlap.
     with ThreadPoolExecutor(4) as jobs:

@@ -100,6 +100,21 @@ class Warehouse:
     def rides(self, name: str) -> ParquetTable:
         return self._table("intermediate", name, RIDE_SCHEMAS[name], *FILE)
 
+    def hour_totals(self, city: str, has_members: bool) -> ParquetTable:
+        """What the rides of a file add to each hour: sums of it over files are those of all rides."""
+        members = "member_rides bigint, casual_rides bigint, " if has_members else ""
+        return self._table("intermediate", f"{city}_hour_totals", (
+            "location string, date date, hour_of_day bigint, total_rides bigint, timed_rides bigint,"
+            f" seconds decimal(28,6), {members}source_file string, landed_id string"), *FILE)
+
+    def used_stations(self, city: str) -> ParquetTable:
+        return self._table("intermediate", f"{city}_used_stations",
+                           "location string, year bigint, start_station_id string, source_file string, landed_id string", *FILE)
+
+    def derived(self, city: str) -> list[ParquetTable]:
+        """Tables that are kept per file of the city's rides."""
+        return [self.hour_totals(city, city == "nyc"), self.used_stations(city)]
+
     def mart(self, name: str) -> ParquetTable:
         return self._table("marts", name, MART_SCHEMAS[name])
 

@@ -121,6 +121,23 @@ def test_rows_without_a_key_pass_no_exchange(spark, plan_of):
             spark.conf.unset(key)
 
 
+def test_table_kept_per_file_reads_new_files_only(spark, tmp_path, target, rows):
+    sums, read = ParquetTable(str(tmp_path / "sums"), "n bigint, source_file string", ("source_file",)), []
+
+    def summed(new):
+        read.append(sorted(r.source_file for r in new.select("source_file").distinct().collect()))
+        return new.groupBy("source_file").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n")
+
+    def step(*batch):
+        replace_by_key(spark, rows(*batch), target, ["ride_id"], derived=[sums])
+        increments.keep_in_step(spark, target.read(spark), sums, summed)
+        return dict((f, n) for n, f in held(spark, sums))
+
+    assert step(("a", 1, "f1"), ("b", 2, "f1"), ("c", 4, "f2")) == {"f1": 3, "f2": 4}
+    assert step(("a", 8, "f3"), ("c", 16, "f4")) == {"f1": 2, "f3": 8, "f4": 16}
+    assert read == [["f1", "f2"], ["f1", "f3", "f4"]]
+
+
 def test_empty_batch_changes_nothing(spark, target, rows):
     replace_by_key(spark, rows(), target, ["ride_id"])
     assert held(spark, target) == []

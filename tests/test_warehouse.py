@@ -1,7 +1,7 @@
 """Landing files to marts, twice, as batches and as a stream."""
 
 import landing as files
-from spokeworks.plans import load, refresh
+from spokeworks.plans import load, marts, refresh
 from spokeworks.plans.warehouse import Warehouse
 from spokeworks.sources import specs
 from spokeworks.sources.population import seed_population
@@ -36,6 +36,13 @@ def check(spark, warehouse):
     assert (daily["2019-06-01"].member_rides, daily["2019-06-01"].total_minutes_biked) == (2, 20.0)
     growth = [r.station_count for r in warehouse.mart("mart_london_station_growth").read(spark).orderBy("year").collect()]
     assert growth == [1, 1]
+    for city, members in (("nyc", True), ("london", False)):  # kept per file, the marts equal a full rebuild
+        taken, population = warehouse.rides(f"int_{city}_rides").read(spark), seed_population(spark)
+        for name, whole in ((f"mart_{city}_daily_metrics", marts.daily_metrics(taken, population, members)),
+                            (f"mart_{city}_hourly_patterns", marts.hourly_patterns(taken)),
+                            (f"mart_{city}_station_growth", marts.station_growth(taken, population))):
+            kept = warehouse.mart(name).read(spark)
+            assert sorted(map(str, kept.collect())) == sorted(map(str, whole.select(*kept.columns).collect()))
     long = warehouse.mart("mart_daily_metrics_long").read(spark)
     assert long.filter("location = 'london' AND metric_name = 'member_rides'").count() == 0
     assert long.filter("metric_name = 'total_rides'").agg({"metric_value": "sum"}).first()[0] == 7.0
