@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame, functions as F
 from spokeworks.llm import shared, textbytes
 from spokeworks.llm.textbytes import U64
 
-#: Contents of one minimizer that are compared in one task.
-CROWD = 256
+#: Contents of one minimizer that are compared in one task: some 3 MB of text.
+CROWD = 4096
 #: Windows handled at once.
 STRIDE = 1 << 20
 #: Bytes of runs that are compared at once.
