@@ -1,0 +1,131 @@
+"""Near copies: texts whose sets of word shingles have a Jaccard similarity of ``SIMILARITY`` or more.
+
+Texts of one shingle set are one node. Candidates are nodes that share a key: a variant of their SimHash
+fingerprint (meet in the middle, as in ``simhash``) or a band of ``ROWS`` min-hashes. A text 0.8 alike
+another differs from it in some 10 of 64 bits, so the ball alone misses nearly all of them and a ball
+that holds them (half radius 5, 8.3 million variants) can't be dealt; at 0.8 the bands miss 6 pairs of 100,000.
+Every candidate is verified by its true shingle sets.
+
+A key with many nodes is a star first: each is compared with the smallest. Only keys whose nodes are then
+in different groups have the pairs between groups compared, so a large group of near copies costs a row
+for each of its members and key, and no pair of a key is left out.
+
+Defined results are those of ``simhash.survivors``: null, empty and blank texts are alike and unlike all
+others; texts of fewer words than a shingle have one, their whole sequence.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window, functions as F
+
+from spokeworks.llm import shared, simhash, textbytes
+from spokeworks.llm.components import components
+
+SHINGLE = 5
+#: Least similarity as a fraction, so that the comparison is exact.
+SIMILARITY = (4, 5)
+BANDS, ROWS = 32, 6
+#: Shingles whose min-hashes are taken at once.
+BLOCK = 1024
+
+_FACTORS = np.random.Generator(np.random.PCG64(805)).integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * 2 + 1
+_SHIFTS = np.random.Generator(np.random.PCG64(806)).integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * 2
+
+
+def distinct_shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    return np.unique(simhash.shingle_hashes(text, shingle))
+
+
+def bands(shingles: np.ndarray) -> np.ndarray:
+    """One key per band of min-hashes; none for an empty set."""
+    if not len(shingles):
+        return np.zeros(0, np.int64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(shingles), BLOCK):
+        mixed = shingles[None, i:i + BLOCK] * _FACTORS
+        mixed += _SHIFTS
+        np.minimum(least, mixed.min(axis=1), out=least)
+    parts = least.reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh64_intdigest(p.tobytes(), i) for i, p in enumerate(parts, 1)], np.uint64).view(np.int64)
+
+
+NODES = "doc_id bigint, content bigint, node bigint, bits bigint, bands array<bigint>"
+SETS = "node bigint, shingles array<bigint>"
+
+
+def _signed(values: list[int]) -> np.ndarray:
+    return np.array(values, np.uint64).view(np.int64)
+
+
+def _nodes(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in textbytes.slices(batches, "text"):
+            sets = [distinct_shingles(t, shingle) for t in part.column("text").to_pylist()]
+            yield shared.batch(NODES, [
+                part.column("doc_id"), part.column("content"), _signed([xxhash.xxh64_intdigest(s.tobytes()) for s in sets]),
+                _signed([simhash.folded(s) if len(s) else 0 for s in sets]), [bands(s) for s in sets]])
+    return run
+
+
+def _sets(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in textbytes.slices(batches, "text"):
+            yield shared.batch(SETS, [part.column("node"), [distinct_shingles(t, shingle).view(np.int64)
+                                                            for t in part.column("text").to_pylist()]])
+    return run
+
+
+def shared_keys(nodes: DataFrame, radius: int) -> DataFrame:
+    """(key, node, lower): every node under each key it shares with another, and the key's smallest node."""
+    keys = nodes.select("node", F.explode(F.expr(f"concat({simhash.variants(radius)}, bands)")).alias("key"))
+    one = Window.partitionBy("key")
+    return (keys.withColumn("lower", F.min("node").over(one)).withColumn("upper", F.max("node").over(one))
+            .filter("lower <> upper").select("key", "node", "lower"))
+
+
+def shingle_sets(docs: DataFrame, prints: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(node, shingles) of the wanted nodes, taken from one text of each."""
+    one = (prints.join(wanted, "node", "left_semi").groupBy("node")
+           .agg(F.min(F.struct("content", F.isnull("doc_id").alias("none"), "doc_id")).alias("of"))
+           .select("node", F.col("of.doc_id").alias("of_id"), F.col("of.content").alias("of_content")))
+    texts = shared.keyed(docs).withColumn("content", F.xxhash64("text"))
+    same = texts["doc_id"].eqNullSafe(one["of_id"]) & (texts["content"] == one["of_content"])
+    return shared.arrow_map(texts.join(one, same).select("node", "text"), _sets(shingle), SETS).dropDuplicates(["node"])
+
+
+def alike(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """The pairs (node, lower) whose shingle sets are similar enough."""
+    up, down = similarity
+    left = sets.select("node", F.col("shingles").alias("a"))
+    right = sets.select(F.col("node").alias("lower"), F.col("shingles").alias("b"))
+    both = (pairs.join(left, "node").join(right, "lower")
+            .select("node", "lower", F.size(F.array_intersect("a", "b")).alias("both"), (F.size("a") + F.size("b")).alias("all")))
+    return both.filter(F.expr(f"{up + down}L * both >= {up}L * all")).select("node", "lower")
+
+
+def grouped(docs: DataFrame, prints: DataFrame, shingle: int, radius: int, similarity: tuple[int, int]) -> DataFrame:
+    """(node, root) of every node; ``root`` is the smallest node of its group."""
+    nodes = prints.groupBy("node").agg(F.min("bits").alias("bits"), F.min("bands").alias("bands"))
+    keys = shared.written(shared_keys(nodes, radius), "near-keys")
+    sets = shared.written(shingle_sets(docs, prints, keys.select("node").distinct(), shingle), "near-sets")
+    stars = shared.written(alike(keys.filter("node <> lower").select("node", "lower").distinct(), sets, similarity), "near-stars")
+    rooted = keys.join(components(stars), "node", "left").select("key", "node", F.coalesce("component", "node").alias("root"))
+    torn = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("key")
+    open_keys = shared.written(rooted.join(torn, "key", "left_semi"), "near-open")
+    other = open_keys.select("key", F.col("node").alias("lower"), F.col("root").alias("other"))
+    pairs = open_keys.join(other, "key").filter("node > lower AND root <> other").select("node", "lower").distinct()
+    roots = components(stars.unionByName(alike(pairs, sets, similarity)))
+    return nodes.join(roots, "node", "left").select("node", F.coalesce("component", "node").alias("root"))
+
+
+def survivors(docs: DataFrame, shingle: int = SHINGLE, radius: int = simhash.RADIUS,
+              similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """One document of each group of near copies, the one with the smallest id, as ``simhash.survivors`` has it."""
+    prints = shared.written(
+        shared.arrow_map(shared.keyed(docs).withColumn("content", F.xxhash64("text")), _nodes(shingle), NODES), "near-nodes")
+    return simhash.first_of_each(docs, prints.join(grouped(docs, prints, shingle, radius, similarity), "node"))

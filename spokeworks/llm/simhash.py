@@ -25,21 +25,27 @@ from spokeworks.llm.components import components
 
 SCHEMA = "doc_id bigint, bits bigint"
 SHINGLE, SEED = 3, 42
+#: Bits in which linked fingerprints may differ.
+RADIUS = 2
 #: Shingles whose bits are unfolded at once.
 ROWS = 1 << 16
 
 
-def fingerprint(text: str | None) -> int:
-    """The 64-bit fingerprint of a text, unsigned."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The hashes of all shingles of a text, in order and with repeats."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
-    starts, last = (ends - sizes).tolist(), ends[min(SHINGLE, len(words)) - 1:].tolist()
+    starts, last = (ends - sizes).tolist(), ends[min(shingle, len(words)) - 1:].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[i:j], SEED) for i, j in zip(starts, last)], dtype="<u8")
+    return np.array([digest(joined[i:j], SEED) for i, j in zip(starts, last)], dtype="<u8")
+
+
+def folded(hashes: np.ndarray) -> int:
+    """The bits that most of the hashes have."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), ROWS):
         part = hashes[i:i + ROWS].view(np.uint8).reshape(-1, 8)
@@ -47,6 +53,11 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The 64-bit fingerprint of a text, unsigned."""
+    return folded(shingle_hashes(text, shingle))
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in textbytes.slices(batches, "text"):
         bits = np.array([fingerprint(t) for t in part.column("text").to_pylist()], np.uint64)
@@ -67,13 +78,20 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return shared.arrow_map(shared.keyed(docs), _fingerprints, SCHEMA)
 
 
+def variants(radius: int = RADIUS) -> str:
+    """SQL for all values within half the radius, rounded up, of ``bits``."""
+    balls = ["array(bits)"]
+    for _ in range((radius + 1) // 2):
+        balls.append(f"flatten(transform({balls[-1]}, b -> transform(sequence(0, 63), i -> b ^ shiftleft(1L, i))))")
+    return f"array_distinct(concat({', '.join(balls)}))"
+
+
 def links(distinct: DataFrame) -> DataFrame:
     """Pairs (bits, lower) that differ in one or two bits, enough to connect all that do."""
-    variants = distinct.select("bits", F.explode(F.expr(
-        "concat(array(bits), transform(sequence(0, 63), i -> bits ^ shiftleft(1L, i)))")).alias("variant"))
+    ball = distinct.select("bits", F.explode(F.expr(variants())).alias("variant"))
     lowest = F.min("bits").over(Window.partitionBy("variant"))
-    return (variants.withColumn("lower", lowest).filter("bits <> lower").select("bits", "lower").distinct()
-            .filter("bit_count(bits ^ lower) <= 2"))
+    return (ball.withColumn("lower", lowest).filter("bits <> lower").select("bits", "lower").distinct()
+            .filter(f"bit_count(bits ^ lower) <= {RADIUS}"))
 
 
 def grouped(prints: DataFrame) -> DataFrame:
@@ -99,12 +117,17 @@ def survivors(docs: DataFrame) -> DataFrame:
     Where several rows of a group have that id, one whose text hashes lowest stays; of rows equal in
     both id and text, one stays. A row without an id stays only where its whole group has none.
     """
-    content, mine, hashed = (shared.fresh(docs.columns, n) for n in ("content", "kept_id", "kept_content"))
     prints = shared.written(
         shared.arrow_map(shared.keyed(docs).withColumn("content", F.xxhash64("text")), _with_content, CONTENT),
         "fingerprints")
+    return first_of_each(docs, prints.join(grouped(prints), "bits"))
+
+
+def first_of_each(docs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that come first in their group; ``rooted`` has (doc_id, content, root) of each."""
+    content, mine, hashed = (shared.fresh(docs.columns, n) for n in ("content", "kept_id", "kept_content"))
     first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "content")).alias("first")
-    kept = (prints.join(grouped(prints), "bits").groupBy("root").agg(first)
+    kept = (rooted.groupBy("root").agg(first)
             .select(F.col("first.doc_id").alias(mine), F.col("first.content").alias(hashed)))
     marked = docs.withColumn(content, F.xxhash64(F.col("text").cast("string")))
     same = marked["doc_id"].cast("bigint").eqNullSafe(kept[mine]) & (marked[content] == kept[hashed])

@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 import llm_brute as brute
 from spokeworks.llm import (
-    byte_bpe, components, mixing, personal_data, phrase_dedup, quality, repeats, simhash, sketches, suffix_dedup,
+    byte_bpe, components, mixing, near_copies, personal_data, phrase_dedup, quality, repeats, simhash, sketches, suffix_dedup,
     textbytes, token_counts, toxicity)
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -411,3 +411,26 @@ def test_native_operators_run_no_python(docs, plan_of):
 
 def test_subpackage_stands_alone():
     assert importlib.util.find_spec("spokeworks.llm")
+
+
+def test_near_copies_are_all_texts_of_similar_shingles(spark):
+    rng = random.Random(8)
+    prose = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    rows, shingles = [], lambda t: {tuple(t[i:i + 5]) for i in range(len(t) - 4)}
+    for _ in range(40):
+        base = prose(rng.randint(80, 300))
+        rows.append(base)
+        for share in (0.9, 0.85, 0.7):
+            rows.append(base[:int(share * len(base))] + prose(len(base) - int(share * len(base))))
+    rows += [rows[0] + prose(2), ["Same"] * 3, ["same"] * 3, []]
+    want = list(range(len(rows)))
+    for i, a in enumerate(rows[:-3]):
+        for j, b in enumerate(rows[:i]):
+            both, every = shingles(a) & shingles(b), shingles(a) | shingles(b)
+            if 5 * len(both) >= 4 * len(every):
+                want = [want[j] if w == want[i] else w for w in want]
+    want[-2] = want[-3]
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)], "doc_id bigint, text string")
+    assert sorted(r["doc_id"] for r in near_copies.survivors(table).collect()) == sorted(
+        {min(i for i, w in enumerate(want) if w == g) for g in want})
+    assert simhash.survivors(table).count() > len(set(want)) + 30
