@@ -1,11 +1,12 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame operations alone.
 
 Seed entities are e-mail addresses, IP addresses, payment cards and phone numbers found by pattern and
-checked. Words with a digit or an @ are candidate instances; the word before one, with the shape of the
-instance, is its lexical pattern. Patterns and instances form a graph that is scored in rounds: a pattern is
-as good as the share of its instances that are trusted, and an instance is trusted as far as the best pattern
-that has it. Patterns with ``SUPPORT`` trusted instances and a share of ``TRUST`` mark the instances that no
-seed covers.
+checked. Instances are the seeds, seeds with what is glued to them, and whole runs of adjacent words with a
+digit or an @ that no seed touches; the word before an instance in the full text (``^`` at its beginning), with
+the shape of the instance, is its lexical pattern. Patterns and instances form a graph that is scored until
+nothing changes: a pattern is as good as the share of its instances that are trusted, and an instance is trusted
+as far as the best pattern that has it. Patterns with ``SUPPORT`` trusted instances and a share of ``TRUST`` mark
+the runs that no seed touches, and single words of runs that are not marked whole.
 
 Positions come from the texts between matches, which ``split`` gives; patterns are possessive and start
 where a run starts, so their time is linear in the text and no repetition recurses.
@@ -38,9 +39,11 @@ KINDS = {
               "length(regexp_replace(x.m, '[^0-9]', '')) BETWEEN 9 AND 15"),
 }
 #: A word with a digit or an @.
-_WORD = r"(?<!\S)\S*[0-9@]\S*"
+_WORD = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+#: Adjacent words with a digit or an @.
+_RUN = rf"{_WORD}(?:\s++[^\s0-9@]*+[0-9@]\S*+)*+"
 
-SUPPORT, TRUST, ROUNDS = 5, 0.9, 2
+SUPPORT, TRUST = 5, 0.9
 _NO_SPANS = "cast(array() AS array<struct<start:int,kind:int,end:int>>)"
 
 
@@ -78,59 +81,107 @@ def spelled(spans: str) -> str:
             f"x -> concat(element_at(array({names}), x.kind + 1), ':', x.start, ':', x.end)), ',')")
 
 
-def candidates() -> Column:
-    """Words with a digit or an @ that may be identifiers: place, word, and the pattern they stand in."""
-    left = "regexp_replace(lower(regexp_extract(x.before, '(\\\\S{1,40})\\\\s+$', 1)), '[0-9]', '9')"
-    shape = "regexp_replace(regexp_replace(x.m, '[0-9]+', '9'), '[A-Za-z]+', 'a')"
-    found = _placed(_WORD, "text RLIKE '[0-9@]'")
-    return F.expr(f"transform(filter({found}, x -> length(x.m) BETWEEN 5 AND 64), "
-                  f"x -> named_struct('start', x.start, 'end', x.end, 'word', x.m, 'pattern', concat({left}, ' ', {shape})))")
+def _shape(text: str) -> str:
+    return f"regexp_replace(regexp_replace({text}, '[0-9]+', '9'), '[A-Za-z]+', 'a')"
+
+
+def _left(before: str) -> str:
+    """SQL for the last word of a text, at most its last 40 characters; ^ where there is none."""
+    word = f"regexp_extract({before}, '(\\\\S{{1,40}})\\\\s*+$', 1)"
+    return f"regexp_replace(lower(IF({word} = '', '^', {word})), '[0-9]', '9')"
+
+
+def _trimmed(found: str) -> str:
+    """SQL for matches without the punctuation that ends them."""
+    bare = "regexp_replace(x.m, '(?<![,;:.!?])[,;:.!?]++$', '')"
+    return (f"transform({found}, x -> named_struct('start', x.start, 'end', x.start + length({bare}), 'm', {bare}, "
+            "'before', x.before))")
+
+
+def candidates(texts: DataFrame) -> DataFrame:
+    """Adds ``words``, what may be identifiers: place, text, pattern, kind and role.
+
+    The role is 0 for instances of the graph and 1 for single words in a run of several, which may only be
+    marked. The kind is that of the seed, null where no seed touches the place.
+    """
+    when = "text RLIKE '[0-9@]'"
+    spans = f"concat({', '.join(KINDS)})"
+    touching = "filter(spans, s -> s.start < x.end AND s.end > x.start)"
+    texts = (texts.withColumn("spans", F.expr(spans)).withColumn("runs", F.expr(_trimmed(_placed(_RUN, when))))
+             .withColumn("parts", F.expr(_trimmed(_placed(_WORD, when)))))
+    own = (f"transform(spans, s -> named_struct('start', s.start, 'end', s.end, "
+           "'m', substring(text, s.start + 1, s.end - s.start), "
+           "'before', substring(text, greatest(1, s.start - 127), least(128, s.start)), 'kind', s.kind, 'role', 0))")
+    # a word right after another one with a digit has it on its left
+    words = ("transform(parts, (x, i) -> named_struct('start', x.start, 'end', x.end, 'm', x.m, 'before', "
+             "IF(i > 0 AND x.before NOT RLIKE '\\\\S', get(parts, i - 1).m, x.before)))")
+    glued = ("s.start >= x.start AND s.end <= x.end AND substring(x.m, 1, s.start - x.start) NOT RLIKE '\\\\s' "
+             "AND substring(x.m, s.end - x.start + 1) NOT RLIKE '\\\\s'")
+
+    def placed(role: int, x: str = "x") -> str:
+        return (f"named_struct('start', {x}.start, 'end', {x}.end, 'm', {x}.m, 'before', {x}.before, "
+                f"'kind', get(filter({touching}, s -> {glued}), 0).kind, 'role', {role})")
+
+    free = f"NOT exists(spans, s -> s.start < x.end AND s.end > x.start)"
+    holds = f"exists(spans, s -> {glued})"
+    texts = (texts.withColumn("parts", F.expr(words))
+             .withColumn("own", F.expr(own))
+             .withColumn("whole", F.expr(f"transform(filter(runs, x -> {free} OR {holds}), x -> {placed(0)})"))
+             .withColumn("held", F.expr(f"transform(filter(parts, x -> {holds}), x -> {placed(0)})"))
+             .withColumn("single", F.expr(
+                 f"transform(filter(parts, x -> {free} AND NOT exists(runs, r -> r.start = x.start AND r.end = x.end)), "
+                 f"x -> {placed(1)})")))
+    shaped = (f"named_struct('start', x.start, 'end', x.end, 'word', x.m, 'kind', x.kind, 'role', x.role, "
+              f"'pattern', concat({_left('x.before')}, ' ', {_shape('x.m')}))")
+    return (texts.withColumn("words", F.expr(f"array_distinct(transform(concat(own, whole, held, single), x -> {shaped}))"))
+            .drop("spans", "runs", "parts", "own", "whole", "held", "single"))
 
 
 def marked(docs: DataFrame) -> DataFrame:
     """(doc_id, content, email, ip, card, phone, words) of every document, without its text."""
     texts = shared.keyed(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return seeds(texts).withColumn("words", candidates()).withColumn("content", F.xxhash64("text")).drop("text")
+    return candidates(seeds(texts)).withColumn("content", F.xxhash64("text")).drop("text")
 
 
 def graph(found: DataFrame) -> DataFrame:
-    """(pattern, word, kind, n): edges; kind is that of the seed which the word overlaps, else null."""
-    spans = f"concat({', '.join(KINDS)})"
-    kind = f"get(filter({spans}, s -> s.start < w.end AND s.end > w.start), 0).kind"
-    return (found.filter("size(words) > 0").select(F.explode(F.expr(
-        f"transform(words, w -> named_struct('pattern', w.pattern, 'word', w.word, 'kind', {kind}))")).alias("e"))
-        .filter("e.pattern NOT LIKE ' %'").groupBy("e.pattern", "e.word", "e.kind").agg(F.count("*").alias("n")))
+    """(pattern, word, kind, n): edges of instances; kind is that of the seed, null where none touches the word."""
+    return (found.select(F.explode(F.expr("filter(words, w -> w.role = 0)")).alias("e"))
+            .groupBy("e.pattern", "e.word", "e.kind").agg(F.count("*").alias("n")))
 
 
-def scored_patterns(edges: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, trust: float = TRUST) -> DataFrame:
-    """(pattern, kind) of high confidence, after rounds of scoring patterns by instances and back."""
+def scored_patterns(edges: DataFrame, support: int = SUPPORT, trust: float = TRUST) -> DataFrame:
+    """(pattern, kind) of high confidence, after scoring patterns by instances and back until nothing changes."""
     words = edges.groupBy("pattern", "word").agg(F.max("kind").alias("kind"))
     trusted = words.filter("kind IS NOT NULL").groupBy("word", "kind").agg(F.lit(1.0).alias("score"))
     everything = words.groupBy("pattern").agg(F.count("*").alias("instances"))
-    for turn in range(rounds):
+    state = None
+    while True:
         sums = (words.select("pattern", "word").join(trusted, "word").groupBy("pattern", "kind")
                 .agg(F.sum("score").alias("weight"), F.count("*").alias("seen")))
-        patterns = (sums.join(everything, "pattern").withColumn("score", F.col("weight") / F.col("instances"))
-                    .filter((F.col("seen") >= support) & (F.col("score") >= trust))
-                    .select("pattern", "kind", "score"))
-        if turn + 1 < rounds:
-            learnt = (words.select("pattern", "word").join(patterns, "pattern").groupBy("word", "kind")
-                      .agg(F.max("score").alias("score")))
-            trusted = shared.written(trusted.unionByName(learnt).groupBy("word", "kind")
-                                     .agg(F.max("score").alias("score")), "pii-instances")
+        patterns = shared.written(
+            sums.join(everything, "pattern").withColumn("score", F.round(F.col("weight") / F.col("instances"), 6))
+            .filter((F.col("seen") >= support) & (F.col("score") >= trust)).select("pattern", "kind", "score"), "pii-patterns")
+        now = tuple(patterns.agg(F.count("*"), F.sum(F.xxhash64("pattern", "kind", "score").cast("decimal(38,0)"))).first())
+        if now == state or not now[0]:
+            break
+        state = now
+        learnt = (words.select("pattern", "word").join(patterns, "pattern").groupBy("word", "kind")
+                  .agg(F.max("score").alias("score")))
+        trusted = shared.written(trusted.unionByName(learnt).groupBy("word", "kind")
+                                 .agg(F.max("score").alias("score")), "pii-instances")
     best = patterns.groupBy("pattern").agg(F.max(F.struct("score", F.negate("kind").alias("kind"))).alias("best"))
     return best.select("pattern", F.negate("best.kind").alias("kind"))
 
 
 def discovered(found: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(doc_id, content, added): words in trusted patterns that no seed overlaps."""
-    spans = f"concat({', '.join(KINDS)})"
-    loose = found.select("doc_id", "content", F.explode(F.expr(
-        f"filter(words, w -> NOT exists({spans}, s -> s.start < w.end AND s.end > w.start))")).alias("w")).distinct()
+    """(doc_id, content, added): places in trusted patterns that no seed touches, without those inside another."""
+    loose = found.select("doc_id", "content", F.explode(F.expr("filter(words, w -> w.kind IS NULL)")).alias("w")).distinct()
     return (loose.join(patterns, loose["w.pattern"] == patterns["pattern"])
             .groupBy("doc_id", "content").agg(F.collect_list(F.struct(
                 F.col("w.start").alias("start"), F.col("kind").cast("int").alias("kind"), F.col("w.end").alias("end"))).alias("added"))
-            .select(F.col("doc_id").alias("added_id"), F.col("content").alias("added_content"), "added"))
+            .select(F.col("doc_id").alias("added_id"), F.col("content").alias("added_content"), F.expr(
+                "filter(added, x -> NOT exists(added, y -> y.start <= x.start AND y.end >= x.end"
+                " AND y.end - y.start > x.end - x.start))").alias("added")))
 
 
 def extracted(docs: DataFrame) -> DataFrame:

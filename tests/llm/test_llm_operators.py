@@ -434,3 +434,20 @@ def test_near_copies_are_all_texts_of_similar_shingles(spark):
     assert sorted(r["doc_id"] for r in near_copies.survivors(table).collect()) == sorted(
         {min(i for i, w in enumerate(want) if w == g) for g in want})
     assert simhash.survivors(table).count() > len(set(want)) + 30
+
+
+def test_spaced_identifiers_that_no_seed_covers_are_found(spark):
+    digits = lambda i, n: f"{i * 7919 + 10 ** (n - 1)}"[:n]
+    phones = [f"+1 ({digits(i, 3)}) 555-{digits(i * 3, 4)}" for i in range(40)]
+    cards = [f"{n[:4]} {n[4:8]} {n[8:12]} {n[12:]}" for n in (str(4 * 10 ** 15 + i * 104729) for i in range(900))]
+    luhn = lambda c: brute.personal(c)
+    good, bad = [c for c in cards if luhn(c)], [c for c in cards if not luhn(c)]
+    assert len(good) > 60
+    rows = [f"ask me 12\nPhone: {p} soon" for p in phones] + [f"paid by Card: {c}, thanks" for c in good]
+    first = len(rows)
+    rows += ["Phone: +1 (017) 55-77 soon", f"ask Card: {bad[0]}, thanks", "Card: 12 items", f"see {bad[1]} here"]
+    table = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    out = {r["doc_id"]: r["spans"] for r in personal_data.personal_data(table).collect()}
+    assert [out[first + i] for i in range(4)] == ["phone:7:21", "card:10:29", "", ""]
+    hidden = {r["doc_id"]: r["text"] for r in personal_data.masked(table).collect()}
+    assert hidden[first] == "Phone: [PHONE] soon" and hidden[first + 1] == "ask Card: [CARD], thanks"
