@@ -1,6 +1,6 @@
 """The corpus pipeline: stages over documents, each written as Parquet and read again by the next.
 
-toxicity -> near copies -> personal data -> mixing -> byte-level BPE
+toxicity -> SimHash near-dedup -> personal data -> mixing -> byte-level BPE
 
 Every stage but the last returns the columns of ``documents``. Each has a defined result for nulls, empty
 texts, repeated rows and empty tables, stated with its operator; after mixing, an id occurs as often as the
@@ -14,7 +14,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spokeworks.llm import byte_bpe, mixing, near_copies, personal_data, shared, toxicity
+from spokeworks.llm import byte_bpe, mixing, personal_data, shared, simhash, toxicity
 from spokeworks.llm.queries import MIX_ALPHA, MIX_EPOCHS, MIX_SEED
 
 
@@ -24,8 +24,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies: 5-word shingles, similarity 0.8 or more."""
-    return near_copies.survivors(docs)
+    """The document with the smallest id of each group that the SimHash operator links: 3-word shingles, 2 bits."""
+    return simhash.survivors(docs)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
