@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from spokeworks.llm import (
-    byte_bpe, mixing, personal_data, phrase_dedup, quality, shared, simhash, sketches, suffix_dedup, token_counts,
-    toxicity)
+    byte_bpe, mixing, packing, personal_data, phrase_dedup, quality, shared, simhash, sketches, suffix_dedup,
+    token_counts, toxicity)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,10 +61,15 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(shared.table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.packed(shared.table(spark, sf_dir, "documents"), path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_quality_rules, op2_source_mixing, op3_simhash_near_dedup, op4_personal_data, op5_suffix_array_dedup,
-        op6_document_fingerprints, op7_substring_dedup, op8_toxicity, op9_token_counts, op10_byte_bpe)}
+        op6_document_fingerprints, op7_substring_dedup, op8_toxicity, op9_token_counts, op10_byte_bpe, op11_best_fit_packing)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_source_mixing": mixing.oracle(MIX_ALPHA, MIX_EPOCHS, MIX_SEED),
