@@ -23,11 +23,9 @@ from __future__ import annotations
 import functools
 import math
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,16 +34,19 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from spokeworks.llm import shared, textbytes
 
-#: Bytes of text handled at once, chunks that a task remembers, and the longest of them.
-SLICE, REMEMBERED, LONGEST = 4 << 20, 600_000, 64
+#: Bytes of text handled at once, chunks that a worker remembers, and new chunks joined into one text.
+SLICE, REMEMBERED, JOINED = 4 << 20, 1_000_000, 400
 #: Ranks of a length that meet their allotments under one key.
 BLOCK = 1024
 END = 0
 
-#: Cuts before white space, which no match of the tokenizer's pattern crosses from the left.
-_CHUNK = re.compile(r"[ \t\n\r\f\v]*[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+")
-#: White space that may run together with ASCII white space, and special strings: such texts are encoded whole.
-_WHOLE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|<\\|")
+# ASCII white space; bytes, and first two bytes, of other white space and of special strings.
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_ODD = np.zeros(256, bool)
+_ODD[28:32] = True
+_ODD_PAIRS = np.zeros(65536, bool)
+_ODD_PAIRS[[0xC285, 0xC2A0, 0xE19A, 0xE280, 0xE281, 0xE380, (ord("<") << 8) | ord("|")]] = True
 
 
 @dataclass(frozen=True)
@@ -72,26 +73,88 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _whole(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Texts with white space beyond ASCII, which may run together with a chunk's, or with a special string."""
+    pairs = (data[:-1].astype(np.uint16) << 8) | data[1:]
+    odd = np.union1d(np.flatnonzero(_ODD[data]), np.flatnonzero(_ODD_PAIRS[pairs]))
+    return np.unique(np.searchsorted(offsets, odd, "right") - 1)
+
+
 class Encoder:
-    """Ids of texts as little-endian 32-bit integers; the ids of short chunks are remembered."""
+    """Ids of texts by a byte-level tokenizer file whose pattern matches white space with what follows.
+
+    Texts are cut before every run of ASCII white space, where no match of the pattern reaches across. A chunk is
+    known by a 64-bit hash and encoded once; new chunks go to the library joined into long texts, and as a token's
+    bytes are known the ids are cut apart again where the chunks end.
+    """
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = _tokenizer(path), {}
+        self.tokenizer = _tokenizer(path)
+        spelled = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.sizes = np.zeros(max(spelled.values()) + 1, np.int64)
+        for token, number in spelled.items():
+            self.sizes[number] = len(token)  # a character of the file stands for a byte
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hashes, self.first, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def _call(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, hashes: np.ndarray, chunks: list[bytes]) -> None:
+        """Encodes new chunks, and drops all that was known before where it would be too much."""
+        if len(self.hashes) + len(chunks) > REMEMBERED and len(self.hashes):
+            self._forget()
+        joins = np.array([bool(_SPACE[c[0]] and not _SPACE[c[-1]]) for c in chunks], bool)
+        order = np.append(np.flatnonzero(joins), np.flatnonzero(~joins))
+        inside, alone = [chunks[i] for i in np.flatnonzero(joins)], [chunks[i].decode() for i in np.flatnonzero(~joins)]
+        texts = [b"".join(inside[i:i + JOINED]).decode() for i in range(0, len(inside), JOINED)]
+        joined = np.concatenate([np.zeros(0, np.uint32), *(x for i in range(0, len(texts), 64) for x in self._call(texts[i:i + 64]))])
+        ends = np.searchsorted(np.cumsum(self.sizes[joined]), np.cumsum([len(c) for c in inside])) + 1 if inside else []
+        rest = self._call(alone)
+        count = np.diff(np.concatenate([[0], ends, len(joined) + np.cumsum([len(r) for r in rest])]).astype(np.int64))
+        first = len(self.ids) + np.cumsum(count) - count
+        self.ids = np.concatenate([self.ids, joined, *rest])
+        hashes = np.concatenate([self.hashes, hashes[order]])
+        sort = np.argsort(hashes)
+        self.hashes = hashes[sort]
+        self.first, self.count = np.concatenate([self.first, first])[sort], np.concatenate([self.count, count])[sort]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's begin (one more at the end)."""
+        data, offsets = textbytes.buffer_of(texts)
+        space = _SPACE[data]
+        opens = space.copy()
+        opens[1:] &= ~space[:-1]
+        opens[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+        starts = np.flatnonzero(opens)
+        ends = np.append(starts[1:], len(data))[:len(starts)]
+        hashes = textbytes.span_hashes(data, starts, ends)
+        distinct, place, number = np.unique(hashes, return_index=True, return_inverse=True)
+        for _ in range(2):  # once more where what was known has been dropped
+            new = np.flatnonzero(~np.isin(distinct, self.hashes, assume_unique=True))
+            if len(new):
+                self._learn(distinct[new], [data[i:j].tobytes() for i, j in zip(starts[place[new]].tolist(), ends[place[new]].tolist())])
+        at = np.searchsorted(self.hashes, distinct)[number]
+        count = self.count[at]
+        begins = np.append(0, np.cumsum(count))
+        flat = self.ids[np.repeat(self.first[at] - begins[:-1], count) + np.arange(begins[-1])]
+        cuts = begins[np.searchsorted(starts, offsets)]
+        whole = _whole(data, offsets)
+        if len(whole) == 0:
+            return flat, cuts
+        parts = [flat[i:j] for i, j in zip(cuts[:-1], cuts[1:])]
+        for i, ids in zip(whole, self._call([data[offsets[i]:offsets[i + 1]].tobytes().decode() for i in whole])):
+            parts[i] = ids
+        return np.concatenate(parts), np.append(0, np.cumsum([len(x) for x in parts]))
 
-    def _fresh(self, chunks: list[str]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in encoded]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        chunks = [[t] if _WHOLE.search(t) else _CHUNK.findall(t) for t in texts]
-        distinct = set(chain.from_iterable(chunks))
-        if len(self.known) + len(distinct) > REMEMBERED:
-            self.known = {}
-        new = list(distinct.difference(self.known))
-        now = dict(zip(new, self._fresh(new)))
-        self.known.update(c for c in now.items() if len(c[0]) <= LONGEST)
-        now.update((c, self.known[c]) for c in distinct.difference(now))
-        return [b"".join(map(now.__getitem__, c)) for c in chunks]
+@functools.lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One for each Python worker, which keeps what it remembers from task to task."""
+    return Encoder(path)
 
 
 PIECES = ("doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, task bigint, place bigint")
@@ -102,13 +165,13 @@ def _cut(path: str, size: int, with_ids: bool):
     schema = PIECES + (", ids array<int>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen, task = Encoder(path), [0] * (size + 1), TaskContext.get().partitionId()
+        coder, seen, task = encoder(path), [0] * (size + 1), TaskContext.get().partitionId()
         end = np.array([END], "<u4").tobytes()
         for part in textbytes.slices(batches, "text", SLICE):
             out: list[list] = [[] for _ in schema.split(", ")]
-            for doc, ids in zip(part.column("doc_id").to_pylist(),
-                                encoder.encode([t or "" for t in part.column("text").to_pylist()])):
-                ids += end
+            flat, cuts = coder.encode(part.column("text"))
+            for doc, low, high in zip(part.column("doc_id").to_pylist(), cuts[:-1].tolist(), cuts[1:].tolist()):
+                ids = flat[low:high].astype("<u4").tobytes() + end
                 total, start = len(ids) // 4, 0
                 for piece in range(-(-total // size)):
                     stop = total - (-(-total // size) - 1 - piece) * size
