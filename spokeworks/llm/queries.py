@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from spokeworks.llm import (
-    byte_bpe, mixing, packing, personal_data, phrase_dedup, quality, shared, simhash, sketches, suffix_dedup,
-    token_counts, toxicity)
+    byte_bpe, collocations, lexical_search, mixing, packing, personal_data, phrase_dedup, quality, shared, simhash,
+    sketches, suffix_dedup, token_counts, toxicity)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,13 +66,25 @@ def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(shared.table(spark, sf_dir, "documents"), path)
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(shared.table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = (shared.table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    return lexical_search.ranked(docs, items)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_quality_rules, op2_source_mixing, op3_simhash_near_dedup, op4_personal_data, op5_suffix_array_dedup,
-        op6_document_fingerprints, op7_substring_dedup, op8_toxicity, op9_token_counts, op10_byte_bpe, op11_best_fit_packing)}
+        op6_document_fingerprints, op7_substring_dedup, op8_toxicity, op9_token_counts, op10_byte_bpe, op11_best_fit_packing,
+        op12_phrase_collocations, op13_lexical_search)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_source_mixing": mixing.oracle(MIX_ALPHA, MIX_EPOCHS, MIX_SEED),
     "op5_suffix_array_dedup": suffix_dedup.ORACLE,
     "op7_substring_dedup": phrase_dedup.ORACLE,
+    "op12_phrase_collocations": collocations.oracle(),
+    "op13_lexical_search": lexical_search.oracle(),
 }

@@ -15,10 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def written(df: DataFrame, purpose: str) -> DataFrame:
+def written(df: DataFrame, purpose: str, compression: str | None = None) -> DataFrame:
     """The rows as a table in the cluster's shared scratch folder, which cuts their lineage."""
     path = scratch_path(df.sparkSession, f"llm-{purpose}")
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -39,7 +39,7 @@ def batch(schema: str, columns: list) -> pa.RecordBatch:
 
 _ARROW = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(),
           "boolean": pa.bool_(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64()),
-          "array<int>": pa.list_(pa.int32())}
+          "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string())}
 
 
 def arrow_schema(schema: str) -> pa.Schema:
