@@ -94,10 +94,10 @@ def terms_of(rows: DataFrame, key: str, wanted=None) -> DataFrame:
     return shared.arrow_map(numbered, _terms(wanted), TERMS)
 
 
-def stage_sql(share: tuple[int, ...] = SHARES) -> str:
+def stage_sql() -> str:
     """SQL for the stage that owns a term with document frequency ``df`` among ``total`` documents."""
-    cases = " ".join(f"WHEN df * {s} < total THEN {i}" for i, s in enumerate(share))
-    return f"CASE {cases} ELSE {len(share)} END"
+    cases = " ".join(f"WHEN df * {s} < total THEN {i}" for i, s in enumerate(SHARES))
+    return f"CASE {cases} ELSE {len(SHARES)} END"
 
 
 POSTINGS = "row bigint, id bigint, terms array<bigint>, parts array<bigint>"
@@ -192,7 +192,7 @@ def ranked(docs: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
         "row", "id", F.col("e.terms").alias("term"), F.col("e.counts").alias("times"))
     wanted = spark.sparkContext.broadcast(Bitmap(each.select("term").distinct(), "term"))
     index = shared.written(terms_of(docs, "doc_id", wanted), "search-index", "zstd")
-    corpus = index.agg(F.count("*").alias("rows"), F.count_if("n > 0").alias("documents"), F.sum("n").alias("length")).first()
+    corpus = index.agg(F.count("*").alias("rows"), F.count_if(F.col("n") > 0).alias("documents"), F.sum("n").alias("length")).first()
     documents, length = corpus["documents"], corpus["length"] or 1
     weights = (index.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
                .withColumn("total", F.lit(documents))
