@@ -190,16 +190,17 @@ class Trie:
 def _place(base: np.ndarray, checked: np.ndarray, parents: np.ndarray, symbols: np.ndarray, size: int):
     """Gives every parent a base at which its symbols' slots are free; returns the grown arrays and the slots.
 
-    ``parents`` is sorted. Parents with many symbols come first; those with one fill what is left.
+    ``parents`` is sorted. Parents with many symbols come first, and the search goes on where the last one was placed;
+    those with one symbol fill what is left.
     """
     heads = np.flatnonzero(np.append(True, parents[1:] != parents[:-1])) if len(parents) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(heads, len(parents)))
     slots = np.zeros(len(parents), np.int64)
-    low = size + 1
+    low, tried = size + 1, size + 1
     for i in np.argsort(-sizes, kind="stable"):
         if sizes[i] == 1:
             break
-        mine, tried = symbols[heads[i]:heads[i] + sizes[i]], low
+        mine = symbols[heads[i]:heads[i] + sizes[i]]
         while True:
             if tried + 512 + size >= len(checked):
                 grown = np.full(2 * len(checked) + size + 1024, -1, np.int32)
@@ -216,8 +217,6 @@ def _place(base: np.ndarray, checked: np.ndarray, parents: np.ndarray, symbols:
         found = int(some[fit.argmax()]) - int(mine[0])
         slots[heads[i]:heads[i] + sizes[i]] = found + mine
         checked[found + mine] = parents[heads[i]]
-        while checked[low] >= 0:
-            low += 1
     single = heads[sizes == 1]
     free = np.flatnonzero(checked[low:] < 0) + low
     if len(free) < len(single):
