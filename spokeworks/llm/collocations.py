@@ -33,7 +33,7 @@ from spokeworks.llm.bitmaps import Bitmap
 #: Bytes of text with one dictionary.
 SLICE = 4 << 20
 #: Phrases of a trie, and tries that are broadcast together.
-SHARD, ROUND = 200_000, 4
+SHARD, ROUND = 200_000, 2
 #: Parts that a language's phrases are ranked in before the last ranking.
 PARTS = 64
 
@@ -109,12 +109,17 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield shared.batch(WORDS, [*(part.column(c) for c in ("lang", "word", "f")), pa.array(hashes.view(np.int64))])
 
 
-#: The key of a pair in a bitmap, in SQL and in numpy.
-PAIR_KEY = "h1 ^ shiftrightunsigned(h2, 7)"
+#: The place of a pair in a bitmap, in SQL and in numpy.
+PAIR_KEY = "pair ^ shiftrightunsigned(pair, 35)"
 
 
-def _pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return first ^ (second >> np.uint64(7))
+def _pair_places(pairs: np.ndarray) -> np.ndarray:
+    return pairs ^ (pairs >> np.uint64(35))
+
+
+def _halves(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """A pair of words by the upper halves of their hashes: half the bytes, and few pairs that share one."""
+    return (first & np.uint64(0xFFFFFFFF00000000)) | (second >> np.uint64(32))
 
 
 def _read(part: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -123,7 +128,7 @@ def _read(part: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield np.frombuffer(numbers.as_buffer(), np.int32), np.frombuffer(hashes.as_buffer(), np.uint64)
 
 
-PAIRS, TRIPLES = "h1 bigint, h2 bigint, seen int", "h1 bigint, h2 bigint, h3 bigint, seen int"
+PAIRS, TRIPLES = "pair bigint, seen int", "pair bigint, third bigint, seen int"
 
 
 def _pairs_at(numbers: np.ndarray, hashes: np.ndarray, words: Bitmap) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,25 +148,32 @@ def _candidates(words, pairs, floor: int):
                 size = len(hashes)
                 if pairs is None:
                     key, count = np.unique(first * size + second, return_counts=True)
-                    columns = [hashes[key // size], hashes[key % size]]
+                    columns = [_halves(hashes[key // size], hashes[key % size])]
                 else:
-                    some = np.flatnonzero(pairs.value.holds(_pair_keys(hashes[first], hashes[second])))
+                    some = np.flatnonzero(pairs.value.holds(_pair_places(_halves(hashes[first], hashes[second]))))
                     at, key, pair = at[some], *np.unique(first[some] * size + second[some], return_inverse=True)
                     next_ = np.flatnonzero(at[1:] == at[:-1] + 1)
                     last = numbers[at[next_] + 2].astype(np.int64)
                     triple, count = np.unique(pair[next_] * size + last, return_counts=True)
                     key = key[triple // size] if len(triple) else triple
-                    columns = [hashes[key // size], hashes[key % size], hashes[triple % size]]
+                    columns = [_halves(hashes[key // size], hashes[key % size]), hashes[triple % size] >> np.uint64(32)]
                 columns = [pa.array(c.view(np.int64)) for c in columns]
                 yield shared.batch(TRIPLES if pairs else PAIRS, [*columns, pa.array(np.minimum(count, floor))])
 
     return run
 
 
-def _seen(rows: DataFrame, keys: list[str], floor: int, purpose: str) -> DataFrame:
+def _seen(rows: DataFrame, keys: list[str], floor: int) -> DataFrame:
     """The phrases that can reach the floor; what is summed stops counting at it."""
-    return shared.written(rows.groupBy(*keys).agg(F.sum("seen").alias("seen")).filter(F.col("seen") >= floor)
-                          .select(*keys), purpose)
+    return rows.groupBy(*keys).agg(F.sum("seen").alias("seen")).filter(F.col("seen") >= floor).select(*keys)
+
+
+def _named(halves: DataFrame, words: DataFrame, names: list[str]) -> DataFrame:
+    """Halves k1, k2.. become hashes h1, h2..; where words share a half, every one of them is a candidate."""
+    for i, name in enumerate(names, 1):
+        word = words.select(F.shiftrightunsigned("h", 32).alias(f"k{i}"), F.col("h").alias(name))
+        halves = halves.join(word, f"k{i}").drop(f"k{i}")
+    return halves
 
 
 TRIE = "alphabet binary, base binary, checked binary, nodes binary, phrases binary"
@@ -275,36 +287,44 @@ def advance(trie: Trie, numbers: np.ndarray, hashes: np.ndarray) -> Iterator[np.
         yield states
 
 
-COUNTED = "h1 bigint, h2 bigint, h3 bigint, n bigint"
+COUNTED, SPELLED = "phrase bigint, n bigint", "phrase bigint, h1 bigint, h2 bigint, h3 bigint"
 
 
 def _count(tries):
     """The Arrow function that runs all slices of a task through the broadcast tries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = tries.value
+        numbers_of, mine = tries.value
         counts = [np.zeros(len(t.checked), np.int64) for t in mine]
         for part in batches:
             for numbers, hashes in _read(part):
                 for trie, count in zip(mine, counts):
                     for states in advance(trie, numbers, hashes):
                         count += np.bincount(states, minlength=len(count))
-        for trie, count in zip(mine, counts):
+        for number, trie, count in zip(numbers_of, mine, counts):
             found = np.flatnonzero(count[trie.nodes])
-            phrases = trie.phrases[found]
-            h1, h2, h3 = (np.append(np.uint64(0), trie.alphabet)[phrases[:, i]].view(np.int64) for i in range(3))
-            third = pa.array(h3, mask=phrases[:, 2] == 0)
-            yield shared.batch(COUNTED, [pa.array(h1), pa.array(h2), third, pa.array(count[trie.nodes[found]])])
+            yield shared.batch(COUNTED, [pa.array((number << 32) + found), pa.array(count[trie.nodes[found]])])
 
     return run
 
 
+def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The phrases of tries: a phrase is known by its trie and its place there."""
+    for part in batches:
+        for row in part.to_pylist():
+            phrases = np.frombuffer(row["phrases"], np.int32).reshape(-1, 3)
+            alphabet = np.append(np.uint64(0), np.frombuffer(row["alphabet"], np.uint64)).view(np.int64)
+            columns = [alphabet[phrases[:, i]] for i in range(3)]
+            yield shared.batch(SPELLED, [pa.array((row["shard"] << 32) + np.arange(len(phrases))), *map(pa.array, columns[:2]),
+                                         pa.array(columns[2], mask=phrases[:, 2] == 0)])
+
+
 def counted(slices: DataFrame, candidates: DataFrame, shard: int = SHARD) -> DataFrame:
-    """(h1, h2, h3, a): how often each candidate occurs, ``h3`` null in pairs."""
+    """(h1, h2, h3, a): how often each candidate that occurs does so, ``h3`` null in pairs."""
     spark = slices.sparkSession
     shards = -(-candidates.count() // shard)
     if shards == 0:
-        return spark.createDataFrame([], COUNTED.replace("n bigint", "a bigint"))
+        return spark.createDataFrame([], "h1 bigint, h2 bigint, h3 bigint, a bigint")
     shared.ship_package(spark)
     dealt = candidates.withColumn("shard", F.expr(f"pmod(xxhash64(h1, h2, h3), {shards})"))
     tries = shared.written(dealt.groupBy("shard").applyInArrow(
@@ -313,12 +333,13 @@ def counted(slices: DataFrame, candidates: DataFrame, shard: int = SHARD) -> Dat
     total = None
     for first in range(0, shards, ROUND):
         rows = tries.filter(F.col("shard").between(first, first + ROUND - 1)).collect()
-        sent = spark.sparkContext.broadcast([Trie.read(r) for r in rows])
+        sent = spark.sparkContext.broadcast(([r["shard"] for r in rows], [Trie.read(r) for r in rows]))
         part = shared.arrow_map(slices.select("numbers", "hashes"), _count(sent), COUNTED)
-        done = shared.written(part.groupBy("h1", "h2", "h3").agg(F.sum("n").alias("a")), "phrase-counts")
+        done = shared.written(part.groupBy("phrase").agg(F.sum("n").alias("a")), "phrase-counts")
         sent.destroy()
         total = done if total is None else total.unionByName(done)
-    return total
+    spelled = shared.arrow_map(tries.select("shard", "alphabet", "phrases"), _spell, SPELLED)
+    return spelled.join(total, "phrase").drop("phrase")
 
 
 def phrases(docs: DataFrame, floor: int = 10, shard: int = SHARD) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -328,11 +349,13 @@ def phrases(docs: DataFrame, floor: int = 10, shard: int = SHARD) -> tuple[DataF
     every = vocabulary(slices)
     words = shared.written(shared.arrow_map(every.filter(F.col("f") >= floor), _hashed, WORDS), "phrase-frequent")
     texts, frequent = slices.select("numbers", "hashes"), spark.sparkContext.broadcast(Bitmap(words, "h"))
-    two = _seen(shared.arrow_map(texts, _candidates(frequent, None, floor), PAIRS), ["h1", "h2"], floor, "phrase-pairs")
+    two = shared.written(_seen(shared.arrow_map(texts, _candidates(frequent, None, floor), PAIRS), ["pair"], floor), "phrase-pairs")
     pairs = spark.sparkContext.broadcast(Bitmap(two, PAIR_KEY))
-    three = _seen(shared.arrow_map(texts, _candidates(frequent, pairs, floor), TRIPLES), ["h1", "h2", "h3"], floor, "phrase-triples")
-    candidates = two.withColumn("h3", F.lit(None).cast("bigint")).unionByName(three)
-    found = counted(slices, candidates, shard).filter(F.col("a") >= floor)
+    three = _seen(shared.arrow_map(texts, _candidates(frequent, pairs, floor), TRIPLES), ["pair", "third"], floor)
+    split = [F.shiftrightunsigned("pair", 32).alias("k1"), F.col("pair").bitwiseAND(0xFFFFFFFF).alias("k2")]
+    candidates = shared.written(_named(two.select(*split), words, ["h1", "h2"]).withColumn("h3", F.lit(None).cast("bigint")).unionByName(
+        _named(three.select(*split, F.col("third").alias("k3")), words, ["h1", "h2", "h3"])), "phrase-candidates")
+    found = shared.written(counted(slices, candidates, shard).filter(F.col("a") >= floor), "phrase-found")
     return words, found, every.groupBy("lang").agg(F.sum("f").alias("n"))
 
 
