@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from spokeworks.checks.catalog import query, shipped
 from spokeworks.operators import increments, quality
-from spokeworks.plans import explore
+from spokeworks.plans import explore, movement
 
 _MINUTES = "CAST(sum({us}) AS DOUBLE) / CAST(1000000 AS DOUBLE) / nullif(count({us}), 0) / 60"
 _AVERAGE = _MINUTES.format(us="us")
@@ -40,6 +40,29 @@ def _(s):
     return explore.phase_metrics(s.both_rides(), PHASES)
 
 
+_LISTED = "SELECT 'p' || i AS phase, DATE '2019-01-01' + 5 * i AS low, DATE '2019-01-01' + 5 * i + 9 + i * 37 % 400 AS high FROM"
+
+
+@query("e2_phase_effect", f"""
+  SELECT * FROM (WITH d AS (SELECT location, CAST(start_time AS DATE) AS day, count(*) AS rides FROM all_rides GROUP BY 1, 2),
+  p AS ({_LISTED} (SELECT CAST(i AS INTEGER) AS i FROM range(300) r(i))),
+  own AS (SELECT location, phase, CAST(sum(rides) AS BIGINT) AS rides, count(*) AS days FROM d JOIN p ON day BETWEEN low AND high GROUP BY 1, 2),
+  moved AS (
+    SELECT DISTINCT location, phase, day, rides FROM d JOIN p ON true JOIN range(-40, 41) k(k) ON k <> 0
+      AND day BETWEEN CAST(low + to_months(CAST(12 * k AS INTEGER)) AS DATE) AND CAST(high + to_months(CAST(12 * k AS INTEGER)) AS DATE)
+    WHERE day NOT BETWEEN low AND high AND k BETWEEN -10 AND 10),
+  usual AS (SELECT location, phase, CAST(sum(rides) AS BIGINT) AS usual_rides, count(*) AS usual_days FROM moved GROUP BY 1, 2)
+  SELECT location, phase, rides, days, usual_rides, usual_days,
+    CAST(rides AS DOUBLE) / days / (CAST(usual_rides AS DOUBLE) / usual_days) * 100 - 100 AS effect_percent
+  FROM own LEFT JOIN usual USING (location, phase))""")
+def _(s):
+    """300 phases that overlap each other."""
+    phases = s.spark.range(300).selectExpr(
+        "concat('p', id) AS phase", "date_add(DATE'2019-01-01', cast(5 * id AS int)) AS first_day",
+        "date_add(DATE'2019-01-01', cast(5 * id + 9 + id * 37 % 400 AS int)) AS last_day")
+    return shipped(explore.phase_effect(s.both_rides(), phases))
+
+
 @query("e5_date_fields", """
   SELECT location, ride_id, CAST(start_time AS DATE) AS ride_date, CAST(year(start_time) AS BIGINT) AS year,
     CAST(month(start_time) AS BIGINT) AS month, CAST(hour(start_time) AS BIGINT) AS hour,
@@ -97,6 +120,49 @@ def _(s):
     return explore.bike_use(s.both_rides())
 
 
+_CHAINED = """(
+  WITH r AS (SELECT * FROM all_rides WHERE bike_id IS NOT NULL),
+  b AS (SELECT location, bike_id, start_time, start_station_id, lag(stop_time) OVER w AS old_stop, lag(end_station_id) OVER w AS old_end,
+      row_number() OVER w AS place FROM r
+    WINDOW w AS (PARTITION BY location, bike_id ORDER BY start_time NULLS FIRST, stop_time NULLS FIRST, ride_id NULLS FIRST,
+      start_station_id NULLS FIRST, end_station_id NULLS FIRST, source_file NULLS FIRST)),
+  m AS (SELECT *, epoch_us(start_time) - epoch_us(old_stop) AS idle, coalesce(start_station_id <> old_end, false) AS moved,
+      sum(if(coalesce(start_station_id = old_end, false), 0, 1)) OVER (PARTITION BY location, bike_id ORDER BY place) AS chain FROM b),
+  g AS (SELECT location, bike_id, chain, count(*) AS length, count_if(moved) AS moves, sum(idle) AS idle, max(idle) AS longest FROM m GROUP BY 1, 2, 3)
+  SELECT location, bike_id, CAST(sum(length) AS BIGINT) AS rides, CAST(sum(idle) AS DOUBLE) / CAST(1000000 AS DOUBLE) AS idle_seconds,
+    CAST(max(longest) AS DOUBLE) / CAST(1000000 AS DOUBLE) AS longest_idle, CAST(sum(moves) AS BIGINT) AS moves,
+    count(*) AS chains, max(length) AS longest_chain FROM g GROUP BY 1, 2)"""
+
+
+@query("e8_bike_chains", f"SELECT * FROM {_CHAINED}")
+def _(s):
+    return shipped(movement.bike_chains(s.both_rides()))
+
+
+@query("e7_station_balance", f"""
+  SELECT * FROM (WITH i AS (SELECT location, station_id, used, sum(1 - 2 * departed) AS change, count(*) AS events FROM {_USED} GROUP BY 1, 2, 3),
+  b AS (SELECT *, sum(change) OVER (PARTITION BY location, station_id ORDER BY used) AS balance FROM i)
+  SELECT location, station_id, CAST(used AS DATE) AS day, CAST(hour(used) AS BIGINT) AS hour, CAST(sum(events) AS BIGINT) AS events,
+    CAST(min(balance) AS BIGINT) AS lowest, CAST(arg_max(balance, used) AS BIGINT) AS closing FROM b GROUP BY 1, 2, 3, 4)""")
+def _(s):
+    return shipped(movement.station_balance(s.both_rides()))
+
+
+_SEASONAL = "station_name || CASE WHEN month(used) BETWEEN 6 AND 8 THEN ' Summer' WHEN year(used) = 2022 THEN ' Yard' ELSE '' END"
+
+
+@query("e12_station_history", f"""
+  SELECT * FROM (WITH t AS (SELECT location, station_id, used, {_SEASONAL} AS station_name, count(*) AS uses FROM {_USED} GROUP BY 1, 2, 3, 4),
+  b AS (SELECT *, lag(station_name) OVER (PARTITION BY location, station_id ORDER BY used, station_name) AS old FROM t WHERE station_name IS NOT NULL),
+  e AS (SELECT *, sum(if(station_name = old, 0, 1)) OVER (PARTITION BY location, station_id ORDER BY used, station_name) AS spell FROM b)
+  SELECT location, station_id, CAST(spell AS BIGINT) AS spell, station_name, min(used) AS first_seen, max(used) AS last_seen,
+    CAST(sum(uses) AS BIGINT) AS uses FROM e GROUP BY 1, 2, 3, 4)""")
+def _(s):
+    """Stations of the sample bear another name each summer and in 2022, and return to their own."""
+    seasonal = F.expr("concat(station_name, CASE WHEN month(at) BETWEEN 6 AND 8 THEN ' Summer' WHEN year(at) = 2022 THEN ' Yard' ELSE '' END)")
+    return movement.station_history(explore.station_events(s.both_rides()).withColumn("station_name", seasonal))
+
+
 @query("e9_weekday_segments", f"""
   SELECT location, CAST(isodow(start_time) AS BIGINT) AS weekday,
     CASE WHEN hour(start_time) < 6 THEN 'night' WHEN hour(start_time) < 10 THEN 'morning' WHEN hour(start_time) < 16 THEN 'midday'

@@ -1,18 +1,22 @@
 """Incremental loads: each source file once, appended or replacing by key.
 
-Targets are partitioned by the columns that identify a file. Asking which files
-a target holds therefore reads Parquet footers only, and a new file is published
-by writing its partition, which can be repeated safely.
+Targets are partitioned by the columns that identify a file, and a new file is
+published by writing its partition, which can be repeated safely. A ledger beside
+the target knows which files it holds, so no partition is listed to ask for that.
 """
 
 from __future__ import annotations
 
+import itertools
+import uuid
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from spokeworks.operators import key_index
+from spokeworks.operators.levels import MARK, LeveledTable
 from spokeworks.session import scratch_path
 from spokeworks.sources.tables import ParquetTable, delete, exists
 
@@ -40,22 +44,69 @@ def unseen_rows(batch: DataFrame, target: DataFrame, place: Sequence[str] = FILE
     return batch.join(new, list(place), "left_semi").select(*batch.columns)
 
 
-def append_unseen(spark: SparkSession, batch: DataFrame, target: ParquetTable,
-                  made: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> None:
-    """Append what is ``made`` of the rows of new files; rows that repeat a ride of another file are kept."""
-    place, names = list(target.partition_by), scratch_path(spark, "new-files")
-    unseen_files(batch, target.read(spark), place).write.parquet(names)
-    new = spark.read.parquet(names).filter(F.length(place[0]) >= 0)
-    target.replace_partitions(made(batch.join(new, place, "left_semi").select(*batch.columns)))
-    delete(spark, names)
+def rows_of_files(rows: DataFrame, files: DataFrame, place: Sequence[str]) -> DataFrame:
+    """The rows of the given files; a table partitioned by file is pruned to them while it runs."""
+    chosen = files.select(*place).filter(F.length(place[0]) >= 0)
+    return rows.join(chosen, list(place), "left_semi").select(*rows.columns)
+
+
+# -- the ledger of a target -----------------------------------------------------
 
+def ledger_of(spark: SparkSession, target: ParquetTable) -> LeveledTable:
+    """What the target holds: for each file the version it was taken in, and the change that published it.
+
+    A file's mark is renewed whenever its partition changes, so tables that are made from the target know what to
+    make again. A target that has none yet gets one from the files it holds.
+    """
+    ledger = LeveledTable(f"{target.path.rstrip('/')}__ledger", "version string, born string", tuple(target.partition_by))
+    if not ledger.segments(spark) and exists(spark, target.path):
+        held = files_of(target.read(spark), ledger.place).dropna()
+        if not held.isEmpty():
+            _enter(spark, ledger, held.withColumns({"version": F.lit(None).cast("string"), "born": F.lit("found")}))
+    return ledger
+
+
+def _enter(spark: SparkSession, ledger: LeveledTable, files: DataFrame) -> None:
+    """Files (place, version, born) with a new mark each."""
+    marks = files.select(*ledger.place, F.lit(uuid.uuid4().hex).alias(MARK))
+    ledger.put(spark, files.select("version", "born", *ledger.place), marks)
+
+
+def _to_take(spark: SparkSession, ledger: LeveledTable, batch: DataFrame, versions: DataFrame | None) -> DataFrame:
+    """(place, version) of the batch's files that the target does not hold, or holds in another version."""
+    place, known = list(ledger.place), ledger.read(spark)
+    if versions is None:
+        wanted = unseen_files(batch, known, place).withColumn("version", F.lit(None).cast("string"))
+    else:
+        wanted = versions.select(*place, "version").join(known, [*place, "version"], "left_anti")
+    names = scratch_path(spark, "new-files")
+    wanted.write.parquet(names)
+    return spark.read.parquet(names)
 
-def keep_in_step(spark: SparkSession, rides: DataFrame, table: ParquetTable,
-                 made: Callable[[DataFrame], DataFrame]) -> None:
-    """A table kept per file: files that are gone go, new ones are made from their rows alone."""
-    gone = unseen_files(table.read(spark), rides, table.partition_by)
-    delete_partitions(spark, table, gone.toLocalIterator())
-    append_unseen(spark, rides, table, made)
+
+def _clear_empty(spark: SparkSession, target: ParquetTable, ledger: LeveledTable, taken: DataFrame, rows: DataFrame) -> None:
+    """Drops what a taken file had before, where its new version has no rows that would replace it."""
+    again = taken.join(ledger.marks(spark), list(ledger.place), "left_semi")
+    if not again.isEmpty():
+        gone = again.select(*ledger.place).join(files_of(rows, ledger.place), list(ledger.place), "left_anti")
+        delete_partitions(spark, target, gone.toLocalIterator())
+
+
+def append_unseen(spark: SparkSession, batch: DataFrame, target: ParquetTable,
+                  made: Callable[[DataFrame], DataFrame] = lambda rows: rows, versions: DataFrame | None = None) -> None:
+    """Append what is ``made`` of the rows of new files; rows that repeat a ride of another file are kept.
+
+    With ``versions`` (place, version) of the batch's files, a file whose version changed counts as new, and its rows
+    take the place of those it had.
+    """
+    ledger = ledger_of(spark, target)
+    new = _to_take(spark, ledger, batch, versions)
+    if new.isEmpty():
+        return
+    rows = made(rows_of_files(batch, new, ledger.place))
+    target.replace_partitions(rows)
+    _clear_empty(spark, target, ledger, new, rows)
+    _enter(spark, ledger, new.withColumn("born", F.lit(uuid.uuid4().hex)))
 
 
 def duplicate_keys(batch: DataFrame, keys: list[str]) -> DataFrame:
@@ -85,65 +136,85 @@ class DuplicateKeys(ValueError):
 
 
 def replace_by_key(spark: SparkSession, batch: DataFrame, target: ParquetTable,
-                   keys: list[str], on_duplicates: str = "error", derived: Sequence[ParquetTable] = ()) -> None:
+                   keys: list[str], on_duplicates: str = "error", versions: DataFrame | None = None) -> None:
     """Publish the new files of ``batch``, replacing target rows with the same key.
 
     The batch is read by key column until it is written, once, into partitions
-    of its own. Of the target only partitions that lose a row are rewritten:
-    what remains of them is staged first, then a marker is set, then all is put
-    in place. Every step after the marker can be repeated, and the next run
-    completes one that died there. Of ``derived`` tables, kept per file, the
-    partitions of files that lose a row are dropped, to be made again.
+    of its own. An index tells which files may hold one of its keys; only their
+    keys are read, and of these only files that lose a row are rewritten: what
+    remains of them is staged first, then a marker is set, then all is put in
+    place. Every step after the marker can be repeated, and the next run
+    completes one that died there. ``versions`` are as for ``append_unseen``.
     """
     if on_duplicates not in ("error", "keep"):
         raise ValueError("on_duplicates is 'error' or 'keep'")
-    pending = f"{target.path.rstrip('/')}__pending"
+    pending, place = f"{target.path.rstrip('/')}__pending", list(target.partition_by)
     staged = ParquetTable(f"{pending}/survivors", target.schema, target.partition_by)
-    _finish_pending(spark, target, staged, pending, derived)
+    ledger = ledger_of(spark, target)
+    _finish_pending(spark, target, staged, pending, ledger)
 
-    current = target.read(spark)
-    names = scratch_path(spark, "new-files")
-    unseen_files(batch, current, target.partition_by).write.parquet(names)
-    new = spark.read.parquet(names).filter(F.length(target.partition_by[0]) >= 0)
-    rows = batch.join(new, list(target.partition_by), "left_semi").select(*batch.columns)
+    new = _to_take(spark, ledger, batch, versions)
+    if new.isEmpty():
+        return
+    rows = rows_of_files(batch, new, place)
     if on_duplicates == "error":
         repeated = duplicate_keys(rows, keys).limit(5).collect()
         if repeated:
             raise DuplicateKeys(f"{target.path}: {[tuple(r)[:-1] for r in repeated]}")
-    if not current.isEmpty():
-        _stage_survivors(spark, current, rows.select(*keys).dropna().distinct(), staged, pending, keys)
+    held = ledger.read(spark).join(new, place, "left_anti")
+    if not held.isEmpty():
+        path = scratch_path(spark, "incoming-keys")
+        rows.select(*keys).dropna().distinct().write.parquet(path)
+        incoming, current = spark.read.parquet(path), target.read(spark)
+        near = files_near(spark, target, ledger, incoming, keys).join(new, place, "left_anti")
+        _stage_survivors(spark, rows_of_files(current, near, place), incoming, staged, pending, keys)
+        delete(spark, path)
     target.replace_partitions(rows)
-    _finish_pending(spark, target, staged, pending, derived)
-    delete(spark, names)
+    _finish_pending(spark, target, staged, pending, ledger)
+    _clear_empty(spark, target, ledger, new, rows)
+    _enter(spark, ledger, new.withColumn("born", F.lit(uuid.uuid4().hex)))
 
 
-def _stage_survivors(spark: SparkSession, current: DataFrame, incoming: DataFrame,
+def files_near(spark: SparkSession, target: ParquetTable, ledger: LeveledTable, incoming: DataFrame, keys: list[str]) -> DataFrame:
+    """Files of the target that may hold an incoming key, as a scratch table.
+
+    Files published since the last increment are indexed first. One that has lost rows keeps its entry: it may name
+    a file too many, and never leaves one out.
+    """
+    index = key_index.index_table(f"{target.path.rstrip('/')}__{'_'.join(keys)}", target.partition_by)
+    born = ledger.read(spark).withColumnRenamed("born", MARK)
+    index.keep_in_step(spark, born, lambda stale: key_index.summaries(
+        rows_of_files(target.read(spark), stale, index.place), keys, index.place))
+    path = scratch_path(spark, "near-files")
+    key_index.candidates(spark, index, incoming, keys).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _stage_survivors(spark: SparkSession, near: DataFrame, incoming: DataFrame,
                      staged: ParquetTable, pending: str, keys: list[str]) -> None:
-    """Write what stays of the partitions that lose rows, and which ones those are."""
+    """Write what stays of the files that lose rows, and which ones those are."""
     place = list(staged.partition_by)
-    lost = (current.select(*keys, *place).join(incoming, keys, "left_semi")
+    lost = (near.select(*keys, *place).join(incoming, keys, "left_semi")
             .groupBy(*place).agg(F.count("*").alias("lost")))
     losing = f"{pending}/losing"
-    (lost.join(current.groupBy(*place).agg(F.count("*").alias("held")), place)
+    (lost.join(near.groupBy(*place).agg(F.count("*").alias("held")), place)
      .write.mode("overwrite").parquet(losing))
     touched = spark.read.parquet(losing).filter("lost < held").select(*place)
-    remaining = without_keys(current.join(touched, place, "left_semi").select(*current.columns), incoming, keys)
+    remaining = without_keys(near.join(touched, place, "left_semi").select(*near.columns), incoming, keys)
     # Dealt by file before the write: else every task of the join would write into every file.
     staged.rebuild(remaining.hint("rebalance", *place))
     spark.range(1).write.mode("overwrite").parquet(f"{pending}/complete")
 
 
-def _finish_pending(spark: SparkSession, target: ParquetTable, staged: ParquetTable, pending: str,
-                    derived: Sequence[ParquetTable]) -> None:
-    """Put staged survivors in place and drop the partitions left without a row."""
+def _finish_pending(spark: SparkSession, target: ParquetTable, staged: ParquetTable, pending: str, ledger: LeveledTable) -> None:
+    """Put staged survivors in place, drop the partitions left without a row, and mark both as changed."""
     if not exists(spark, f"{pending}/complete/_SUCCESS"):
         return
-    for table in derived:
-        losing = spark.read.parquet(f"{pending}/losing").select(*target.partition_by)
-        delete_partitions(spark, table, losing.toLocalIterator())
+    losing = spark.read.parquet(f"{pending}/losing")
     target.replace_partitions(staged.read(spark))
-    emptied = spark.read.parquet(f"{pending}/losing").filter("lost = held")
-    delete_partitions(spark, target, emptied.select(*target.partition_by).toLocalIterator())
+    delete_partitions(spark, target, losing.filter("lost = held").select(*target.partition_by).toLocalIterator())
+    if not losing.isEmpty():
+        _enter(spark, ledger, ledger.read(spark).join(losing.select(*target.partition_by), list(target.partition_by), "left_semi"))
     delete(spark, f"{pending}/complete")
     delete(spark, pending)
 
@@ -154,11 +225,11 @@ def _escaped(spark: SparkSession, value) -> str:
     return catalog.ExternalCatalogUtils.escapePathName(str(value))
 
 
-
 def delete_partitions(spark: SparkSession, table: ParquetTable, values) -> None:
     """Drop the partitions with these values, several at a time."""
     folders = (f"{table.path.rstrip('/')}/" + "/".join(
         f"{c}={_escaped(spark, row[c])}" for c in table.partition_by) for row in values)
     with ThreadPoolExecutor(16) as jobs:
-        for _ in jobs.map(lambda folder: delete(spark, folder), folders):
-            pass
+        for some in itertools.batched(folders, 2_000):  # ``map`` takes in all it is given
+            for _ in jobs.map(lambda folder: delete(spark, folder), some):
+                pass

@@ -9,9 +9,13 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from spokeworks.functions import columns as c
+from spokeworks.operators.intervals import days_within
+
+#: Dated phases: (phase, first_day, last_day), both days included.
+Phases = DataFrame | Sequence[tuple[str, dt.date, dt.date]]
 
 #: Kilometres, for distances on the sphere.
 EARTH_RADIUS = 6371.0
@@ -127,16 +131,48 @@ def seasonal_index(rides: DataFrame) -> DataFrame:
                            (F.col("rides").cast("double") / F.col("years") / average).alias("seasonal_index"))
 
 
-def phase_metrics(rides: DataFrame, phases: Sequence[tuple[str, dt.date, dt.date]]) -> DataFrame:
+def _day_counts(rides: DataFrame) -> DataFrame:
+    return (rides.groupBy("location", F.col("start_time").cast("date").alias("day"))
+            .agg(F.count("*").alias("rides"), F.count("duration_seconds").alias("timed"),
+                 c.total_seconds("duration_seconds").alias("seconds")))
+
+
+def _listed(spark: SparkSession, phases: Phases) -> DataFrame:
+    if isinstance(phases, DataFrame):
+        return phases.select("phase", "first_day", "last_day")
+    return spark.createDataFrame(list(phases), "phase string, first_day date, last_day date")
+
+
+def phase_metrics(rides: DataFrame, phases: Phases) -> DataFrame:
     """Rides, days and average minutes per city within dated phases, which may overlap.
 
-    Rides become days first; the phases are a given list, so they are joined to some thousand rows.
+    Rides become days first; days meet phases by bins, so neither side needs to be small.
     """
-    days = (rides.groupBy("location", F.col("start_time").cast("date").alias("day"))
-            .agg(F.count("*").alias("rides"), F.count("duration_seconds").alias("timed"),
-                 c.total_seconds("duration_seconds").alias("seconds")))
-    listed = days.sparkSession.createDataFrame(list(phases), "phase string, first_day date, last_day date")
-    return (days.join(F.broadcast(listed), F.col("day").between(F.col("first_day"), F.col("last_day")))
+    return (days_within(_day_counts(rides), _listed(rides.sparkSession, phases))
             .groupBy("location", "phase")
             .agg(F.sum("rides").alias("rides"), F.count("*").alias("days"),
                  (F.sum("seconds").cast("double") / F.nullif(F.sum("timed"), F.lit(0)) / 60).alias("avg_minutes")))
+
+
+def phase_effect(rides: DataFrame, phases: Phases) -> DataFrame:
+    """What a phase changed: its rides a day against those of the same calendar days of other years.
+
+    A phase is moved by whole years over all the years there are; days of the phase itself never count as usual
+    ones, and a day that two moves reach counts once. ``effect_percent`` is NULL where other years have no such day.
+    """
+    days = _day_counts(rides).select("location", "day", "rides")
+    span = days.agg(F.year(F.min("day")).alias("first"), F.year(F.max("day")).alias("last")).first()
+    listed = _listed(rides.sparkSession, phases)
+    shifts = F.sequence(F.lit(span["first"]) - F.year("last_day"), F.lit(span["last"]) - F.year("first_day"))
+    moved = (listed.filter("first_day <= last_day").withColumn("shift", F.explode(shifts)).filter("shift <> 0")
+             .select("phase", F.col("first_day").alias("own_first"), F.col("last_day").alias("own_last"),
+                     F.expr("add_months(first_day, 12 * shift)").alias("first_day"),
+                     F.expr("add_months(last_day, 12 * shift)").alias("last_day")))
+    usual = (days_within(days, moved).filter("day NOT BETWEEN own_first AND own_last")
+             .select("location", "phase", "day", "rides").distinct()
+             .groupBy("location", "phase").agg(F.sum("rides").alias("usual_rides"), F.count("*").alias("usual_days")))
+    own = (days_within(days, listed).groupBy("location", "phase")
+           .agg(F.sum("rides").alias("rides"), F.count("*").alias("days")))
+    rate = lambda n, of: F.col(n).cast("double") / F.col(of)
+    return own.join(usual, ["location", "phase"], "left").withColumn(
+        "effect_percent", rate("rides", "days") / rate("usual_rides", "usual_days") * 100 - 100)

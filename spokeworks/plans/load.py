@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -41,16 +41,26 @@ def route(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def entries(spark: SparkSession, warehouse: Warehouse) -> DataFrame:
-    """The latest ledger entry of every object: (source_file, landed_id, bytes, rows, rejected)."""
-    facts = F.struct("at", F.isnotnull("rows").alias("done"), "bytes", "rows", "rejected")
-    return (warehouse.ledger().read(spark).groupBy(*FILE).agg(F.max(facts).alias("last"))
-            .select(*FILE, "last.bytes", "last.rows", "last.rejected"))
+def entries(spark: SparkSession, warehouse: Warehouse, sources: Sequence[str] | None = None) -> DataFrame:
+    """The latest ledger entry of every object: (source_file, landed_id, bytes, rows, rejected, version)."""
+    ledger = warehouse.ledger().read(spark)
+    facts = F.struct("at", F.isnotnull("rows").alias("done"), "bytes", "rows", "rejected", "version")
+    return ((ledger if sources is None else ledger.filter(F.col("source").isin(*sources)))
+            .groupBy(*FILE).agg(F.max(facts).alias("last"))
+            .select(*FILE, "last.bytes", "last.rows", "last.rejected", F.coalesce("last.version", F.lit("")).alias("version")))
+
+
+def loaded_versions(spark: SparkSession, warehouse: Warehouse, sources: Sequence[str]) -> DataFrame | None:
+    """(source_file, landed_id, version) of what the raw tables hold; None where they were not filled by a load."""
+    done = entries(spark, warehouse, sources).filter("rows IS NOT NULL").select(*FILE, "version")
+    return None if done.isEmpty() else done
 
 
 def not_loaded(spark: SparkSession, warehouse: Warehouse, routed: DataFrame) -> DataFrame:
-    """Drops objects whose load the ledger knows as done, with rows or without."""
-    return routed.join(entries(spark, warehouse).filter("rows IS NOT NULL"), list(FILE), "left_anti")
+    """Drops objects whose load the ledger knows as done, with rows or without, in the version that lies there now."""
+    done = entries(spark, warehouse).filter("rows IS NOT NULL").select(*FILE, F.nullif("version", F.lit("")).alias("loaded"))
+    same = [routed[c] == done[c] for c in FILE]
+    return routed.join(done, [*same, F.coalesce(done["loaded"] == routed["version"], F.lit(True))], "left_anti")
 
 
 @dataclass(frozen=True)
@@ -67,8 +77,8 @@ class Batch:
         return {header: of for header, of in chosen.items() if of}
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        """(path, source_file, landed_id, bytes) of the files."""
-        return spark.createDataFrame(self.objects, "path string, source_file string, landed_id string, bytes bigint")
+        """(path, source_file, landed_id, bytes, version) of the files."""
+        return spark.createDataFrame(self.objects, "path string, source_file string, landed_id string, bytes bigint, version string")
 
 
 def file_batches(routed: DataFrame, batch_bytes: int = BATCH_BYTES, batch_files: int = BATCH_FILES,
@@ -77,7 +87,7 @@ def file_batches(routed: DataFrame, batch_bytes: int = BATCH_BYTES, batch_files:
 
     Paths stream to the driver in order, a batch at a time; a scan needs them by name.
     """
-    ordered = (routed.filter("source is not null").select("source", "header", "path", "source_file", "landed_id", "bytes")
+    ordered = (routed.filter("source is not null").select("source", "header", "path", "source_file", "landed_id", "bytes", "version")
                .orderBy("source", "header", "path"))
     for source, rows in itertools.groupby(ordered.toLocalIterator(), lambda r: r.source):
         scans, objects, held = {}, [], 0
@@ -88,7 +98,7 @@ def file_batches(routed: DataFrame, batch_bytes: int = BATCH_BYTES, batch_files:
                 yield Batch(specs.get(source), scans, objects)
                 scans, objects, held = {}, [], 0
             scans.setdefault(header, []).append(row.path)
-            objects.append((row.path, row.source_file, row.landed_id, row.bytes))
+            objects.append((row.path, row.source_file, row.landed_id, row.bytes, row.version))
             held += row.bytes
         yield Batch(specs.get(source), scans, objects)
 
@@ -120,11 +130,11 @@ def load_batch(spark: SparkSession, warehouse: Warehouse, batch: Batch) -> None:
     _publish(spark, warehouse, batch.spec, csv_scan.scan_aligned(spark, batch.spec, batch.scans))
     cut = csv_scan.cut_files(warehouse.rejects().read(spark).join(F.broadcast(files.select(*FILE)), list(FILE), "left_semi"))
     torn = files.join(cut, list(FILE)).select("path", *FILE).collect()
-    if torn:  # read again whole, one task a file
+    if torn:  # read again by rows that quotes hold together
         for old in (table, warehouse.rejects()):
             delete_partitions(spark, old, torn)
         _publish(spark, warehouse, batch.spec,
-                 csv_scan.scan_aligned(spark, batch.spec, batch.only({r.path for r in torn}), multi_line=True))
+                 csv_scan.scan_aligned(spark, batch.spec, batch.only({r.path for r in torn}), broken=True))
 
     def held(stored: ParquetTable, name: str) -> DataFrame:
         return (stored.read(spark).join(F.broadcast(files.select(*FILE)), list(FILE), "left_semi")
@@ -173,7 +183,7 @@ def count_routed(spark: SparkSession, routed: DataFrame, **bounds: int) -> DataF
         counted = spark.read.parquet(first)
         torn = batch.frame(spark).join(counted.filter("cut"), list(FILE)).select("path").collect()
         if torn:
-            again = csv_scan.scan_aligned(spark, batch.spec, batch.only({r.path for r in torn}), multi_line=True)
+            again = csv_scan.scan_aligned(spark, batch.spec, batch.only({r.path for r in torn}), broken=True)
             counted = counted.filter("NOT cut").unionByName(count(batch.spec, again))
         counted.select("source_file", "rows", "rejected", "target").write.mode("append").parquet(path)
         delete(spark, first)

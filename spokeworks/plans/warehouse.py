@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
 
+from spokeworks.operators.levels import LeveledTable
 from spokeworks.sources import specs
 from spokeworks.sources.tables import ParquetTable
 
@@ -14,7 +15,7 @@ REJECTS_SCHEMA = "source string, column string, raw_value string, source_file st
 _AUDIT = "location string, schema_version string, dbt_updated_at timestamp, source_file string, landed_id string"
 
 #: One entry when a load of an object begins (rows NULL) and one when it is done; the latest counts.
-LEDGER_SCHEMA = ("path string, source_file string, landed_id string, bytes bigint,"
+LEDGER_SCHEMA = ("path string, source_file string, landed_id string, bytes bigint, version string,"
                  " rows bigint, rejected bigint, at timestamp")
 
 #: A source file: two landed objects may share a name.
@@ -100,20 +101,18 @@ class Warehouse:
     def rides(self, name: str) -> ParquetTable:
         return self._table("intermediate", name, RIDE_SCHEMAS[name], *FILE)
 
-    def hour_totals(self, city: str, has_members: bool) -> ParquetTable:
+    def _levels(self, name: str, schema: str) -> LeveledTable:
+        return LeveledTable(f"{self.root.rstrip('/')}/intermediate/{name}", schema, FILE)
+
+    def hour_totals(self, city: str, has_members: bool) -> LeveledTable:
         """What the rides of a file add to each hour: sums of it over files are those of all rides."""
-        members = "member_rides bigint, casual_rides bigint, " if has_members else ""
-        return self._table("intermediate", f"{city}_hour_totals", (
-            "location string, date date, hour_of_day bigint, total_rides bigint, timed_rides bigint,"
-            f" seconds decimal(28,6), {members}source_file string, landed_id string"), *FILE)
-
-    def used_stations(self, city: str) -> ParquetTable:
-        return self._table("intermediate", f"{city}_used_stations",
-                           "location string, year bigint, start_station_id string, source_file string, landed_id string", *FILE)
-
-    def derived(self, city: str) -> list[ParquetTable]:
-        """Tables that are kept per file of the city's rides."""
-        return [self.hour_totals(city, city == "nyc"), self.used_stations(city)]
+        members = ", member_rides bigint, casual_rides bigint" if has_members else ""
+        return self._levels(f"{city}_hour_levels", (
+            "location string, date date, hour_of_day bigint, total_rides bigint, timed_rides bigint, seconds decimal(28,6)"
+            + members))
+
+    def used_stations(self, city: str) -> LeveledTable:
+        return self._levels(f"{city}_station_levels", "location string, year bigint, start_station_id string")
 
     def mart(self, name: str) -> ParquetTable:
         return self._table("marts", name, MART_SCHEMAS[name])

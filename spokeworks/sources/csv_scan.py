@@ -10,7 +10,7 @@ import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from spokeworks.functions.parsing import blank_to_null, is_bad, parse_typed
 from spokeworks.sources.manifest import landed_id
@@ -20,6 +20,8 @@ from spokeworks.sources.specs import SourceSpec
 OVERFLOW = "_overflow"
 #: The text of a line that has not as many fields as its header; a problem where a quote in it stays open.
 LINE = "_line"
+#: Lines that a row may be broken into.
+MOST_LINES = 1000
 
 
 def literal_path(path: str) -> str:
@@ -27,10 +29,10 @@ def literal_path(path: str) -> str:
     return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
 
-def scan_text(spark: SparkSession, header: Sequence[str], paths: Sequence[str], multi_line: bool = False) -> DataFrame:
+def scan_text(spark: SparkSession, header: Sequence[str], paths: Sequence[str]) -> DataFrame:
     """All columns as text under positional names, plus lineage; nothing is inferred.
 
-    A line break within quotes cuts a row in two unless ``multi_line``, which can't split files.
+    A line break within quotes cuts a row in two; ``scan_broken`` reads such files.
     """
     names = [f"c{i}" for i in range(len(header))]
     longer = ", ".join(f"{n} string" for n in [*names, OVERFLOW])
@@ -38,7 +40,7 @@ def scan_text(spark: SparkSession, header: Sequence[str], paths: Sequence[str],
     name = F.url_decode(F.replace(encoded_name, F.lit("+"), F.lit("%2B")))
     beyond = F.when(F.col(LINE).isNotNull(), F.from_csv(LINE, longer, {"escape": '"'})[OVERFLOW])
     return (spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in [*names, LINE]]))
-            .option("header", True).option("escape", '"').option("multiLine", multi_line)
+            .option("header", True).option("escape", '"')
             # With pruned columns the reader no longer sees how many fields a line has.
             .option("columnNameOfCorruptRecord", LINE).option("columnPruning", False)
             .csv([literal_path(p) for p in paths])
@@ -46,6 +48,60 @@ def scan_text(spark: SparkSession, header: Sequence[str], paths: Sequence[str],
                     name.alias("source_file"), landed_id(uri).alias("landed_id")))
 
 
+def whole_rows(spark: SparkSession, paths: Sequence[str], most_lines: int = MOST_LINES) -> DataFrame:
+    """(uri, name, row) of every row of files whose quoted values hold line breaks, in splits like any text.
+
+    Where a line begins a row depends on the quotes before it in its file. Every block counts the rows that begin in
+    it for both cases, an even and an odd number before it; a running sum over the blocks of a file, one row each,
+    says which case it is. Lines that are a row by themselves pass on; only those of broken rows are put together.
+    A quote that stays open for more than ``most_lines`` lines is a stray one: its lines are rows by themselves.
+    The header is left out.
+    """
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    lines = (spark.read.option("lineSep", "\n").text([literal_path(p) for p in paths])
+             .select(F.col("_metadata.file_path").alias("uri"), F.col("_metadata.file_name").alias("name"),
+                     F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"),
+                     "value", (quotes % 2).alias("odd")))
+    before = Window.partitionBy("uri", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    running = F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2
+    blocks = (lines.select("uri", "block", "at", "odd").withColumn("running", running).groupBy("uri", "block")
+              .agg((F.sum("odd") % 2).alias("odd"), F.count_if(F.col("running") == 0).alias("even_rows"),
+                   F.count_if(F.col("running") == 1).alias("odd_rows")))
+    earlier = Window.partitionBy("uri").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    opened = F.coalesce(F.sum("odd").over(earlier), F.lit(0)) % 2
+    began = F.when(F.col("opened") == 0, F.col("even_rows")).otherwise(F.col("odd_rows"))
+    offsets = (blocks.withColumn("opened", opened)
+               .select("uri", "block", "opened", F.coalesce(F.sum(began).over(earlier), F.lit(0)).alias("rows_before")))
+    begins = (F.col("opened") + running) % 2 == 0
+    until = Window.partitionBy("uri", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = (lines.join(offsets, ["uri", "block"]).withColumn("begins", begins)
+                .withColumn("number", F.col("rows_before") + F.sum(F.col("begins").cast("bigint")).over(until))
+                .filter("number > 1"))
+    alone = numbered.filter("begins AND odd = 0").select("uri", "name", F.col("value").alias("row"))
+    broken = numbered.filter("NOT begins OR odd = 1").select("uri", "name", "number", "block", "at", "value")
+    lengths = broken.groupBy("uri", "number").agg(F.count("*").alias("lines"))
+    sized = broken.join(lengths, ["uri", "number"])
+    joined = (sized.filter(F.col("lines") <= most_lines).groupBy("uri", "name", "number")
+              .agg(F.array_sort(F.collect_list(F.struct("block", "at", "value"))).alias("parts"))
+              .select("uri", "name", F.array_join("parts.value", "\n").alias("row")))
+    stray = sized.filter(F.col("lines") > most_lines).select("uri", "name", F.col("value").alias("row"))
+    return alone.unionByName(joined).unionByName(stray).withColumn("row", F.regexp_replace("row", "\r$", ""))
+
+
+def scan_broken(spark: SparkSession, header: Sequence[str], paths: Sequence[str]) -> DataFrame:
+    """What ``scan_text`` gives, of files whose rows break within quotes; no file is one task's work."""
+    names = [f"c{i}" for i in range(len(header))]
+    fields = ", ".join(f"{n} string" for n in [*names, LINE])
+    longer = ", ".join(f"{n} string" for n in [*names, OVERFLOW])
+    rows = whole_rows(spark, paths).filter("row <> ''")
+    read = rows.withColumn("_read", F.from_csv("row", fields, {"escape": '"', "columnNameOfCorruptRecord": LINE}))
+    beyond = F.when(F.col("_read")[LINE].isNotNull(), F.from_csv("row", longer, {"escape": '"'})[OVERFLOW])
+    name = F.url_decode(F.replace("name", F.lit("+"), F.lit("%2B")))
+    return read.select(*[F.col("_read")[n].alias(n) for n in names], beyond.alias(OVERFLOW),
+                       open_line(F.when(F.col("_read")[LINE].isNotNull(), F.col("row"))).alias(LINE),
+                       name.alias("source_file"), landed_id(F.col("uri")).alias("landed_id"))
+
+
 def open_line(line: Column) -> Column:
     """The line if it has an odd number of quotes, as each part of a row cut within quotes has."""
     return F.when((F.length(line) - F.length(F.replace(line, F.lit('"')))) % 2 == 1, line)
@@ -89,9 +145,10 @@ def align(text_rows: DataFrame, spec: SourceSpec, header: Sequence[str]) -> Data
 
 
 def scan_aligned(spark: SparkSession, spec: SourceSpec,
-                 scans: Mapping[tuple[str, ...], Sequence[str]], multi_line: bool = False) -> DataFrame:
-    """Rows of files of one layout, given as {header: paths}."""
-    parts = [align(scan_text(spark, header, paths, multi_line), spec, header) for header, paths in scans.items()]
+                 scans: Mapping[tuple[str, ...], Sequence[str]], broken: bool = False) -> DataFrame:
+    """Rows of files of one layout, given as {header: paths}; ``broken`` where rows have line breaks in them."""
+    scan = scan_broken if broken else scan_text
+    parts = [align(scan(spark, header, paths), spec, header) for header, paths in scans.items()]
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -21,14 +21,18 @@ def landed_id(uri: Column) -> Column:
 
 
 def describe(listing: DataFrame, root: str, prefix: str) -> DataFrame:
-    """Manifest columns of a binary-file listing; ``key`` is the path below the root."""
+    """Manifest columns of a binary-file listing; ``key`` is the path below the root.
+
+    ``version`` tells one content of an object from the next: its size and when it was written.
+    """
     uri = F.col("_metadata.file_path")
     below_root = F.split("path", f"\\Q{urlparse(root).path.rstrip('/')}\\E/", 2)
     return listing.select(
         "path", F.element_at(below_root, -1).alias("key"),
         F.element_at(F.split("path", "/"), -1).alias("source_file"),
         F.col("length").alias("bytes"), F.lit(prefix).alias("prefix"),
-        landed_id(uri).alias("landed_id"))
+        landed_id(uri).alias("landed_id"),
+        F.concat_ws("-", "length", F.unix_micros("modificationTime")).alias("version"))
 
 
 def list_objects(spark: SparkSession, root: str, suffix: str = ".csv", prefix: str = "") -> DataFrame:

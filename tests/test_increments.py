@@ -2,6 +2,7 @@ import pytest
 
 from spokeworks.operators import increments
 from spokeworks.operators.increments import DuplicateKeys, append_unseen, replace_by_key
+from spokeworks.operators.levels import LeveledTable
 from spokeworks.sources.tables import ParquetTable, exists
 
 SCHEMA = "ride_id string, n int, source_file string"
@@ -122,15 +123,16 @@ def test_rows_without_a_key_pass_no_exchange(spark, plan_of):
 
 
 def test_table_kept_per_file_reads_new_files_only(spark, tmp_path, target, rows):
-    sums, read = ParquetTable(str(tmp_path / "sums"), "n bigint, source_file string", ("source_file",)), []
+    sums, read = LeveledTable(str(tmp_path / "sums"), "n bigint", ("source_file",)), []
 
-    def summed(new):
-        read.append(sorted(r.source_file for r in new.select("source_file").distinct().collect()))
+    def summed(stale):
+        new = increments.rows_of_files(target.read(spark), stale, ["source_file"])
+        read.append(sorted(r.source_file for r in stale.collect()))
         return new.groupBy("source_file").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n")
 
     def step(*batch):
-        replace_by_key(spark, rows(*batch), target, ["ride_id"], derived=[sums])
-        increments.keep_in_step(spark, target.read(spark), sums, summed)
+        replace_by_key(spark, rows(*batch), target, ["ride_id"])
+        sums.keep_in_step(spark, increments.ledger_of(spark, target).marks(spark), summed)
         return dict((f, n) for n, f in held(spark, sums))
 
     assert step(("a", 1, "f1"), ("b", 2, "f1"), ("c", 4, "f2")) == {"f1": 3, "f2": 4}

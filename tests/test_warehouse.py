@@ -5,7 +5,7 @@ from spokeworks.plans import load, marts, refresh
 from spokeworks.plans.warehouse import Warehouse
 from spokeworks.sources import specs
 from spokeworks.sources.population import seed_population
-from spokeworks.streaming.file_loads import stream_landing
+from spokeworks.streaming.file_loads import stream_landing, stream_rides
 
 
 def first_files(root):
@@ -88,3 +88,43 @@ def test_stream_takes_each_file_once(spark, tmp_path):
     progress = stream_landing(spark, warehouse, str(tmp_path / "landing"), "nyc_csv/", str(tmp_path / "checkpoints" / "nyc_csv/"))
     progress.awaitTermination()
     assert sum(p["numInputRows"] for p in progress.recentProgress) == 0
+
+
+def rewritten_files(root):
+    """Other contents of objects that were loaded: a ride less, a ride more, a ride with another end, none."""
+    files.put(root, "nyc_csv/2019.csv", files.NYC_LEGACY, files.nyc_legacy("9", "2019-06-01 10:00:00", "2019-06-01 10:10:00"))
+    files.put(root, "nyc_csv/2021.csv", files.NYC_MODERN,
+              files.nyc_modern("r1", "2021-02-01 10:00:00", "2021-02-01 10:05:00", user="casual"),
+              files.nyc_modern("r9", "2021-02-02 10:00:00", "2021-02-02 10:05:00", user="casual"))
+    files.put(root, "nyc_csv/2022.csv", files.NYC_MODERN)
+    files.put(root, "london_csv/old.csv", files.LONDON_LEGACY, files.london_legacy("1", "18/12/2019 09:00", "18/12/2019 10:30"))
+
+
+def test_rewritten_objects_replace_their_rides_in_both_forms(spark, tmp_path):
+    for form in ("batch", "stream"):
+        root, warehouse = tmp_path / f"landing-{form}", Warehouse(str(tmp_path / form))
+
+        def follow():
+            if form == "stream":
+                stream_rides(spark, warehouse, str(tmp_path / "checkpoints")).awaitTermination()  # noqa: B023
+            else:
+                refresh.refresh_rides(spark, warehouse)  # noqa: B023
+            refresh.refresh_marts(spark, warehouse, seed_population(spark))  # noqa: B023
+
+        for more in (first_files, later_files):
+            more(root)
+            load.load_all(spark, warehouse, str(root), only_new=True)
+            follow()
+        check(spark, warehouse)
+        rewritten_files(root)
+        load.load_all(spark, warehouse, str(root), only_new=True)
+        for _ in range(2):
+            follow()
+            nyc = warehouse.rides("int_nyc_rides").read(spark)
+            assert sorted((r.source_file, r.ride_id[:2]) for r in nyc.collect()) == [("2019.csv", "le"), ("2021.csv", "r1"), ("2021.csv", "r9")]
+            london = {r.ride_id: float(r.duration_seconds) for r in warehouse.rides("int_london_rides").read(spark).collect()}
+            assert london == {"1": 5400.0, "2": 2400.0, "3": 2400.0}
+            for city, members in (("nyc", True), ("london", False)):
+                taken, kept = warehouse.rides(f"int_{city}_rides").read(spark), warehouse.mart(f"mart_{city}_daily_metrics").read(spark)
+                whole = marts.daily_metrics(taken, seed_population(spark), members).select(*kept.columns)
+                assert sorted(map(str, kept.collect())) == sorted(map(str, whole.collect()))
