@@ -7,9 +7,10 @@ import functools
 
 from pyspark.sql import DataFrame, functions as F
 
-from spokeworks.checks.catalog import query, shipped
+from spokeworks.checks.catalog import _NAMES, query, shipped
 from spokeworks.operators import increments, quality
 from spokeworks.plans import explore, movement
+from spokeworks.sources import manifest, specs
 
 _MINUTES = "CAST(sum({us}) AS DOUBLE) / CAST(1000000 AS DOUBLE) / nullif(count({us}), 0) / 60"
 _AVERAGE = _MINUTES.format(us="us")
@@ -206,6 +207,49 @@ def _(s):
         for source, columns in _CHECKED.items()])
 
 
+def _columns(source: str) -> str:
+    spec = specs.get(source)
+    return " UNION ALL ".join(
+        f"SELECT source_file, '{source}' AS source, '{f.header}' AS column_name, count(*) AS rows, count({f.name}) AS present, "
+        f"CAST(0 AS BIGINT) AS invalid FROM raw_{source} GROUP BY 1" for f in spec.fields)
+
+
+@query("e11_layout_counts", " UNION ALL ".join(_columns(s.name) for s in specs.registered()))
+def _(s):
+    """Every declared column of all four layouts."""
+    return functools.reduce(DataFrame.unionByName, [
+        quality.layout_counts(s.landing_text(spec.name), spec) for spec in specs.registered()])
+
+
+@query("e11_duration_counts", """
+  SELECT location, schema_version, count(*) AS rides, count(*) FILTER (us IS NULL) AS missing,
+    count(*) FILTER (us = 0) AS zero, count(*) FILTER (us < 0) AS negative FROM all_rides GROUP BY 1, 2""")
+def _(s):
+    """Merged from a summary per file; the quantiles are held against exact ones in the tests."""
+    per_file = quality.duration_summaries(s.both_rides(), ("location", "schema_version", "source_file"))
+    return quality.merged_durations(per_file, ("location", "schema_version")).drop("q05", "q50", "q95")
+
+
+@query("e3_index_difference", f"""
+  SELECT prefix || source_file AS key, CASE WHEN contains(source_file, 'Q1') THEN NULL ELSE CASE WHEN contains(source_file, 'Q2')
+      THEN 'old/' ELSE '' END || prefix || source_file END AS old_key,
+    CASE WHEN contains(source_file, 'Q1') THEN 'new' WHEN contains(source_file, 'Q2') THEN 'renamed' WHEN contains(source_file, 'Q3')
+      THEN 'changed' ELSE 'same' END AS state FROM {_NAMES} UNION ALL
+  SELECT 'gone/' || prefix || source_file, 'gone/' || prefix || source_file, 'gone' FROM {_NAMES} WHERE contains(source_file, 'Q4')""")
+def _(s):
+    """Indexes of files of rides before and after: Q1 is new, Q2 was elsewhere, Q3 has other rides, some of Q4 are gone."""
+    lines = functools.reduce(DataFrame.unionByName, [
+        s.raw(spec.name).select(F.concat(F.lit(spec.prefix), "source_file").alias("key"), F.xxhash64(*spec.columns).alias("line"))
+        for spec in specs.registered()])
+    after = lines.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.col("line").cast("decimal(38,0)")).alias("of")).select(
+        "key", F.concat_ws("-", "n", "of").alias("fingerprint"))
+    q3 = F.when(F.col("key").contains("Q3"), F.concat("fingerprint", F.lit("?"))).otherwise(F.col("fingerprint"))
+    moved = F.when(F.col("key").contains("Q2"), F.concat(F.lit("old/"), "key")).otherwise(F.col("key"))
+    before = after.filter("NOT contains(key, 'Q1')").select(moved.alias("key"), q3.alias("fingerprint"))
+    gone = after.filter("contains(key, 'Q4')").select(F.concat(F.lit("gone/"), "key").alias("key"), F.concat("fingerprint", F.lit("!")).alias("fingerprint"))
+    return manifest.difference(before.unionByName(gone), after)
+
+
 @query("e12_station_dimension", f"""
   SELECT location, station_id, max(station_name) AS station_name, min(used) AS first_used, max(used) AS last_used
   FROM {_USED} GROUP BY 1, 2""")

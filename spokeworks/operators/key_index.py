@@ -62,7 +62,8 @@ class Probe:
         count = known.count()
         parts = max(1, min(INTERVALS, count // 64))
         hashes = F.collect_list("hashed") if count <= PROBED else F.array().cast("array<bigint>")
-        rows = (known.repartitionByRange(parts, "key").groupBy(F.spark_partition_id().alias("part"))
+        ranged = known.repartitionByRange(parts, "key") if parts > 1 else known.coalesce(1)
+        rows = (ranged.groupBy(F.spark_partition_id().alias("part"))
                 .agg(F.min("key").alias("low"), F.max("key").alias("high"), hashes.alias("hashes")).collect())
         rows.sort(key=lambda r: r["low"].encode())
         self.lows, self.highs = ([r[c].encode() for r in rows] for c in ("low", "high"))

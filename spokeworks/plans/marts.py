@@ -16,6 +16,9 @@ from spokeworks.functions import columns as c
 METRICS = ("total_rides", "avg_duration_minutes", "member_rides", "casual_rides",
            "total_minutes_biked", "population", "rides_per_1000")
 
+#: Size of a station sketch: 2 ** 14 slots, off by 0.8 percent in two cases of three.
+SKETCH_BITS = 14
+
 #: Metrics that a city may not have; their rows are left out instead of kept as NULL.
 OPTIONAL_METRICS = ("member_rides", "casual_rides")
 
@@ -122,6 +125,18 @@ def counted_stations(used: DataFrame) -> DataFrame:
             .groupBy("location", "year").agg(F.count("start_station_id").alias("station_count")))
 
 
+def station_sketches(rides: DataFrame, place: Sequence[str] = ()) -> DataFrame:
+    """(location, year, sketch): the start stations in use as a sketch of fixed size, and per file where asked."""
+    return (rides.groupBy("location", c.year_of("start_time").alias("year"), *place)
+            .agg(F.hll_sketch_agg("start_station_id", F.lit(SKETCH_BITS)).alias("sketch")))
+
+
+def approximate_counts(sketches: DataFrame) -> DataFrame:
+    """Station counts from sketches that add up over files, as an option: no triple is read again."""
+    return (sketches.groupBy("location", "year").agg(F.hll_union_agg("sketch").alias("sketch"))
+            .select("location", "year", F.hll_sketch_estimate("sketch").alias("station_count")))
+
+
 def previous_year(counts: DataFrame) -> DataFrame:
     """Adds the previous listed year's count (not necessarily the calendar year before)."""
     by_year = Window.partitionBy("location").orderBy("year")

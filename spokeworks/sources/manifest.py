@@ -9,7 +9,7 @@ from __future__ import annotations
 import datetime as dt
 from urllib.parse import urlparse
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: Fixed value: monthly and weekly extracts are named like this in the source index.
 EXTRACT_NAME = r"(?i)Journey\s?Data\s?Extract.*\.csv"
@@ -72,3 +72,35 @@ def from_cutoff(manifest: DataFrame, cutoff: str) -> DataFrame:
     """Files named at or after the cut-off file; none if that file never landed."""
     landed = manifest.filter(F.col("source_file") == cutoff).exists()
     return manifest.filter((F.col("source_file") >= cutoff) & landed)
+
+
+def fingerprints(spark: SparkSession, root: str, prefix: str = "", suffix: str = ".csv") -> DataFrame:
+    """(key, lines, fingerprint) of every object that has a line, from its lines in splits.
+
+    The fingerprint is made of sums over the lines, so blocks add up in any order, and two objects with the same
+    lines in another order count as the same.
+    """
+    lines = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}")
+             .text(f"{root.rstrip('/')}/{prefix}".rstrip("/")).select("value", F.col("_metadata.file_path").alias("uri")))
+    below = F.element_at(F.split(F.url_decode(F.replace("uri", F.lit("+"), F.lit("%2B"))), f"\\Q{urlparse(root).path.rstrip('/')}\\E/", 2), -1)
+    hashed = F.xxhash64("value")
+    return (lines.groupBy("uri").agg(F.count("*").alias("lines"), F.sum(F.shiftright(hashed, 32)).alias("high"),
+                                     F.sum(hashed.bitwiseAND(0xFFFFFFFF)).alias("low"))
+            .select(below.alias("key"), "lines", F.concat_ws("-", "lines", "high", "low").alias("fingerprint")))
+
+
+def difference(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(key, old_key, state) of two indexes (key, fingerprint): same, changed, new, gone or renamed.
+
+    A new key with the fingerprint of one that is gone is that object renamed, one for one in the order of their keys.
+    """
+    both = (before.select("key", F.col("fingerprint").alias("old")).join(after.select("key", F.col("fingerprint").alias("now")), "key", "full_outer"))
+    held = both.filter("old IS NOT NULL AND now IS NOT NULL").select(
+        "key", F.col("key").alias("old_key"), F.when(F.col("old") == F.col("now"), "same").otherwise("changed").alias("state"))
+    number = lambda by: F.row_number().over(Window.partitionBy(by).orderBy("key"))
+    gone = both.filter("now IS NULL").select(F.col("key").alias("old_key"), F.col("old").alias("fingerprint"), number("old").alias("number"))
+    new = both.filter("old IS NULL").select("key", F.col("now").alias("fingerprint"), number("now").alias("number"))
+    moved = new.join(gone, ["fingerprint", "number"], "full_outer").select(
+        F.coalesce("key", "old_key").alias("key"), "old_key",
+        F.when(F.col("old_key").isNull(), "new").when(F.col("key").isNull(), "gone").otherwise("renamed").alias("state"))
+    return held.unionByName(moved)
