@@ -33,7 +33,7 @@ from spokeworks.llm.bitmaps import Bitmap
 #: Bytes of text with one dictionary.
 SLICE = 4 << 20
 #: Phrases of a trie, and tries that are broadcast together.
-SHARD, ROUND = 200_000, 2
+SHARD, ROUND = 100_000, 2
 #: Parts that a language's phrases are ranked in before the last ranking.
 PARTS = 64
 
@@ -258,8 +258,8 @@ def compiled(first: np.ndarray, second: np.ndarray, third: np.ndarray, is_pair:
     order = longer[np.lexsort((c[longer], state[longer]))]
     base, checked, slots = _place(base, checked, state[order], c[order], size)
     state[order] = slots
-    room = size + 1  # so that no symbol leads beyond the end
-    return Trie(alphabet, np.append(base, np.zeros(room, np.int32)), np.append(checked, np.full(room, -1, np.int32)),
+    used, room = int(np.flatnonzero(checked >= 0)[-1]) + 1, size + 1  # so that no symbol leads beyond the end
+    return Trie(alphabet, np.append(base[:used], np.zeros(room, np.int32)), np.append(checked[:used], np.full(room, -1, np.int32)),
                 state.astype(np.int32), np.stack([a, b, c], axis=1).astype(np.int32))
 
 
