@@ -22,7 +22,7 @@ from spokeworks.plans.reports import Period
 from spokeworks.plans.warehouse import Warehouse
 from spokeworks.samples import SampleRides
 from spokeworks.session import scratch_path
-from spokeworks.sources import archives, headers, manifest, population, specs
+from spokeworks.sources import archives, csv_scan, headers, manifest, population, specs
 from spokeworks.streaming.file_loads import stream_landing, stream_rides
 
 AUDIT_COLUMNS = ("dbt_updated_at", "ingested_at", "landed_id")
@@ -229,6 +229,29 @@ _raw_roundtrip("london_legacy")
 _raw_roundtrip("london_modern", total_duration_ms="CASE WHEN bike_model = 'CLASSIC' THEN total_duration_ms END")
 
 
+def _broken_rows(source: str):
+    """Every value of a layout whose station names hold line breaks and quotes, read by rows that quotes hold together."""
+    spec = specs.get(source)
+    name = next(f for f in spec.fields if f.name in ("start_station_name", "start_station"))
+    broken = f"CASE WHEN length({name.name}) % 2 = 0 THEN {name.name} || chr(10) || '\"dock\", ' || {name.name} ELSE {name.name} END"
+    columns = ", ".join(f"{broken} AS {n}" if n == name.name else n for n in spec.columns if n != "source_file")
+
+    @query(f"s7_broken_rows_{source}", f"SELECT {columns} FROM raw_{source}")
+    def _(s):
+        root, text = scratch_path(s.spark, "landing"), s.landing_text(source)
+        own = F.col(f"`{name.header}`")
+        both = F.when(F.length(own) % 2 == 0, F.concat(own, F.lit('\n"dock", '), own)).otherwise(own)
+        (text.withColumn(name.header, both).write.option("header", True).option("escape", '"')
+         .partitionBy("source_file").csv(f"{root}/{spec.prefix}"))
+        routed = load.route(s.spark, manifest.list_objects(s.spark, root, prefix=spec.prefix))
+        scans = {tuple(r.header): r.paths for r in routed.groupBy("header").agg(F.collect_list("path").alias("paths")).collect()}
+        return shipped(csv_scan.good_rows(csv_scan.scan_aligned(s.spark, spec, scans, broken=True))).drop("source_file")
+
+
+for _source in NYC + LONDON:
+    _broken_rows(_source)
+
+
 @query("s10_header_contracts", """
   SELECT 'nyc_legacy' AS source, source_file, 15 AS required_present FROM (SELECT DISTINCT source_file FROM raw_nyc_legacy)
   UNION ALL SELECT 'nyc_modern', source_file, 13 FROM (SELECT DISTINCT source_file FROM raw_nyc_modern)
