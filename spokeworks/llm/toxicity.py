@@ -14,6 +14,8 @@ no terms and every score is the prior; columns other than doc_id and text are ig
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 import re
 from collections import Counter
@@ -22,7 +24,6 @@ from dataclasses import dataclass, field
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -81,7 +82,12 @@ def matches(found, folded: str) -> list[tuple[int, float]]:
             excused.append((start, end))
         else:
             starts[start] = max(weight, starts.get(start, -math.inf))
-    return [(s, w) for s, w in starts.items() if not any(a <= s < b for a, b in excused)]
+    if not excused:
+        return list(starts.items())
+    begins, ends = zip(*sorted(excused))
+    reach = list(itertools.accumulate(ends, max))  # the furthest end of all that begin no later
+    at = lambda s: bisect.bisect_right(begins, s)
+    return [(s, w) for s, w in starts.items() if at(s) == 0 or reach[at(s) - 1] <= s]
 
 
 def feature(found, text: str | None) -> float:
@@ -265,11 +271,14 @@ def accepted(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """The documents, with all their columns, that score below one half."""
     shared.ship_package(docs.sparkSession)
 
-    @F.pandas_udf("boolean")
-    def toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("boolean")
+    def toxic(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         found = lexicon.automaton()
         for texts in batches:
-            folded = map(fold, texts)
-            yield pd.Series([score_of(lexicon, f, matches(found, f)) >= 0.5 for f in folded], dtype=bool)
+            out: list[bool] = []
+            for part in textbytes.slices([pa.RecordBatch.from_arrays([texts], ["text"])], "text"):
+                folded = map(fold, part.column("text").to_pylist())
+                out += [score_of(lexicon, f, matches(found, f)) >= 0.5 for f in folded]
+            yield pa.array(out, pa.bool_())
 
     return docs.filter(~toxic(F.col("text").cast("string")))
