@@ -130,8 +130,9 @@ def test_reload_replaces_and_same_names_live_side_by_side(spark, root, warehouse
         load.load_prefix(spark, warehouse, str(root), "nyc_csv/", batch_files=1)
     assert sorted(r.ride_id for r in raw(spark, warehouse, "nyc_modern").collect()) == ["a", "b"]
     files.put(root, "nyc_csv/jan/trips +1 50%.csv", files.NYC_MODERN, files.nyc_modern("c", "2021-01-01 10:00:00", "2021-01-01 10:05:00"))
-    assert load.load_prefix(spark, warehouse, str(root), "nyc_csv/", only_new=True).count() == 0
-    assert sorted(r.ride_id for r in raw(spark, warehouse, "nyc_modern").collect()) == ["a", "b"]
+    for changed in (1, 0):  # another content is another version, and is taken once
+        assert load.load_prefix(spark, warehouse, str(root), "nyc_csv/", only_new=True).count() == changed
+        assert sorted(r.ride_id for r in raw(spark, warehouse, "nyc_modern").collect()) == ["b", "c"]
     load.load_prefix(spark, warehouse, str(root), "nyc_csv/")
     assert sorted(r.ride_id for r in raw(spark, warehouse, "nyc_modern").collect()) == ["b", "c"]
 
