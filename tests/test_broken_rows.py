@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from spokeworks.sources import csv_scan
+from spokeworks.sources import csv_scan, specs
 
 HEADER = ("id", "name", "note")
 
@@ -70,3 +70,26 @@ def test_longer_lines_and_stray_quotes_are_reported(spark, tmp_path, small_split
     assert by_id["1"][csv_scan.OVERFLOW] == "more" and by_id["2"].c2 == "b"
     assert by_id["3"][csv_scan.LINE] == '3,"open,c' and all(by_id[str(i)].c1 == "d" for i in range(4, 40))
     assert len(rows) == 39
+
+
+def test_a_row_is_parsed_once_under_a_filter_on_its_values(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('Rental Id,Bike Id,Start Date\n1,"b\n2",18/12/2019 14:05\n')
+    spec = specs.SourceSpec(name="few", prefix="few/", table="raw_few", location="london", generation="legacy", fields=(
+        specs.Field("Rental Id", "rental_id", "bigint"), specs.Field("Bike Id", "bike_id"),
+        specs.Field("Start Date", "start_date", "timestamp_ntz", layouts=("day_first_minutes",))))
+    scans = {("Rental Id", "Bike Id", "Start Date"): [str(tmp_path / "a.csv")]}
+    good = csv_scan.good_rows(csv_scan.scan_aligned(spark, spec, scans, broken=True))
+    assert [(r.rental_id, r.bike_id) for r in good.collect()] == [(1, "b\n2")]
+    plan = good._jdf.queryExecution().optimizedPlan().toString()
+    # One for the fields and, for lines that don't fit them, one for what is beyond, in the filter and in the projection.
+    branches = plan.count("inline(")
+    assert branches and plan.count("from_csv") <= 3 * branches
+
+
+def test_stray_quote_over_many_blocks_leaves_no_line_out(spark, tmp_path, small_splits):
+    lines = ['1,"open,x', *(f"{i},n{i},y" for i in range(2, 3000))]
+    (tmp_path / "a.csv").write_text("\n".join(["id,name,note", '0,"a\nb",c', *lines]))
+    rows = [r.row for r in csv_scan.whole_rows(spark, [str(tmp_path / "a.csv")]).collect()]
+    assert sorted(rows) == sorted(['0,"a\nb",c', *lines])
+    some = [r.row for r in csv_scan.whole_rows(spark, [str(tmp_path / "a.csv")], most_lines=5000).collect()]
+    assert sorted(some) == sorted(['0,"a\nb",c', "\n".join(lines)])
