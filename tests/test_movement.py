@@ -5,6 +5,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from spokeworks.operators import ordered
 from spokeworks.operators.intervals import days_within
 from spokeworks.plans import explore, movement
@@ -132,3 +134,24 @@ def test_effect_of_phases_without_usual_days_is_unknown(spark):
               ("all", dt.date(2000, 1, 1), dt.date(2030, 1, 1)), ("back", dt.date(2024, 3, 1), dt.date(2024, 2, 1))]
     got = {r.phase: (r.rides, r.days, r.usual_rides, r.usual_days, r.effect_percent) for r in explore.phase_effect(table, phases).collect()}
     assert got == {"leap": (2, 1, 1, 1, 100.0), "both": (3, 2, 1, 1, 50.0), "all": (4, 3, None, None, None)}
+
+
+def test_parts_grow_with_the_rows_whatever_the_partitions(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "PART_ROWS", 100)
+    rows = spark.range(5000).selectExpr("concat('s', id % 7) AS g", "id % 2500 AS t")
+    table = ordered.dealt(rows, ["g"], ["t"], summed=[F.count("*").alias("n")])
+    assert ordered.parts_of(table) > 40  # the session has 4 partitions
+    sizes = [r["count"] for r in table.groupBy(ordered.PART).count().collect()]
+    assert max(sizes) <= 300 and table.agg(F.sum("n")).first()[0] == 5000
+    summed = ordered.running(table, ["g"], ["t"], F.col("n"), "s")
+    assert summed.rdd.getNumPartitions() == ordered.parts_of(table)
+    ends = {r.g: r.s for r in summed.groupBy("g").agg(F.max("s").alias("s")).collect()}
+    assert ends == {r.g: r["count"] for r in rows.groupBy("g").count().collect()}
+
+
+def test_spells_over_parts_are_added_up_from_spells(spark, plan_of):
+    events = spark.range(400).selectExpr("'nyc' AS location", "'a' AS station_id", "timestamp_micros(id * 1000000) AS at",
+                                         "CASE WHEN id < 100 OR id >= 250 THEN 'x' ELSE 'y' END AS station_name")
+    found = movement.station_history(events, parts=8)
+    assert sorted((r.spell, r.station_name, r.uses) for r in found.collect()) == [(1, "x", 100), (2, "y", 150), (3, "x", 150)]
+    assert "_before" not in plan_of(found)  # what is left to do is done on stored spells, not on events
