@@ -93,3 +93,12 @@ def test_stray_quote_over_many_blocks_leaves_no_line_out(spark, tmp_path, small_
     assert sorted(rows) == sorted(['0,"a\nb",c', *lines])
     some = [r.row for r in csv_scan.whole_rows(spark, [str(tmp_path / "a.csv")], most_lines=5000).collect()]
     assert sorted(some) == sorted(['0,"a\nb",c', "\n".join(lines)])
+
+
+@pytest.mark.parametrize("scan", [csv_scan.scan_text, csv_scan.scan_broken])
+def test_names_of_files_are_as_they_were_given(spark, tmp_path, scan):
+    names = ["plain.csv", "a+b.csv", "a b%20.csv", "ü%.csv"]
+    for name in names:
+        (tmp_path / name).write_text("id,name,note\n1,a,b\n")
+    rows = scan(spark, HEADER, [str(tmp_path / n) for n in names]).collect()
+    assert sorted(r.source_file for r in rows) == sorted(names)
