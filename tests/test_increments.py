@@ -1,9 +1,10 @@
 import pytest
+from pyspark.sql import functions as F
 
 from spokeworks.operators import increments
 from spokeworks.operators.increments import DuplicateKeys, append_unseen, replace_by_key
 from spokeworks.operators.levels import LeveledTable
-from spokeworks.sources.tables import ParquetTable, exists
+from spokeworks.sources.tables import ParquetTable, delete, exists
 
 SCHEMA = "ride_id string, n int, source_file string"
 
@@ -143,3 +144,61 @@ def test_table_kept_per_file_reads_new_files_only(spark, tmp_path, target, rows)
 def test_empty_batch_changes_nothing(spark, target, rows):
     replace_by_key(spark, rows(), target, ["ride_id"])
     assert held(spark, target) == []
+
+
+def test_a_batch_is_read_once_by_key_and_once_whole(spark, target, rows):
+    """Also where its files come again in another version."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(name):
+        read.add(1)
+        return name
+
+    versions = lambda version: spark.createDataFrame([("f1", version), ("f2", "1")], "source_file string, version string")
+    replace_by_key(spark, rows(("a", 1, "f1"), ("b", 1, "f1"), ("a", 1, "f2"), ("c", 1, "f2")), target, ["ride_id"], "keep", versions("1"))
+    batch = rows(("a", 2, "f1"), ("d", 2, "f1")).coalesce(1).withColumn("source_file", counted.asNondeterministic()("source_file"))
+    replace_by_key(spark, batch, target, ["ride_id"], "error", versions("2"))
+    assert held(spark, target) == [("a", 2, "f1"), ("c", 1, "f2"), ("d", 2, "f1")]
+    assert read.value == 2 * 2
+
+
+def test_survivors_are_written_once(spark, target, rows, monkeypatch):
+    """They are staged and moved; a folder's odd name and a row that has no key go along."""
+    written, write = [], ParquetTable.replace_partitions
+    replace_by_key(spark, rows(("a", 1, "f=1 %"), ("b", 1, "f=1 %"), (None, 1, "f=1 %"), ("c", 1, "f2")), target, ["ride_id"])
+    monkeypatch.setattr(ParquetTable, "replace_partitions", lambda table, df: written.append(sorted(r.ride_id for r in df.collect())) or write(table, df))
+    replace_by_key(spark, rows(("a", 2, "f3")), target, ["ride_id"])
+    assert held(spark, target) == sorted([("a", 2, "f3"), ("b", 1, "f=1 %"), (None, 1, "f=1 %"), ("c", 1, "f2")], key=str)
+    assert written == [["a"]]
+
+
+@pytest.mark.parametrize("survivor", [0, 1, 2])
+def test_a_move_that_died_is_completed(spark, target, rows, monkeypatch, survivor):
+    """After that many files of the survivors were put in place."""
+    replace_by_key(spark, rows(("a", 1, "f1"), ("b", 1, "f1"), ("a2", 1, "f2"), ("c", 1, "f2")), target, ["ride_id"])
+    move = ParquetTable.move_partitions
+
+    def dies(table, session, staged, listed):
+        move(table, session, staged, listed.orderBy("folder").limit(survivor))
+        raise RuntimeError("lost the driver")
+
+    monkeypatch.setattr(ParquetTable, "move_partitions", dies)
+    with pytest.raises(RuntimeError):
+        replace_by_key(spark, rows(("a", 2, "f3"), ("a2", 2, "f3")), target, ["ride_id"])
+    monkeypatch.undo()
+    replace_by_key(spark, rows(("a", 2, "f3"), ("a2", 2, "f3")), target, ["ride_id"])
+    assert held(spark, target) == [("a", 2, "f3"), ("a2", 2, "f3"), ("b", 1, "f1"), ("c", 1, "f2")]
+    assert not exists(spark, target.path + "__pending")
+
+
+def test_survivors_staged_without_a_listing_are_put_in_place(spark, target, rows, monkeypatch):
+    """As an earlier release left them."""
+    replace_by_key(spark, rows(("a", 1, "f1"), ("b", 1, "f1")), target, ["ride_id"])
+    monkeypatch.setattr(ParquetTable, "replace_partitions", lambda table, df: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        replace_by_key(spark, rows(("a", 2, "f3")), target, ["ride_id"])
+    monkeypatch.undo()
+    delete(spark, target.path + "__pending/listed")
+    replace_by_key(spark, rows(("a", 2, "f3")), target, ["ride_id"])
+    assert held(spark, target) == [("a", 2, "f3"), ("b", 1, "f1")]

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,6 +115,24 @@ def test_foreign_keys_are_told_by_range_and_filter(spark, indexed):
     assert near(spark, index, keys_of(spark, [])) == set()
 
 
+def test_a_file_that_may_hold_a_key_is_asked_until_then():
+    asked = []
+
+    class Held:
+        value = None
+
+        def may_hold(self, low, high, words, block, at, bits):
+            asked.append(block)
+            return block == 1
+
+    Held.value = Held()
+    blocks = pa.RecordBatch.from_pylist([
+        {"low": "a", "high": "b", "words": 9000, "block": n, "at": [0], "bits": [1], "source_file": f} for n in range(3) for f in ("f", "g")])
+    found = [b.to_pylist() for b in key_index._candidates(Held, PLACE)(iter([blocks, blocks]))]
+    assert found == [[{"source_file": "f"}, {"source_file": "g"}], []]
+    assert asked == [0, 0, 1, 1]
+
+
 def test_keys_too_many_to_probe_go_by_range(spark, indexed, monkeypatch):
     _, index = indexed
     monkeypatch.setattr(key_index, "PROBED", 3)
