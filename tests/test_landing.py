@@ -205,6 +205,21 @@ def test_one_failing_prefix_does_not_stop_the_next(spark, root, warehouse):
     assert outcome == {"london_csv/": "nothing landed", "nyc_csv/": "loaded"}
 
 
+def test_a_failure_is_raised_after_the_other_prefixes_are_loaded(spark, root, warehouse, monkeypatch):
+    files.put(root, "london_csv/old.csv", files.LONDON_LEGACY, files.london_legacy("1", "18/12/2019 09:00", "18/12/2019 09:30"))
+    files.put(root, "nyc_csv/a.csv", files.NYC_MODERN, files.nyc_modern("a", "2021-01-01 10:00:00", "2021-01-01 10:05:00"))
+    load.load_all(spark, warehouse, str(root))
+    files.put(root, "nyc_csv/a.csv", files.NYC_MODERN, files.nyc_modern("b", "2021-01-01 10:00:00", "2021-01-01 10:05:00"))
+    scan = load.csv_scan.scan_aligned
+    monkeypatch.setattr(load.csv_scan, "scan_aligned", lambda spark, spec, *rest, **more: (
+        1 / 0 if spec.prefix == "london_csv/" else scan(spark, spec, *rest, **more)))
+    with pytest.raises(load.LoadFailed, match="division by zero") as raised:
+        load.load_all(spark, warehouse, str(root))
+    assert raised.value.outcome == {"london_csv/": "failed: division by zero", "nyc_csv/": "loaded"}
+    assert isinstance(raised.value.__cause__, ZeroDivisionError)
+    assert [r.ride_id for r in raw(spark, warehouse, "nyc_modern").collect()] == ["b"]
+
+
 def test_glob_characters_in_names_are_literal(spark, root):
     path = files.put(root, "nyc_csv/trips [1]{a}.csv", "x,y", "1,2")
     files.put(root, "nyc_csv/trips 1a.csv", "x,y", "3,4")
