@@ -1,9 +1,11 @@
 import pytest
 
 import landing as files
+from spokeworks.checks import catalog
 from spokeworks.plans import load, staging
 from spokeworks.plans.load import Selection
 from spokeworks.plans.warehouse import Warehouse
+from spokeworks.samples import SampleRides
 from spokeworks.sources import headers, manifest, specs
 from spokeworks.sources.csv_scan import scan_text
 
@@ -220,6 +222,19 @@ def test_a_failure_is_raised_after_the_other_prefixes_are_loaded(spark, root, wa
     assert [r.ride_id for r in raw(spark, warehouse, "nyc_modern").collect()] == ["b"]
 
 
+@pytest.mark.parametrize("name", ["s15_raw_append", "s18_load_all"])
+def test_a_path_lost_during_a_load_is_no_result_of_the_query(spark, root, monkeypatch, name):
+    files.put(root, "london_csv/old.csv", files.LONDON_LEGACY, files.london_legacy("1", "18/12/2019 09:00", "18/12/2019 09:30"))
+    files.put(root, "nyc_csv/a.csv", files.NYC_MODERN, files.nyc_modern("a", "2021-01-01 10:00:00", "2021-01-01 10:05:00"))
+    scan = load.csv_scan.scan_aligned
+    monkeypatch.setattr(catalog, "_landing", lambda *_: str(root))
+    monkeypatch.setattr(load.csv_scan, "scan_aligned", lambda spark, spec, *rest, **more: (
+        spark.read.text(f"{root}/gone") if spec.prefix == "london_csv/" else scan(spark, spec, *rest, **more)))
+    with pytest.raises(load.LoadFailed, match="PATH_NOT_FOUND") as raised:
+        catalog.CATALOG[name].build(SampleRides(spark, str(root)))
+    assert raised.value.outcome["nyc_csv/"] == "loaded"
+
+
 def test_glob_characters_in_names_are_literal(spark, root):
     path = files.put(root, "nyc_csv/trips [1]{a}.csv", "x,y", "1,2")
     files.put(root, "nyc_csv/trips 1a.csv", "x,y", "3,4")
