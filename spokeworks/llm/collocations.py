@@ -6,11 +6,12 @@ of fixed size, which may let too much through and never too little, tells tasks
 seen of their successors is summed up to the floor only, so this step says which phrases can be frequent and not
 how frequent they are.
 
-Counts come from tries. Candidates are dealt by a hash into shards of ``SHARD`` phrases, each compiled into a
-double array whose symbols are words, in a task of its own. Shards are broadcast a few at a time; numpy moves all
-text positions through an array at once, a word per level, counts the accepting states they reach by ``bincount``,
-and the counts of all tasks are summed. A round of jobs handles ``ROUND`` shards, so what is broadcast at once does
-not grow with the corpus; the number of rounds does.
+Counts come from tries. Candidates are dealt by their hashes into shards of ``SHARD`` phrases, each compiled into a
+double array whose symbols are words, in a task of its own. The texts are read once more: the phrases of a slice that
+a bitmap of the candidates lets through go, with how often they stand there, to the shard that their hashes name. A
+task reads its trie and then the blocks of the slices, one by one; numpy moves all phrases of a block through the
+array at once, a word per level, and adds up the accepting states they reach. So work and traffic follow the text,
+however many candidates there are; where they are few, a trie is copied to several tasks that share the slices.
 
 Defined results: null texts have no words and a null language is ``und``; very long texts are one slice each and
 cut into pieces like any other; repeated rows count again; ties are ordered by frequency and then by the bytes of
@@ -25,6 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from spokeworks.llm import shared, textbytes
@@ -32,8 +34,8 @@ from spokeworks.llm.bitmaps import Bitmap
 
 #: Bytes of text with one dictionary.
 SLICE = 4 << 20
-#: Phrases of a trie, and tries that are broadcast together.
-SHARD, ROUND = 100_000, 2
+#: Phrases of a trie, and slices (at most 250,000 phrases each, or so) that a copy of it counts.
+SHARD, SHARE = 100_000, 16
 #: Parts that a language's phrases are ranked in before the last ranking.
 PARTS = 64
 
@@ -270,11 +272,11 @@ def _compile(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([shared.batch(TRIE, [[a.tobytes()] for a in arrays])])
 
 
-def advance(trie: Trie, numbers: np.ndarray, hashes: np.ndarray) -> Iterator[np.ndarray]:
-    """The states that all positions of a slice reach with their second word, and with their third."""
+def reached(trie: Trie, numbers: np.ndarray, hashes: np.ndarray, places: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of the places where words begin a phrase of the trie: those that go on, and their states, per level."""
     at = np.minimum(np.searchsorted(trie.alphabet, hashes), len(trie.alphabet) - 1)
     symbols = np.append(np.where(trie.alphabet[at] == hashes, at + 1, 0), 0).astype(np.int64)[numbers]
-    places = np.flatnonzero(symbols)
+    places = places[symbols[places] > 0]
     places = places[trie.checked[symbols[places]] == 0]
     states = symbols[places]
     for level in (1, 2):
@@ -284,62 +286,125 @@ def advance(trie: Trie, numbers: np.ndarray, hashes: np.ndarray) -> Iterator[np.
         next_ = trie.base[states] + symbol
         alive = (symbol > 0) & (trie.checked[next_] == states)
         places, states = places[alive], next_[alive]
+        yield places, states
+
+
+def advance(trie: Trie, numbers: np.ndarray, hashes: np.ndarray) -> Iterator[np.ndarray]:
+    """The states that all positions of a slice reach with their second word, and with their third."""
+    for _, states in reached(trie, numbers, hashes, np.arange(len(numbers))):
         yield states
 
 
-COUNTED, SPELLED = "phrase bigint, n bigint", "phrase bigint, h1 bigint, h2 bigint, h3 bigint"
+#: The place of a phrase in a bitmap (lower bits) and among shards (upper half), in SQL and in numpy.
+PHRASE_KEY = ("h1 ^ (shiftrightunsigned(h2, 17) | shiftleft(h2, 47))"
+              " ^ (shiftrightunsigned(coalesce(h3, 0L), 35) | shiftleft(coalesce(h3, 0L), 29))")
+
+
+def _phrase_places(first: np.ndarray, second: np.ndarray, third: np.ndarray) -> np.ndarray:
+    turned = [(h >> np.uint64(by)) | (h << np.uint64(64 - by)) for h, by in ((second, 17), (third, 35))]
+    return first ^ turned[0] ^ turned[1]
 
 
-def _count(tries):
-    """The Arrow function that runs all slices of a task through the broadcast tries."""
+def _phrases_of(numbers: np.ndarray, hashes: np.ndarray, words: Bitmap, held: Bitmap) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct phrases of a slice that may be candidates: word numbers in three rows (-1 after a pair), counts, places."""
+    at, first, second = _pairs_at(numbers, hashes, words)
+    size, none = len(hashes), np.uint64(0)
+    some = np.flatnonzero(held.holds(_phrase_places(hashes[first], hashes[second], none)))
+    at = at[some]
+    key, pair, twos = np.unique(first[some] * size + second[some], return_inverse=True, return_counts=True)
+    next_ = np.flatnonzero(at[1:] == at[:-1] + 1)  # both pairs of a frequent triple are candidates
+    triple, threes = np.unique(pair[next_] * size + numbers[at[next_] + 2], return_counts=True)
+    of = np.concatenate([np.arange(len(key)), triple // max(1, size)])
+    found = np.stack([key[of] // max(1, size), key[of] % max(1, size),
+                      np.concatenate([np.full(len(key), -1), triple % max(1, size)])])
+    third = np.append(hashes, none)[found[2]]
+    places = _phrase_places(hashes[found[0]], hashes[found[1]], third)
+    kept = np.flatnonzero(held.holds(places))
+    return found[:, kept], np.concatenate([twos, threes])[kept], places[kept]
+
+
+BLOCK = "lane bigint, words binary, numbers binary, counts binary"
+
+
+def _deal(words, held, shards: int, copies: int):
+    """The Arrow function that sends the phrases of each slice to their shards, as blocks with words of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers_of, mine = tries.value
-        counts = [np.zeros(len(t.checked), np.int64) for t in mine]
+        copy = TaskContext.get().partitionId()
         for part in batches:
             for numbers, hashes in _read(part):
-                for trie, count in zip(mine, counts):
-                    for states in advance(trie, numbers, hashes):
-                        count += np.bincount(states, minlength=len(count))
-        for number, trie, count in zip(numbers_of, mine, counts):
-            found = np.flatnonzero(count[trie.nodes])
-            yield shared.batch(COUNTED, [pa.array((number << 32) + found), pa.array(count[trie.nodes[found]])])
+                found, counts, places = _phrases_of(numbers, hashes, words.value, held.value)
+                shard = ((places >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
+                order = np.argsort(shard, kind="stable")
+                cuts = np.flatnonzero(np.diff(shard[order], prepend=-1, append=shards))
+                number, rows = np.zeros(len(hashes) + 1, np.int32), []
+                for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                    block = found[:, order[begin:end]]
+                    used = np.zeros(len(hashes) + 1, bool)
+                    used[block] = True
+                    used = np.flatnonzero(used[:-1])
+                    number[used], number[-1] = np.arange(len(used)), -1
+                    rows.append((int(shard[order[begin]]) * copies + copy % copies, hashes[used].tobytes(),
+                                 number[block].tobytes(), counts[order[begin:end]].astype(np.int32).tobytes()))
+                if rows:
+                    yield shared.batch(BLOCK, list(map(list, zip(*rows))))
+                copy += 1
 
     return run
 
 
-def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The phrases of tries: a phrase is known by its trie and its place there."""
-    for part in batches:
-        for row in part.to_pylist():
-            phrases = np.frombuffer(row["phrases"], np.int32).reshape(-1, 3)
-            alphabet = np.append(np.uint64(0), np.frombuffer(row["alphabet"], np.uint64)).view(np.int64)
-            columns = [alphabet[phrases[:, i]] for i in range(3)]
-            yield shared.batch(SPELLED, [pa.array((row["shard"] << 32) + np.arange(len(phrases))), *map(pa.array, columns[:2]),
-                                         pa.array(columns[2], mask=phrases[:, 2] == 0)])
+COUNTED = "h1 bigint, h2 bigint, h3 bigint, a bigint"
+
 
+def _tally(trie: Trie, counts: np.ndarray) -> pa.RecordBatch:
+    """The phrases of a trie that occur."""
+    found = np.flatnonzero(counts[trie.nodes])
+    phrases, alphabet = trie.phrases[found], np.append(np.uint64(0), trie.alphabet).view(np.int64)
+    columns = [alphabet[phrases[:, i]] for i in range(3)]
+    return shared.batch(COUNTED, [*map(pa.array, columns[:2]), pa.array(columns[2], mask=phrases[:, 2] == 0),
+                                  pa.array(counts[trie.nodes[found]])])
 
-def counted(slices: DataFrame, candidates: DataFrame, shard: int = SHARD) -> DataFrame:
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs blocks through the trie that comes before them; a block holds a phrase once, so no two reach one state."""
+    trie = counts = None
+    for part in batches:
+        for i in range(part.num_rows):
+            row = {name: column[i].as_py() for name, column in zip(part.schema.names, part.columns)}
+            if row["base"] is not None:
+                if trie is not None:
+                    yield _tally(trie, counts)
+                trie = Trie.read(row)
+                counts = np.zeros(len(trie.checked), np.int64)
+                continue
+            block = np.frombuffer(row["numbers"], np.int32).reshape(3, -1)
+            times = np.frombuffer(row["counts"], np.int32)
+            pairs, triples = reached(trie, block.T.ravel(), np.frombuffer(row["words"], np.uint64), np.arange(0, block.size, 3))
+            for (places, states), mine in ((pairs, block[2, pairs[0] // 3] < 0), (triples, slice(None))):
+                counts[states[mine]] += times[places[mine] // 3]
+    if trie is not None:
+        yield _tally(trie, counts)
+
+
+def counted(slices: DataFrame, candidates: DataFrame, frequent, shard: int = SHARD) -> DataFrame:
     """(h1, h2, h3, a): how often each candidate that occurs does so, ``h3`` null in pairs."""
     spark = slices.sparkSession
     shards = -(-candidates.count() // shard)
     if shards == 0:
-        return spark.createDataFrame([], "h1 bigint, h2 bigint, h3 bigint, a bigint")
+        return spark.createDataFrame([], COUNTED)
     shared.ship_package(spark)
-    dealt = candidates.withColumn("shard", F.expr(f"pmod(xxhash64(h1, h2, h3), {shards})"))
+    copies = -(-slices.count() // (SHARE * shards))
+    held = spark.sparkContext.broadcast(Bitmap(candidates, PHRASE_KEY))
+    dealt = candidates.withColumn("shard", F.expr(f"shiftrightunsigned({PHRASE_KEY}, 32) % {shards}"))
     tries = shared.written(dealt.groupBy("shard").applyInArrow(
         lambda key, table: _compile(table).append_column("shard", pa.array([key[0].as_py()], pa.int64())),
         TRIE + ", shard bigint"), "phrase-tries")
-    total = None
-    for first in range(0, shards, ROUND):
-        rows = tries.filter(F.col("shard").between(first, first + ROUND - 1)).collect()
-        sent = spark.sparkContext.broadcast(([r["shard"] for r in rows], [Trie.read(r) for r in rows]))
-        part = shared.arrow_map(slices.select("numbers", "hashes"), _count(sent), COUNTED)
-        done = shared.written(part.groupBy("phrase").agg(F.sum("n").alias("a")), "phrase-counts")
-        sent.destroy()
-        total = done if total is None else total.unionByName(done)
-    spelled = shared.arrow_map(tries.select("shard", "alphabet", "phrases"), _spell, SPELLED)
-    return spelled.join(total, "phrase").drop("phrase")
+    lanes = tries.withColumn("lane", F.explode(F.expr(f"sequence(shard * {copies}, shard * {copies} + {copies - 1})"))).drop("shard")
+    blocks = shared.arrow_map(slices.select("numbers", "hashes"), _deal(frequent, held, shards, copies), BLOCK)
+    met = (lanes.unionByName(blocks, allowMissingColumns=True).repartition(shards * copies, "lane")
+           .sortWithinPartitions("lane", F.isnull("base")))
+    found = shared.arrow_map(met, _count, COUNTED)
+    return found if copies == 1 else found.groupBy("h1", "h2", "h3").agg(F.sum("a").alias("a"))
 
 
 def phrases(docs: DataFrame, floor: int = 10, shard: int = SHARD) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -355,7 +420,7 @@ def phrases(docs: DataFrame, floor: int = 10, shard: int = SHARD) -> tuple[DataF
     split = [F.shiftrightunsigned("pair", 32).alias("k1"), F.col("pair").bitwiseAND(0xFFFFFFFF).alias("k2")]
     candidates = shared.written(_named(two.select(*split), words, ["h1", "h2"]).withColumn("h3", F.lit(None).cast("bigint")).unionByName(
         _named(three.select(*split, F.col("third").alias("k3")), words, ["h1", "h2", "h3"])), "phrase-candidates")
-    found = shared.written(counted(slices, candidates, shard).filter(F.col("a") >= floor), "phrase-found")
+    found = shared.written(counted(slices, candidates, frequent, shard).filter(F.col("a") >= floor), "phrase-found")
     return words, found, every.groupBy("lang").agg(F.sum("f").alias("n"))
 
 

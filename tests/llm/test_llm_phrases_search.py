@@ -71,6 +71,23 @@ def test_phrases_are_those_of_plain_counts(docs, most, floor, covered, shard):
     assert sorted(got) == sorted(want) and len(got) > 5
 
 
+def test_texts_are_read_once_however_many_tries_there_are(spark, docs):
+    jobs = []
+    for shard in (200_000, 64):
+        group = f"tries-of-{shard}"
+        spark.sparkContext.setJobGroup(group, group)
+        collocations.phrases(docs, 1, shard)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < jobs[1] <= jobs[0] + 3
+
+
+def test_slices_shared_by_copies_of_a_trie_add_up(spark, docs, monkeypatch):
+    monkeypatch.setattr(collocations, "SHARE", 1)
+    assert collocations.encoded(docs).count() > 1
+    assert sorted(map(tuple, collocations.collocations(docs).collect())) == sorted(plain_phrases(2000))
+
+
 def test_tries_hold_their_phrases_and_no_others():
     rng = np.random.default_rng(4)
     words = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
