@@ -35,7 +35,7 @@ from spokeworks.llm.bitmaps import Bitmap
 #: Bytes of text with one dictionary.
 SLICE = 4 << 20
 #: Phrases of a trie, and slices (at most 250,000 phrases each, or so) that a copy of it counts.
-SHARD, SHARE = 100_000, 16
+SHARD, SHARE = 100_000, 8
 #: Parts that a language's phrases are ranked in before the last ranking.
 PARTS = 64
 
@@ -323,7 +323,16 @@ def _phrases_of(numbers: np.ndarray, hashes: np.ndarray, words: Bitmap, held: Bi
     return found[:, kept], np.concatenate([twos, threes])[kept], places[kept]
 
 
-BLOCK = "lane bigint, words binary, numbers binary, counts binary"
+BLOCK = "lane bigint, size int, words binary, numbers binary, counts binary"
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers that are not negative, in as few bytes each as the largest one takes."""
+    return values.astype(np.min_scalar_type(int(values.max(initial=0)))).tobytes()
+
+
+def _unpacked(data: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(data, f"u{len(data) // size}").astype(np.int64)
 
 
 def _deal(words, held, shards: int, copies: int):
@@ -343,9 +352,9 @@ def _deal(words, held, shards: int, copies: int):
                     used = np.zeros(len(hashes) + 1, bool)
                     used[block] = True
                     used = np.flatnonzero(used[:-1])
-                    number[used], number[-1] = np.arange(len(used)), -1
-                    rows.append((int(shard[order[begin]]) * copies + copy % copies, hashes[used].tobytes(),
-                                 number[block].tobytes(), counts[order[begin:end]].astype(np.int32).tobytes()))
+                    number[used] = np.arange(1, len(used) + 1)  # zero for no third word, the last place
+                    rows.append((int(shard[order[begin]]) * copies + copy % copies, end - begin, hashes[used].tobytes(),
+                                 _packed(number[block]), _packed(counts[order[begin:end]])))
                 if rows:
                     yield shared.batch(BLOCK, list(map(list, zip(*rows))))
                 copy += 1
@@ -377,8 +386,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 trie = Trie.read(row)
                 counts = np.zeros(len(trie.checked), np.int64)
                 continue
-            block = np.frombuffer(row["numbers"], np.int32).reshape(3, -1)
-            times = np.frombuffer(row["counts"], np.int32)
+            block = _unpacked(row["numbers"], 3 * row["size"]).reshape(3, -1) - 1
+            times = _unpacked(row["counts"], row["size"])
             pairs, triples = reached(trie, block.T.ravel(), np.frombuffer(row["words"], np.uint64), np.arange(0, block.size, 3))
             for (places, states), mine in ((pairs, block[2, pairs[0] // 3] < 0), (triples, slice(None))):
                 counts[states[mine]] += times[places[mine] // 3]
@@ -387,7 +396,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def counted(slices: DataFrame, candidates: DataFrame, frequent, shard: int = SHARD) -> DataFrame:
-    """(h1, h2, h3, a): how often each candidate that occurs does so, ``h3`` null in pairs."""
+    """(h1, h2, h3, a): how often each candidate that occurs does so, ``h3`` null in pairs; written, as it takes a broadcast."""
     spark = slices.sparkSession
     shards = -(-candidates.count() // shard)
     if shards == 0:
@@ -401,10 +410,12 @@ def counted(slices: DataFrame, candidates: DataFrame, frequent, shard: int = SHA
         TRIE + ", shard bigint"), "phrase-tries")
     lanes = tries.withColumn("lane", F.explode(F.expr(f"sequence(shard * {copies}, shard * {copies} + {copies - 1})"))).drop("shard")
     blocks = shared.arrow_map(slices.select("numbers", "hashes"), _deal(frequent, held, shards, copies), BLOCK)
-    met = (lanes.unionByName(blocks, allowMissingColumns=True).repartition(shards * copies, "lane")
+    met = (lanes.unionByName(blocks, allowMissingColumns=True).repartitionById(shards * copies, F.col("lane").cast("int"))
            .sortWithinPartitions("lane", F.isnull("base")))
     found = shared.arrow_map(met, _count, COUNTED)
-    return found if copies == 1 else found.groupBy("h1", "h2", "h3").agg(F.sum("a").alias("a"))
+    done = shared.written(found if copies == 1 else found.groupBy("h1", "h2", "h3").agg(F.sum("a").alias("a")), "phrase-counts")
+    held.destroy()
+    return done
 
 
 def phrases(docs: DataFrame, floor: int = 10, shard: int = SHARD) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -420,7 +431,9 @@ def phrases(docs: DataFrame, floor: int = 10, shard: int = SHARD) -> tuple[DataF
     split = [F.shiftrightunsigned("pair", 32).alias("k1"), F.col("pair").bitwiseAND(0xFFFFFFFF).alias("k2")]
     candidates = shared.written(_named(two.select(*split), words, ["h1", "h2"]).withColumn("h3", F.lit(None).cast("bigint")).unionByName(
         _named(three.select(*split, F.col("third").alias("k3")), words, ["h1", "h2", "h3"])), "phrase-candidates")
-    found = shared.written(counted(slices, candidates, frequent, shard).filter(F.col("a") >= floor), "phrase-found")
+    pairs.destroy()
+    found = counted(slices, candidates, frequent, shard).filter(F.col("a") >= floor)
+    frequent.destroy()
     return words, found, every.groupBy("lang").agg(F.sum("f").alias("n"))
 
 
