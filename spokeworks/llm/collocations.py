@@ -20,7 +20,9 @@ the phrase; columns other than text and language are ignored; an empty table giv
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -46,6 +48,19 @@ _CLASS[[10, 11, 12, 13, *b".,;:!?"]] = 2
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
+
+def _map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``shared.arrow_map`` whose workers, which live on, give memory that is free back to the system after a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # glibc alone has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return shared.arrow_map(df, run, schema)
+
+
 ENCODED = "numbers binary, hashes binary, words array<string>, langs array<string>, counts array<bigint>"
 
 
@@ -59,9 +74,10 @@ def _spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     before[edges] = False
     after[edges - 1] = False
     starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    walls = (kind == 2).astype(np.int64)
+    del before, after
+    walls = (kind == 2).astype(np.int8)
     walls[edges] += 1
-    walls = np.cumsum(walls)
+    walls = np.cumsum(walls, dtype=np.int32 if len(data) < 1 << 30 else np.int64)
     opens = np.ones(len(starts), bool)
     opens[1:] = walls[starts[1:]] != walls[ends[:-1] - 1]
     return starts, ends, opens
@@ -90,7 +106,7 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def encoded(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("text").cast("string").alias("text"),
                        F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
-    return shared.written(shared.arrow_map(rows, _encode, ENCODED), "phrase-slices", "zstd")
+    return shared.written(_map(rows, _encode, ENCODED), "phrase-slices", "zstd")
 
 
 def vocabulary(slices: DataFrame) -> DataFrame:
@@ -305,22 +321,34 @@ def _phrase_places(first: np.ndarray, second: np.ndarray, third: np.ndarray) ->
     return first ^ turned[0] ^ turned[1]
 
 
+def _held(held: Bitmap, hashes: np.ndarray, first: np.ndarray, second: np.ndarray, third: np.ndarray | None = None,
+          most: int = 1 << 16) -> np.ndarray:
+    """Which phrases of word numbers the bitmap holds; looked up some at a time, which bounds the memory."""
+    found = np.zeros(len(first), bool)
+    for i in range(0, len(first), most):
+        last = np.uint64(0) if third is None else hashes[third[i:i + most]]
+        found[i:i + most] = held.holds(_phrase_places(hashes[first[i:i + most]], hashes[second[i:i + most]], last))
+    return found
+
+
 def _phrases_of(numbers: np.ndarray, hashes: np.ndarray, words: Bitmap, held: Bitmap) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct phrases of a slice that may be candidates: word numbers in three rows (-1 after a pair), counts, places."""
     at, first, second = _pairs_at(numbers, hashes, words)
-    size, none = len(hashes), np.uint64(0)
-    some = np.flatnonzero(held.holds(_phrase_places(hashes[first], hashes[second], none)))
-    at = at[some]
-    key, pair, twos = np.unique(first[some] * size + second[some], return_inverse=True, return_counts=True)
+    size = len(hashes)
+    some = np.flatnonzero(_held(held, hashes, first, second))
+    at, key = at[some], first[some] * size + second[some]
+    del first, second, some
+    key, pair, twos = np.unique(key, return_inverse=True, return_counts=True)
     next_ = np.flatnonzero(at[1:] == at[:-1] + 1)  # both pairs of a frequent triple are candidates
     triple, threes = np.unique(pair[next_] * size + numbers[at[next_] + 2], return_counts=True)
-    of = np.concatenate([np.arange(len(key)), triple // max(1, size)])
-    found = np.stack([key[of] // max(1, size), key[of] % max(1, size),
-                      np.concatenate([np.full(len(key), -1), triple % max(1, size)])])
-    third = np.append(hashes, none)[found[2]]
-    places = _phrase_places(hashes[found[0]], hashes[found[1]], third)
-    kept = np.flatnonzero(held.holds(places))
-    return found[:, kept], np.concatenate([twos, threes])[kept], places[kept]
+    del at, pair, next_
+    first, second = (key // max(1, size)).astype(np.int32), (key % max(1, size)).astype(np.int32)
+    pair, third = triple // max(1, size), (triple % max(1, size)).astype(np.int32)
+    kept = np.flatnonzero(_held(held, hashes, first[pair], second[pair], third))
+    pair, third = pair[kept], third[kept]
+    found = np.stack([np.append(first, first[pair]), np.append(second, second[pair]), np.append(np.full(len(key), -1, np.int32), third)])
+    last = np.append(np.zeros(len(key), np.uint64), hashes[third])
+    return found, np.append(twos, threes[kept]), _phrase_places(hashes[found[0]], hashes[found[1]], last)
 
 
 BLOCK = "lane bigint, size int, words binary, numbers binary, counts binary"
@@ -409,10 +437,10 @@ def counted(slices: DataFrame, candidates: DataFrame, frequent, shard: int = SHA
         lambda key, table: _compile(table).append_column("shard", pa.array([key[0].as_py()], pa.int64())),
         TRIE + ", shard bigint"), "phrase-tries")
     lanes = tries.withColumn("lane", F.explode(F.expr(f"sequence(shard * {copies}, shard * {copies} + {copies - 1})"))).drop("shard")
-    blocks = shared.arrow_map(slices.select("numbers", "hashes"), _deal(frequent, held, shards, copies), BLOCK)
+    blocks = _map(slices.select("numbers", "hashes"), _deal(frequent, held, shards, copies), BLOCK)
     met = (lanes.unionByName(blocks, allowMissingColumns=True).repartitionById(shards * copies, F.col("lane").cast("int"))
            .sortWithinPartitions("lane", F.isnull("base")))
-    found = shared.arrow_map(met, _count, COUNTED)
+    found = _map(met, _count, COUNTED)
     done = shared.written(found if copies == 1 else found.groupBy("h1", "h2", "h3").agg(F.sum("a").alias("a")), "phrase-counts")
     held.destroy()
     return done
@@ -423,11 +451,11 @@ def phrases(docs: DataFrame, floor: int = 10, shard: int = SHARD) -> tuple[DataF
     spark: SparkSession = docs.sparkSession
     slices = encoded(docs)
     every = vocabulary(slices)
-    words = shared.written(shared.arrow_map(every.filter(F.col("f") >= floor), _hashed, WORDS), "phrase-frequent")
+    words = shared.written(_map(every.filter(F.col("f") >= floor), _hashed, WORDS), "phrase-frequent")
     texts, frequent = slices.select("numbers", "hashes"), spark.sparkContext.broadcast(Bitmap(words, "h"))
-    two = shared.written(_seen(shared.arrow_map(texts, _candidates(frequent, None, floor), PAIRS), ["pair"], floor), "phrase-pairs")
+    two = shared.written(_seen(_map(texts, _candidates(frequent, None, floor), PAIRS), ["pair"], floor), "phrase-pairs")
     pairs = spark.sparkContext.broadcast(Bitmap(two, PAIR_KEY))
-    three = _seen(shared.arrow_map(texts, _candidates(frequent, pairs, floor), TRIPLES), ["pair", "third"], floor)
+    three = _seen(_map(texts, _candidates(frequent, pairs, floor), TRIPLES), ["pair", "third"], floor)
     split = [F.shiftrightunsigned("pair", 32).alias("k1"), F.col("pair").bitwiseAND(0xFFFFFFFF).alias("k2")]
     candidates = shared.written(_named(two.select(*split), words, ["h1", "h2"]).withColumn("h3", F.lit(None).cast("bigint")).unionByName(
         _named(three.select(*split, F.col("third").alias("k3")), words, ["h1", "h2", "h3"])), "phrase-candidates")
